@@ -64,10 +64,6 @@ def bool_from_text(text: Column) -> Column:
     return F.lower(text).isin(TRUE_TEXTS)
 
 
-def path_parts(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-
-
 def sanitize(name: Column, keep: str = "-_") -> Column:
     """Everything but letters, digits and the kept signs becomes an underscore."""
     signs = "".join("\\" + c for c in keep)
@@ -76,31 +72,30 @@ def sanitize(name: Column, keep: str = "-_") -> Column:
 
 def clip_id(path: Column) -> Column:
     """Name of the folder the file lies in; a hash of the path when there is none."""
-    parts = path_parts(path)
-    parent = F.when(F.size(parts) >= 2, F.element_at(parts, -2)).when(path.startswith("/"), F.lit("/"))
-    return sanitize(F.coalesce(parent, F.substring(F.md5(path), 1, 12)))
+    plain = F.regexp_replace(path, r"(^|(?<=/))\./", "")
+    parent = F.nullif(F.regexp_extract(plain, r"([^/]+)/+[^/]+/*$", 1), F.lit(""))
+    root = F.when(path.startswith("/"), F.lit("/"))
+    return sanitize(F.coalesce(parent, root, F.substring(F.md5(path), 1, 12)))
 
 
 def stem(path: Column) -> Column:
-    name = F.substring_index(path, "/", -1)
-    return F.coalesce(F.nullif(F.regexp_extract(name, r"^(.+)\.[^.]+$", 1), F.lit("")), name)
+    """File name without its last suffix; a leading dot starts no suffix."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(?s)^(.+)\.[^.]+$", "$1")
 
 
 def match_key(path: Column, folder_stems: tuple[str, ...] = ("video",)) -> Column:
     """Key under which a clip and its derived files meet.
 
     Cut at ``_scaled``, augmentation number kept, lower case. Files all named alike (``folder_stems``) go by
-    their folder, otherwise every original would share one key.
+    their folder, otherwise every original would share one key. A chain in which each step reads the one before once,
+    so the generated code stays small.
     """
-    base = stem(path)
+    name = path
     if folder_stems:
-        parts = path_parts(path)
-        base = F.when(base.isin(list(folder_stems)) & (F.size(parts) >= 2), F.element_at(parts, -2)).otherwise(base)
-    base = F.substring_index(base, "_scaled", 1)
-    pieces = F.split(base, "_aug")
-    number = F.get(pieces, F.lit(1))
-    keyed = F.when(number.rlike(_WHOLE_NUMBER), F.concat(F.get(pieces, F.lit(0)), F.lit("_aug"), number)) \
-        .when(F.size(pieces) > 1, F.get(pieces, F.lit(0))).otherwise(base)
+        alike = "|".join(folder_stems)
+        name = F.regexp_replace(name, rf"(?s)^(?:.*/)?([^/]+)/+(?:{alike})(?:\.[^./]+)?$", "$1.f")
+    base = F.substring_index(stem(name), "_scaled", 1)
+    keyed = F.regexp_replace(base, r"(?s)^(.*?)(_aug\s*[+-]?\d+(?:_\d+)*\s*)?(?:_aug.*)?$", "$1$2")
     return F.lower(keyed)
 
 
@@ -120,9 +115,11 @@ def scaled_name(path: Column, augmentation_idx: Column, is_original: Column) ->
     return F.concat(sanitize(stem(path), "-_."), suffix)
 
 
-def augmented_name_parts(path: Column) -> Column:
-    """struct(video_id, augmentation_idx, is_original) of a file name, NULL for other names."""
-    base = stem(path)
+def augmented_name_parts(base: Column) -> Column:
+    """struct(video_id, augmentation_idx, is_original) of a file stem, NULL for other names.
+
+    Give the stem as a column of its own: it is used several times.
+    """
     pieces = F.split(base, "_aug")
     number = F.get(pieces, F.lit(1))
 

@@ -133,10 +133,9 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature_1, feature_2, correlation) for every pair, in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = row.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "correlation")
-    names = F.split(F.translate("pair", "`", ""), r"\|")
-    return long.select(F.get(names, F.lit(0)).alias("feature_1"), F.get(names, F.lit(1)).alias("feature_2"), "correlation")
+    entries = F.array(*[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.corr(a, b).alias("correlation"))
+                        for a, b in pairs])
+    return df.agg(entries.alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*")
 
 
 @dataclass

@@ -84,8 +84,8 @@ def cached_verdicts(rows: DataFrame, cache: DataFrame, validate, key: str = "vid
 
 def rebuilt_stage1(files: DataFrame, index: DataFrame, existing: DataFrame) -> DataFrame:
     """Stage-1 rows derived from file names and the index, for files the table does not list yet."""
-    parsed = files.withColumn("_p", augmented_name_parts(F.col("video_path"))).where(F.col("_p").isNotNull()) \
-        .select("video_path", "_p.*")
+    parsed = files.withColumn("_s", stem(F.col("video_path"))).withColumn("_p", augmented_name_parts(F.col("_s"))) \
+        .where(F.col("_p").isNotNull()).select("video_path", "_p.*")
     known = one_per_key(index.select(clip_id(F.col("video_path")).alias("video_id"), "label",
                                      F.col("video_path").alias("original_video")), ["video_id"],
                         [F.col("original_video").desc()])
@@ -142,6 +142,12 @@ def coverage(all_rows: DataFrame, split_rows: DataFrame, key: str) -> DataFrame:
     return lost.select("lost", added.scalar().alias("added"))
 
 
+def training_rows(folded: DataFrame, keys: list[str], k: int, fold: str = "fold") -> DataFrame:
+    """Rows that train in any fold, once each (M2). Every row trains in the k-1 folds it is not held out of."""
+    folds = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i != F.col(fold))
+    return one_per_key(folded.withColumn("_k", F.explode(folds)), keys, [F.col("_k")]).drop("_k")
+
+
 def last_values(log: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:
     """Last value per key in log order (W6); combined on the map side."""
     return log.groupBy(*keys).agg(F.max_by(value, seq).alias(value))

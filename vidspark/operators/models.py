@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vidspark.functions.numeric import sigmoid
 from vidspark.operators.metrics import full_metrics
+from vidspark.session import materialize
 
 # Parameter grids of the linear models.
 GRIDS = {
@@ -102,13 +103,16 @@ def search_and_fit(df: DataFrame, kind: str, columns: list[str], key: str, grid:
                    k: int = 5, sample: str = "in_sample", split: str = "split", fold: str = "fold"):
     """Search on the sample, cross-validate the best on all training rows, refit, score the test rows.
 
+    Every fit reads the table several times, so the features are written once and read from there.
     Returns (model, best parameters, fold metrics, test predictions). The scores compared are one number per entry.
     """
-    rows = df.where(F.col(split) != "test")
-    test = df.where(F.col(split) == "test")
+    table = materialize(df, "features")
+    rows = table.where(F.col(split) != "test")
+    test = table.where(F.col(split) == "test")
+    searched = rows.where(F.col(sample))
     scored = []
     for params in grid:
-        preds = cross_validate(rows.where(F.col(sample)), kind, columns, key, label, k, fold, **params)
+        preds = cross_validate(searched, kind, columns, key, label, k, fold, **params)
         scored.append((full_metrics(preds).head()["val_f1"], params))
     best = max(scored, key=lambda s: s[0])[1]
     folds = fold_metrics(cross_validate(rows, kind, columns, key, label, k, fold, **best))

@@ -1 +1,64 @@
+"""Frame features and transforms over whole texts read as frames."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vidspark import tables as t
+from vidspark.functions.arrays import AUGMENTATION_TYPES
+from vidspark.operators import frames as fr
+from vidspark.plans.registry import query
+from vidspark.plans.reports import rounded
+
+
+def _columns(*names):
+    def run(spark, d):
+        out = fr.frame_features(t.frames(spark, d), ["video_id", "frame_idx"])
+        return rounded(out.select("video_id", "frame_idx", *names), 4)
+    return run
+
+
+query("v1_noise_residual")(_columns("noise_energy", "noise_mean", "noise_std"))
+query("v2_dct_statistics")(_columns("dct_dc_mean", "dct_dc_std", "dct_ac_mean", "dct_ac_std", "dct_ac_energy"))
+query("v3_sharpness")(_columns("laplacian_var", "gradient_mean", "gradient_std"))
+query("v4_boundary_inconsistency")(_columns("boundary_inconsistency"))
+query("v6_edge_density")(_columns("edge_density_grad"))
+query("v7_texture_uniformity")(_columns("texture_uniformity"))
+query("v8_color_spread")(_columns("color_consistency_r", "color_consistency_g", "color_consistency_b"))
+query("v9_blockiness")(_columns("compression_artifacts"))
+
+
+def codec_table(spark, d):
+    """Every document, also those without frames, with cues from its length."""
+    n = F.col("n_chars")
+    return t.load(spark, d, "documents").select(
+        F.col("doc_id").alias("video_id"), (n * 8).cast("double").alias("codec_bitrate"),
+        F.when(n % 2 == 0, 25.0).alias("codec_fps"), F.lit(float(t.FRAME_SIDE ** 2)).alias("codec_resolution"))
+
+
+@query("v5_clip_features")
+def v5(spark, d):
+    return rounded(fr.clip_features(t.frames(spark, d), codec_table(spark, d)), 4)
+
+
+@query("v12_stand_in_features", """SELECT doc_id AS video_id, 0.0::DOUBLE AS noise_energy, 1.0::DOUBLE AS texture_uniformity,
+  CASE WHEN n_chars % 2 = 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS codec_fps FROM documents WHERE doc_id % 3 = 0""")
+def v12(spark, d):
+    readable = t.frames(spark, d).where(F.col("video_id") % 3 != 0)
+    out = fr.clip_features(readable, codec_table(spark, d)).where(F.col("video_id") % 3 == 0)
+    return rounded(out.select("video_id", "noise_energy", "texture_uniformity", "codec_fps"))
+
+
+@query("v10_frame_transforms")
+def v10(spark, d):
+    kinds = F.array(*[F.lit(k) for k in AUGMENTATION_TYPES])
+    rows = t.frames(spark, d).withColumn("kind", F.get(kinds, (F.col("video_id") % len(AUGMENTATION_TYPES)).cast("int"))) \
+        .withColumn("path", F.col("video_id").cast("string"))
+    out = fr.transform_frames(rows, "kind", "path", ["video_id", "frame_idx", "kind"])
+    return out.select("video_id", "frame_idx", "kind", "h", "w", F.md5("pixels").alias("digest"))
+
+
+@query("v11_letterboxed_frames")
+def v11(spark, d):
+    out = fr.letterbox_frames(t.frames(spark, d), ["video_id", "frame_idx"], 32)
+    return out.select("video_id", "frame_idx", "h", "w", F.length("pixels").alias("bytes"), F.md5("pixels").alias("digest"))

@@ -1 +1,98 @@
+"""Classifiers (F9-F18, F20). Fits are small here; what grows with the tables is the data they pass over."""
 
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from vidspark import tables as t
+from vidspark.operators import features as fe
+from vidspark.operators import metrics as m
+from vidspark.operators import models as mo
+from vidspark.operators import splits as sp
+from vidspark.plans.metrics import base_predictions
+from vidspark.plans.registry import query
+from vidspark.plans.reports import rounded
+from vidspark.session import materialize, scratch_path
+
+COLUMNS = ["stage2_quantity", "stage2_price", "stage2_discount", "stage2_tax", "stage4_total"]
+
+
+def feature_table(spark, d):
+    """Combined features with a split and a fold, written once for all the passes of a fit. The label is noisy but learnable: dear orders are mostly positive."""
+    rows = fe.combine_stages(t.feature_targets(spark, d), t.stage2_features(spark, d), t.stage4_features(spark, d))
+    rows = rows.withColumn("label", ((F.col("stage4_total") + F.col("stage2_price") * 2 + F.col("id") % 5 * 40000) > 420000).cast("int"))
+    rows = sp.two_cut_split(rows.select("id", "label", *COLUMNS), "id")
+    return materialize(rows.withColumn("fold", (F.col("id") % 3).cast("int")), "features")
+
+
+def _fit_and_score(kind, **params):
+    def run(spark, d):
+        rows = feature_table(spark, d)
+        train = rows.where(F.col("split") == "train")
+        fitted = mo.model_pipeline(kind, COLUMNS, train.count(), **params).fit(train)
+        return rounded(m.full_metrics(mo.predictions(fitted, rows.where(F.col("split") == "test"), "id")), 4)
+    return run
+
+
+query("f9_logistic_regression")(_fit_and_score("logistic_regression", C=1.0, max_iter=20))
+query("f10_linear_svm")(_fit_and_score("svm", C=1.0, max_iter=10))
+query("f11_gradient_boosting")(_fit_and_score("gradient_boosting", n_estimators=5))
+query("f13_feature_mlp")(_fit_and_score("feature_mlp", hidden=8, max_iter=15))
+
+
+@query("f12_embedding_boosting")
+def f12(spark, d):
+    rows = t.load(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"),
+                                                 (F.col("label") >= 5).cast("int").alias("label"))
+    held = sp.stratified_sample(rows, "vec_id", fraction=0.2).withColumnRenamed("in_sample", "held")
+    weight = m.positive_weight(rows).scalar()
+    weighted = held.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
+    gbt = mo.make_classifier("gradient_boosting", 0, 64, weight="weight", validation="held", n_estimators=4)
+    fitted = gbt.fit(weighted)
+    return rounded(m.full_metrics(mo.predictions(fitted, weighted.where("held"), "vec_id")), 4)
+
+
+@query("f14_cross_validation")
+def f14(spark, d):
+    preds = mo.cross_validate(feature_table(spark, d), "logistic_regression", COLUMNS, "id", k=3, C=1.0, max_iter=10)
+    return rounded(mo.fold_metrics(preds), 4)
+
+
+@query("f15_search_and_test")
+def f15(spark, d):
+    rows = feature_table(spark, d)
+    rows = rows.join(sp.stratified_sample(rows.where(F.col("split") != "test"), "id", fraction=0.2).select("id", "in_sample"), "id", "left") \
+        .withColumn("in_sample", F.coalesce("in_sample", F.lit(False)))
+    grid = [{"C": 0.1, "max_iter": 5}, {"C": 10.0, "max_iter": 5}]
+    _, _, _, preds = mo.search_and_fit(rows, "logistic_regression", COLUMNS, "id", grid, k=3)
+    return rounded(m.evaluation(preds), 4)
+
+
+@query("f17_stacked_models")
+def f17(spark, d):
+    preds = base_predictions(spark, d).select("user_id", "model", "y_true", "p1")
+    models = ["click", "error", "purchase", "signup", "view"]
+    _, out = mo.stacked(preds, "user_id", models, F.col("user_id") % 5 != 0)
+    return rounded(m.basic_metrics(out), 4)
+
+
+@query("f18_scored_grid")
+def f18(spark, d):
+    """Rows an entry of the grid would see per fold of the feature table."""
+    grid = spark.createDataFrame([(i, str(sorted(p.items()))) for i, p in enumerate(mo.parameter_grid("logistic_regression_stage2"))],
+                                 "entry int, params string")
+    entries = grid.agg(F.array_sort(F.collect_list(F.struct("entry", "params")))).scalar()
+    sizes = feature_table(spark, d).groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))
+    return sizes.withColumn("_g", F.explode(entries)).select("_g.*", "fold", "n_rows")
+
+
+@query("f20_saved_model")
+def f20(spark, d):
+    rows = feature_table(spark, d)
+    fitted = mo.model_pipeline("logistic_regression", COLUMNS, rows.count(), max_iter=5).fit(rows)
+    path = scratch_path(spark, "model")
+    mo.save_model(fitted, path)
+    again = mo.predictions(mo.load_model(path), rows, "id").withColumnsRenamed({"p1": "p1_loaded", "y_pred": "y_pred_loaded"})
+    both = mo.predictions(fitted, rows, "id").join(again.select("id", "p1_loaded", "y_pred_loaded"), "id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p1_loaded")).alias("same"))

@@ -85,7 +85,7 @@ def odd_paths(spark, d):
 
 
 @query("x4_clip_ids", rf"""WITH {_PATHS}, parts AS (
-  SELECT page_id, path, list_filter(string_split(path, '/'), x -> x <> '' AND x <> '.') AS p FROM paths)
+  SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.') AS p FROM paths)
 SELECT page_id, regexp_replace(CASE WHEN len(p) >= 2 THEN p[len(p) - 1] ELSE substr(md5(path), 1, 12) END,
   '[^\p{{L}}\p{{N}}_-]', '_', 'g') AS clip FROM parts""")
 def x4(spark, d):
@@ -151,7 +151,8 @@ def x8(spark, d):
   CASE o_orderkey % 6 WHEN 1 THEN true WHEN 5 THEN false END AS is_original FROM names""")
 def x9(spark, d):
     # a scaled clip's second part is not a number, so it is no stage-1 file
-    return clip_names(spark, d).select("o_orderkey", tx.augmented_name_parts(F.col("path")).alias("_p")).select(
+    stems = clip_names(spark, d).select("o_orderkey", tx.stem(F.col("path")).alias("_s"))
+    return stems.select("o_orderkey", tx.augmented_name_parts(F.col("_s")).alias("_p")).select(
         "o_orderkey", "_p.video_id", "_p.augmentation_idx", "_p.is_original")
 
 
@@ -255,7 +256,7 @@ def w7(spark, d):
 
 
 @query("y3_fixed_length", """WITH v AS (SELECT vec_id, embedding[1:CAST(40 + vec_id % 30 AS INTEGER)] AS e FROM embeddings)
-SELECT vec_id, 48 AS len, round(list_sum(list_transform(list_resize(e, 48, 0.0::FLOAT), x -> x::DOUBLE)), 6) AS total,
+SELECT vec_id, 48 AS len, round(list_sum(list_transform(list_resize(e, 48, 0.0::FLOAT), lambda x: x::DOUBLE)), 6) AS total,
   round(coalesce(e[48], 0)::DOUBLE, 6) AS last FROM v""")
 def y3(spark, d):
     v = F.transform(F.slice("embedding", F.lit(1), (F.lit(40) + F.col("vec_id") % 30).cast("int")), lambda x: x.cast("double"))
@@ -274,7 +275,7 @@ def y4(spark, d):
 
 
 @query("y5_vector_norms", """SELECT vec_id, round(CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS norm FROM (
-  SELECT vec_id, sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)""")
+  SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)""")
 def y5(spark, d):
     return t.load(spark, d, "embeddings").select("vec_id", F.round(ar.l2_norm(F.col("embedding")), 6).alias("norm"))
 

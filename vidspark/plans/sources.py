@@ -1 +1,226 @@
+"""Readers, listings and sinks, each written from the given tables and read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vidspark import tables as t
+from vidspark.operators import splits as sp
+from vidspark.operators.results import confidence_summary
+from vidspark.plans.manifest import main_list, scanned
+from vidspark.plans.metrics import SCORED  # noqa: F401
+from vidspark.plans.registry import query
+from vidspark.plans.reports import rounded
+from vidspark.plans.splits import _SPLIT
+from vidspark.plans.views import CORPUS, FOLDS, LOG, MANIFEST, STAGE2
+from vidspark.session import scratch_path
+from vidspark.sources import listing as ls
+from vidspark.sources import readers as rd
+from vidspark.sources import sinks as sk
+from vidspark.streaming.metrics_log import ingest_new
+
+_MANIFEST_SCHEMA = "doc_id bigint, video_id string, video_path string, subset string, platform string, label int, frame_count bigint"
+_BASIC = f"WITH {MANIFEST} SELECT doc_id, video_id, video_path, subset, platform, label, frame_count FROM manifest"
+
+
+def basic(spark, d):
+    return t.manifest(spark, d).select("doc_id", "video_id", "video_path", "subset", "platform", "label", "frame_count")
+
+
+@query("s1_csv_scan", _BASIC)
+def s1(spark, d):
+    base = scratch_path(spark, "s1")
+    sk.write_manifest(basic(spark, d), base)
+    return rd.read_csv(spark, f"{base}/video_index_input.csv", _MANIFEST_SCHEMA)
+
+
+@query("s2_first_format", _BASIC)
+def s2(spark, d):
+    base = scratch_path(spark, "s2")
+    basic(spark, d).write.parquet(f"{base}/index.parquet")
+    basic(spark, d).limit(0).write.json(f"{base}/index.json")
+    return rd.read_table(spark, base, "index")
+
+
+@query("s3_found_table", """SELECT 'index.csv' AS found, count(*) AS n_rows FROM documents""")
+def s3(spark, d):
+    base = scratch_path(spark, "s3")
+    basic(spark, d).write.option("header", True).csv(f"{base}/index.csv")
+    found = rd.find_table(spark, base, "index")
+    return rd.read_table(spark, base, "index", _MANIFEST_SCHEMA).agg(F.count(F.lit(1)).alias("n_rows")) \
+        .select(F.lit(found.rsplit("/", 1)[1]).alias("found"), "n_rows")
+
+
+@query("s4_metrics_scan", f"WITH {LOG} SELECT * FROM log")
+def s4(spark, d):
+    path = scratch_path(spark, "s4")
+    sk.append_metrics(t.metrics_log(spark, d), path)
+    spark.createDataFrame([("{broken",), ("",)], "value string").coalesce(1).write.mode("append").text(path)
+    return rd.read_metrics(spark, path).where(F.col("run_id").isNotNull()).drop("timestamp")
+
+
+@query("s5_fold_results_scan", f"WITH {FOLDS} SELECT model, fold, round(val_acc, 6) AS val_acc FROM folds")
+def s5(spark, d):
+    base = scratch_path(spark, "s5")
+    rows = rounded(t.folds(spark, d).select("model", "fold", "val_acc"))
+    for name in [r["model"] for r in rows.select("model").distinct().collect()]:  # one small file per model
+        sk.write_results(rows.where(F.col("model") == name).drop("model"), f"{base}/{name}/fold_results.csv")
+    return rd.read_fold_results(spark, base, "fold int, val_acc double")
+
+
+@query("s6_fold_logs_scan", f"WITH {LOG} SELECT run_id, step, metric, value, 'events' AS model, CAST(step % 3 AS INTEGER) AS fold FROM log")
+def s6(spark, d):
+    base = scratch_path(spark, "s6")
+    log = t.metrics_log(spark, d)
+    for k in range(3):
+        sk.append_metrics(log.where(F.col("step") % 3 == k), f"{base}/events/fold_{k}/metrics.jsonl")
+    return rd.read_fold_logs(spark, base).select("run_id", "step", "metric", "value", "model", "fold")
+
+
+def _folders(spark, d, name):
+    """One folder tree with a file per part of the table: source/language/group/video.mp4."""
+    base = scratch_path(spark, name)
+    rows = t.manifest(spark, d).select("subset", "platform", F.col("video_id").alias("value"))
+    rows.repartition("subset", "platform").write.partitionBy("subset", "platform").text(f"{base}/tree")
+    return f"{base}/tree"
+
+
+@query("s7_folder_scan", """SELECT 'subset=' || source AS subset, 'platform=' || lang AS platform, count(*) AS n FROM documents GROUP BY 1, 2""")
+def s7(spark, d):
+    root = _folders(spark, d, "s7")
+    files = ls.list_files(spark, root, "*.txt")
+    clips = files.select("path", F.concat(F.substring_index("path", "/", 2), F.lit("/clip/video.mp4")).alias("clip"))
+    found = ls.scanned_videos(clips.select(F.col("clip").alias("path")))
+    rows = t.load(spark, d, "documents").groupBy(F.concat(F.lit("subset="), F.col("source")).alias("subset"),
+                                                 F.concat(F.lit("platform="), F.col("lang")).alias("platform")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(found.select("subset", "platform"), ["subset", "platform"], "left_semi")
+
+
+@query("s7_two_layouts", f"""SELECT CASE WHEN doc_id % 2 = 0 THEN source ELSE 'flat' END AS subset,
+  CASE WHEN doc_id % 2 = 0 THEN lang WHEN doc_id % 3 = 0 THEN 'facebook' ELSE 'unknown' END AS platform,
+  CASE WHEN doc_id % 2 = 1 AND doc_id % 3 <> 0 THEN 'v' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS video_id,
+  'videos/' || CASE WHEN doc_id % 2 = 0 THEN source || '/' || lang || '/' || doc_id WHEN doc_id % 3 = 0 THEN 'flat/' || doc_id
+    ELSE 'flat/v' || doc_id END || '/video.mp4' AS video_path FROM documents""")
+def s7b(spark, d):
+    k, i = F.col("doc_id"), F.col("doc_id").cast("string")
+    folder = F.when(k % 2 == 0, F.concat_ws("/", F.col("source"), F.col("lang"), i)) \
+        .when(k % 3 == 0, F.concat(F.lit("flat/"), i)).otherwise(F.concat(F.lit("flat/v"), i))
+    names = F.array(F.lit("/video.mp4"), F.lit("/video.avi"), F.lit("/notes.txt"))
+    files = t.load(spark, d, "documents").select(F.explode(F.transform(names, lambda n: F.concat(folder, n))).alias("path"))
+    return ls.scanned_videos(files)
+
+
+@query("s8_video_file_per_folder", """SELECT 'f/' || doc_id AS folder, 'f/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '/VIDEO.mp4' ELSE '/video.mov' END AS path FROM documents""")
+def s8(spark, d):
+    folder = F.concat(F.lit("f/"), F.col("doc_id").cast("string"))
+    names = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("/video.mov"), F.lit("/VIDEO.mp4"), F.lit("/a.mp4"))) \
+        .otherwise(F.array(F.lit("/video.mov"), F.lit("/b.txt")))
+    files = t.load(spark, d, "documents").select(F.explode(F.transform(names, lambda n: F.concat(folder, n))).alias("path"))
+    return ls.clip_files(files)
+
+
+@query("s9_metadata_files", """SELECT count(*) AS n_main, 0::BIGINT AS n_copies FROM pages WHERE page_id % 6 < 4""")
+def s9(spark, d):
+    from vidspark.plans.scalars import clip_urls
+    base = scratch_path(spark, "s9")
+    rows = clip_urls(spark, d).select(F.trim("u").alias("url"), (F.col("page_id") % 2).alias("label"))
+    rows.write.option("header", True).csv(f"{base}/labels.csv")
+    main = rd.load_main_metadata(spark, base, "absent.csv", "url string, label int")
+    copies = rd.load_duplicates(spark, base, "absent.csv")
+    return main.agg(F.count(F.lit(1)).alias("n_main")).withColumn("n_copies", copies.agg(F.count(F.lit(1))).scalar())
+
+
+@query("s12_newest_rows_kept", f"""WITH {MANIFEST} SELECT video_path, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS state FROM manifest""")
+def s12(spark, d):
+    path = scratch_path(spark, "s12")
+    rows = t.manifest(spark, d)
+    sk.write_metadata(rows.select("video_path", F.lit("first").alias("state")), path)
+    sk.write_metadata(rows.where(F.col("doc_id") % 3 == 0).select("video_path", F.lit("second").alias("state")), path, append=True)
+    return spark.read.parquet(path)
+
+
+@query("s13_feature_dataset", f"""WITH {STAGE2} SELECT seq, round(quantity, 6) AS quantity, 'stage2' AS stage FROM stage2""")
+def s13(spark, d):
+    path = scratch_path(spark, "s13")
+    sk.write_features(rounded(t.stage2_features(spark, d).select("seq", "quantity")).withColumn("stage", F.lit("stage2")), path)
+    return spark.read.parquet(path)
+
+
+@query("s14_split_dataset", f"WITH {CORPUS}, {_SPLIT} SELECT video_id, label, split FROM assigned WHERE split <> 'train'")
+def s14(spark, d):
+    path = scratch_path(spark, "s14")
+    sk.write_splits(sp.train_val_test(t.corpus(spark, d), "video_id").select("video_id", "label", "split"), path)
+    return spark.read.parquet(path).where(F.col("split") != "train")
+
+
+@query("s15_manifest_json", _BASIC)
+def s15(spark, d):
+    base = scratch_path(spark, "s15")
+    sk.write_manifest(basic(spark, d), base)
+    return spark.read.schema(_MANIFEST_SCHEMA).json(f"{base}/video_index_input.json")
+
+
+@query("s16_appended_metrics", f"WITH {LOG} SELECT * FROM log")
+def s16(spark, d):
+    path = scratch_path(spark, "s16")
+    log = t.metrics_log(spark, d)
+    wide = log.withColumn("metrics", F.create_map("metric", "value"))
+    rows = wide.select("run_id", "step", "epoch", "phase", F.explode("metrics").alias("metric", "value"))
+    sk.append_metrics(rows.where(F.col("step") % 2 == 0), path)
+    sk.append_metrics(rows.where(F.col("step") % 2 == 1), path)
+    return rd.read_metrics(spark, path).drop("timestamp")
+
+
+@query("s16_metrics_stream", f"WITH {LOG} SELECT * FROM log")
+def s16b(spark, d):
+    base = scratch_path(spark, "s16b")
+    log = t.metrics_log(spark, d)
+    for half in range(2):
+        sk.append_metrics(log.where(F.col("step") % 2 == half), f"{base}/log")
+        ingest_new(spark, f"{base}/log", f"{base}/table", f"{base}/state")
+    return spark.read.parquet(f"{base}/table").drop("timestamp")
+
+
+@query("s17_result_table", f"""WITH {FOLDS} SELECT model, round(avg(val_acc), 4) AS mean, count(*) AS folds FROM folds GROUP BY model""")
+def s17(spark, d):
+    path = scratch_path(spark, "s17")
+    sk.write_results(rounded(confidence_summary(t.folds(spark, d)), 4), path)
+    schema = "model string, mean double, std double, ci_lower double, ci_upper double, min double, max double, folds bigint"
+    return spark.read.schema(schema).option("header", True).csv(path).select("model", "mean", "folds")
+
+
+@query("s18_validation_cache", """SELECT options, is_valid, count(*) AS n FROM (
+  SELECT 'frames' AS options, doc_id % 2 = 0 AS is_valid FROM documents UNION ALL SELECT 'exists', true FROM documents WHERE doc_id % 5 = 0) GROUP BY 1, 2""")
+def s18(spark, d):
+    path = scratch_path(spark, "s18")
+    rows = t.manifest(spark, d).select("doc_id", "video_path", F.lit(None).cast("string").alias("error_reason"))
+    sk.save_verdicts(rows.withColumn("is_valid", F.col("doc_id") % 2 == 0), path, "frames")
+    sk.save_verdicts(rows.where(F.col("doc_id") % 5 == 0).withColumn("is_valid", F.lit(True)), path, "exists")
+    return sk.validation_cache(spark, path).groupBy("options", "is_valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s19_version_registry", f"""WITH {CORPUS}, {_SPLIT} SELECT 'split' AS kind, split AS name, CAST(count(*) AS VARCHAR) AS n_rows FROM assigned GROUP BY split""")
+def s19(spark, d):
+    path = scratch_path(spark, "s19")
+    sizes = sp.train_val_test(t.corpus(spark, d), "video_id").groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()  # three rows
+    for row in sizes:
+        sk.register_version(spark, path, "split", row["split"], "h0", f"{path}/{row['split']}", {"rows": row["n"]})
+    return spark.read.parquet(path).select("kind", "name", F.element_at("meta", "rows").alias("n_rows"))
+
+
+@query("a31_cache_size", """SELECT count(*) > 0 AS has_files, (SELECT CAST(sum(strlen(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) FROM documents) AS bytes FROM documents""")
+def a31(spark, d):
+    return ls.total_bytes(ls.list_files(spark, _folders(spark, d, "a31"), "*.txt")).select((F.col("files") > 0).alias("has_files"), "bytes")
+
+
+@query("x13_file_hashes")
+def x13(spark, d):
+    """Hash of the file of each table itself."""
+    return ls.file_hashes(spark, d).select("name", "sha256")
+
+
+@query("j1_scanned_manifest", f"WITH {MANIFEST} SELECT count(*) AS n FROM manifest WHERE label IS NOT NULL AND doc_id % 10 <> 0")
+def j1s(spark, d):
+    from vidspark.operators.quality import video_index
+    out = video_index(scanned(spark, d), main_list(spark, d))
+    return out.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).agg(F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vidspark.functions.arrays import fit_length, l2_norm
 from vidspark.functions.text import match_key, stem
 from vidspark.operators.ranking import exact_quantiles
+from vidspark.session import materialize
 
 METADATA_COLUMNS = ("video_path", "label", "feature_path")
 
@@ -105,16 +106,16 @@ def combine_stages(targets: DataFrame, stage2: DataFrame | None, stage4: DataFra
     """Features of both stages per target; targets lacking a given stage drop out."""
     if stage2 is None and stage4 is None:
         raise ValueError("no features given")
-    out = targets
+    out = targets.withColumn("_key", match_key(F.col("video_path")))
     for prefix, stage in (("stage2_", stage2), ("stage4_", stage4)):
         if stage is None:
             continue
         columns = [c for c in feature_columns(stage) if c != seq]
-        named = stage.select("video_path", F.col(seq).alias("_seq"),
-                             *[F.col(c).cast("double").alias(prefix + c) for c in columns])
-        matched = match_exact(out, named, "_seq").where(F.col("matched_path").isNotNull()).drop("matched_path")
-        out = matched.withColumns({prefix + c: F.coalesce(prefix + c, F.lit(0.0)) for c in columns})
-    return out
+        # one number per column and key: a hash aggregate, where whole rows would need sorting
+        last = stage.groupBy(match_key(F.col("video_path")).alias("_key")).agg(
+            *[F.coalesce(F.max_by(F.col(c).cast("double"), F.col(seq)), F.lit(0.0)).alias(prefix + c) for c in columns])
+        out = out.join(last, "_key")
+    return out.drop("_key")
 
 
 # ---- statistics and pruning -----------------------------------------------------------------------------------
@@ -200,8 +201,11 @@ def inflation_factors(corr: np.ndarray) -> np.ndarray:
 
 def load_features(targets: DataFrame, stage2: DataFrame | None, stage4: DataFrame | None, seq: str = "seq",
                   pruner: FeaturePruner | None = None, fit_on: Column | None = None) -> tuple[DataFrame, FeaturePruner]:
-    """Combined and pruned features (F8). ``fit_on`` picks the rows the pruner may see."""
-    combined = combine_stages(targets, stage2, stage4, seq)
+    """Combined and pruned features (F8). ``fit_on`` picks the rows the pruner may see.
+
+    The combined table is written once; the two passes of the fit and the result read it from there.
+    """
+    combined = materialize(combine_stages(targets, stage2, stage4, seq), "combined")
     columns = [c for c in combined.columns if c.startswith(("stage2_", "stage4_"))]
     fitted = (pruner or FeaturePruner()).fit(combined.where(fit_on) if fit_on is not None else combined, columns)
     return fitted.transform(combined, targets.columns), fitted

@@ -16,13 +16,16 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Inverse frequency, scaled so that the weights sum to the number of classes."""
+    """Inverse frequency, scaled so that the weights sum to the number of classes.
+
+    The counts, one per class, are gathered in one row, so the rows are counted once.
+    """
     counts = class_counts(df.where(F.col(label).isNotNull()), label)
-    totals = counts.agg(F.struct(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"),
-                                 F.sum(F.lit(1.0) / (F.col("n") + F.lit(1e-6))).alias("inv")))
-    t = totals.scalar()
-    raw = t["total"] / (F.col("n") + F.lit(1e-6))
-    return counts.withColumn("weight", raw / (t["total"] * t["inv"]) * t["k"])
+    row = counts.agg(F.collect_list(F.struct(label, "n")).alias("_c"))
+    inverse = F.aggregate("_c", F.lit(0.0), lambda a, c: a + F.lit(1.0) / (c["n"] + F.lit(1e-6)))
+    return row.withColumns({"_inv": inverse, "_k": F.size("_c")}) \
+        .select(F.explode("_c").alias("_c"), "_inv", "_k") \
+        .select(f"_c.{label}", "_c.n", (F.lit(1.0) / (F.col("_c.n") + F.lit(1e-6)) / F.col("_inv") * F.col("_k")).alias("weight"))
 
 
 def positive_weight(df: DataFrame, label: str = "label") -> DataFrame:
@@ -83,7 +86,7 @@ def score_steps(preds: DataFrame, y: str = "y_true", score: str = "p1") -> DataF
     per_score = preds.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
     return running_totals(per_score, {"tp": F.col("pos"), "fp": F.col("neg")}, "threshold", descending=True,
-                          totals=True)
+                          totals=True, sketch_from=preds.select(F.col(score).alias("threshold")))
 
 
 def roc_auc(steps: DataFrame) -> DataFrame:

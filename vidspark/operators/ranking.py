@@ -19,13 +19,16 @@ HASH_DIGITS = 3  # 16^3 = 4,096 buckets per group
 VALUE_BUCKETS = 512
 
 
-def add_value_bucket(df: DataFrame, column: str, name: str = "_bucket", buckets: int = VALUE_BUCKETS) -> DataFrame:
+def add_value_bucket(df: DataFrame, column: str, name: str = "_bucket", buckets: int = VALUE_BUCKETS,
+                     sketch_from: DataFrame | None = None) -> DataFrame:
     """Bucket by value at approximate quantiles: a bounded sketch comes to the driver, never rows.
 
     Equal values share a bucket, and larger values never lie in a lower one, so the sketch's error shifts load only.
+    ``sketch_from`` is a cheaper table with the same column to take the quantiles from, such as rows not yet grouped.
     """
     probs = [i / buckets for i in range(1, buckets)]
-    numeric = df.select(F.col(column).cast("double").alias("v"))
+    source = df if sketch_from is None else sketch_from
+    numeric = source.select(F.col(column).cast("double").alias("v"))
     cuts = sorted(set(numeric.approxQuantile("v", probs, 1.0 / (2 * buckets))))
     if not cuts:
         return df.withColumn(name, F.lit(0.0))
@@ -74,11 +77,11 @@ def rank_by_hash(df: DataFrame, groups: list[str], keys: list[str], seed=42, nam
 
 def running_totals(df: DataFrame, values: dict[str, Column], order: str, groups: list[str] = (),
                    ties: list[str] = (), descending: bool = False, totals: bool = False,
-                   buckets: int = VALUE_BUCKETS) -> DataFrame:
+                   buckets: int = VALUE_BUCKETS, sketch_from: DataFrame | None = None) -> DataFrame:
     """Running sums in the order of a numeric column over the whole table or within groups."""
     if not groups:
         df, groups = df.withColumn("_all", F.lit(0)), ["_all"]
-    bucketed = add_value_bucket(df, order, buckets=buckets)
+    bucketed = add_value_bucket(df, order, buckets=buckets, sketch_from=sketch_from)
     if descending:
         bucketed = bucketed.withColumn("_bucket", -F.col("_bucket"))
     first = F.col(order).desc() if descending else F.col(order).asc()
@@ -139,7 +142,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     keys = list(groups) or ["_one"]
     clean = clean if groups else clean.withColumn("_one", F.lit(1))
     counts = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(counts, {"upto": F.col("_n")}, value, keys, totals=True)
+    ranked = running_totals(counts, {"upto": F.col("_n")}, value, keys, totals=True, sketch_from=clean)
     v = F.col(value).cast("double")
     first = F.col("upto") - F.col("_n")
 

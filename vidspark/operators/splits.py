@@ -60,42 +60,44 @@ def train_val_test(df: DataFrame, key: str, label: str = "label", platform: str
 def stratified_folds(df: DataFrame, key: str, k: int = 5, label: str = "label", platform: str | None = "platform",
                      group: str | None = "dup_group", seed: int = 42, repair: bool = True) -> DataFrame:
     """Adds ``fold``, 0 .. k-1, round robin inside each stratum (D2); empty folds are filled (D3)."""
-    units = rank_by_hash(_units(df, key, label, platform, group), ["stratum"], ["unit"], seed) \
-        .withColumn("fold", ((F.col("rn") - 1) % k).cast("int"))
-    folded = _assign(df, key, group, units, "fold")
-    return fill_empty_folds(folded, key, k, group) if repair else folded
+    ranked = rank_by_hash(_units(df, key, label, platform, group), ["stratum"], ["unit"], seed)
+    units = ranked.withColumn("fold", ((F.col("rn") - 1) % k).cast("int"))
+    if repair:
+        units = fill_empty_folds(units, k)
+    return _assign(df, key, group, units, "fold")
 
 
-def fill_empty_folds(folded: DataFrame, key: str, k: int, group: str | None = None) -> DataFrame:
-    """Moves one whole unit per empty fold out of the largest folds (D3).
+def fill_empty_folds(units: DataFrame, k: int) -> DataFrame:
+    """Moves one whole unit into each empty fold, always out of the fullest fold (D3).
 
-    Only the sizes of the k folds reach the driver. A fold can be empty only when no stratum has k units, so the
-    rows that are looked through then are few; a sound split returns as it came.
+    Fold i gets a unit from every stratum with more than i units, so a fold is empty only if all strata have fewer
+    than k. Then no stratum has two units in a fold, and (stratum, fold) names a unit. The sizes of the strata, one row,
+    tell which ones move; nothing is gathered when a stratum has k units or more.
     """
-    sizes = {i: 0 for i in range(k)}
-    sizes.update({r["fold"]: r["n"] for r in folded.groupBy("fold").agg(
-        F.count_distinct(_unit(key, group)).alias("n")).collect()})
-    moves: dict[tuple[int, int], int] = {}
-    taken = {i: 0 for i in sizes}
-    for target in [i for i in sizes if sizes[i] == 0]:
-        donor = max((i for i in sizes if sizes[i] > 1), key=lambda i: sizes[i], default=None)
-        if donor is None:
-            break
-        taken[donor] += 1
-        moves[(donor, taken[donor])] = target
-        sizes[donor] -= 1
-        sizes[target] += 1
-    if not moves:
-        return folded
-    donors = sorted({d for d, _ in moves})
-    unit_rows = folded.where(F.col("fold").isin(donors)).select(_unit(key, group).alias("unit"), "fold").distinct()
-    ranked = rank_by_hash(unit_rows, ["fold"], ["unit"], "refill")
-    new_fold = F.lit(None).cast("int")
-    for (donor, nth), target in moves.items():
-        new_fold = F.when((F.col("fold") == donor) & (F.col("rn") == nth), F.lit(target)).otherwise(new_fold)
-    moved = ranked.select("unit", new_fold.alias("_new")).where(F.col("_new").isNotNull())
-    return folded.withColumn("unit", _unit(key, group)).join(moved, "unit", "left") \
-        .withColumn("fold", F.coalesce("_new", "fold")).drop("unit", "_new")
+    sizes = units.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.agg(F.when(F.max("n") < k, F.array_sort(F.collect_list(F.struct("stratum", "n")))).alias("_s"))
+    moves = small.select(_refill_moves(k)(F.col("_s.stratum"), F.col("_s.n")).alias("_m")).scalar()
+    place = F.concat_ws("\x00", F.col("stratum"), F.col("fold").cast("string"))
+    return units.withColumn("fold", F.coalesce(F.try_element_at(moves, place), F.col("fold")))
+
+
+def _refill_moves(k: int):
+    """UDF for the one row of stratum sizes: '<stratum>\\0<fold>' to the fold the unit goes to."""
+    @F.udf("map<string,int>")
+    def moves(strata: list[str] | None, sizes: list[int] | None) -> dict[str, int] | None:
+        if strata is None:
+            return None
+        members = [[s for s, n in zip(strata, sizes) if n > i] for i in range(k)]
+        out = {}
+        for target in [i for i in range(k) if not members[i]]:
+            donor = max(range(k), key=lambda i: len(members[i]))
+            if len(members[donor]) < 2:
+                break
+            unit = members[donor].pop()
+            members[target].append(unit)
+            out[f"{unit}\x00{donor}"] = target
+        return out
+    return moves
 
 
 def two_cut_split(df: DataFrame, key: str, label: str = "label", train: float = 0.6, val: float = 0.2,
@@ -141,21 +143,26 @@ def balanced_batches(df: DataFrame, key: str, label: str = "label", batch_size:
 
 def fold_balance(folded: DataFrame, label: str = "label", limit: float = 0.2) -> DataFrame:
     """Share of every class in training and validation rows per fold, with what is wrong."""
-    cells = folded.groupBy("fold", label).agg(F.count(F.lit(1)).alias("val_count"))
-    totals = folded.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
-    folds = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("_fold_n"))
-    everything = folded.agg(F.count(F.lit(1)).alias("n")).scalar()
-    grid = folds.withColumn("_l", totals.agg(F.collect_list(F.struct(F.col(label), F.col("_class_n")))).scalar()) \
-        .select("fold", "_fold_n", F.explode("_l").alias("_c")).select("fold", "_fold_n", "_c.*")
-    full = grid.join(cells, ["fold", label], "left").withColumn("val_count", F.coalesce("val_count", F.lit(0)))
-    train = F.col("_class_n") - F.col("val_count")
-    rest = everything - F.col("_fold_n")
-    train_share = F.when(rest > 0, train.cast("double") / rest).otherwise(0.0)
-    val_share = F.when(F.col("_fold_n") > 0, F.col("val_count").cast("double") / F.col("_fold_n")).otherwise(0.0)
+    cells = folded.groupBy("fold", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    row = cells.agg(F.collect_list(F.struct("fold", "label", "n")).alias("_c"))  # folds x labels entries
+    grid = row.withColumn("fold", F.explode(F.array_distinct(F.col("_c.fold")))) \
+        .withColumn("label", F.explode(F.array_distinct(F.col("_c.label"))))
+
+    def total(test) -> Column:
+        return F.aggregate(F.filter("_c", test), F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+
+    counted = grid.select(
+        "fold", "label", total(lambda c: c["n"] >= 0).alias("_all"),
+        total(lambda c: c["fold"] == F.col("fold")).alias("_fold"),
+        total(lambda c: c["label"].eqNullSafe(F.col("label"))).alias("_label"),
+        total(lambda c: (c["fold"] == F.col("fold")) & c["label"].eqNullSafe(F.col("label"))).alias("val_count"))
+    train, rest = F.col("_label") - F.col("val_count"), F.col("_all") - F.col("_fold")
+    train_share = F.when(rest > 0, train.cast("double") / F.when(rest > 0, rest)).otherwise(0.0)
+    val_share = F.col("val_count").cast("double") / F.col("_fold")
     verdict = F.when(train == 0, "missing in training").when(F.col("val_count") == 0, "missing in validation") \
         .when(F.abs(train_share - val_share) > limit, "imbalanced").otherwise("ok")
-    return full.select("fold", label, train.alias("train_count"), "val_count", train_share.alias("train_share"),
-                       val_share.alias("val_share"), verdict.alias("verdict"))
+    return counted.select("fold", F.col("label").alias(label), train.alias("train_count"), "val_count",
+                          train_share.alias("train_share"), val_share.alias("val_share"), verdict.alias("verdict"))
 
 
 def weighted_draws(df: DataFrame, key: str, label: str = "label", seed: int = 42) -> DataFrame:

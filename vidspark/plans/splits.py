@@ -48,8 +48,7 @@ def d2(spark, d):
 
 @query("d3_empty_fold_repair", """WITH rows_ AS (
   SELECT c_custkey AS video_id, n_name AS label, n_nationkey AS dup_group FROM customer JOIN nation ON c_nationkey = n_nationkey),
-u AS (SELECT dup_group, row_number() OVER (ORDER BY md5('refill-g:' || dup_group), 'g:' || dup_group) AS rn
-      FROM (SELECT DISTINCT dup_group FROM rows_))
+u AS (SELECT dup_group, row_number() OVER (ORDER BY label DESC) AS rn FROM (SELECT DISTINCT dup_group, label FROM rows_))
 SELECT video_id, label, dup_group, CAST(CASE WHEN rn <= 3 THEN rn ELSE 0 END AS INTEGER) AS fold FROM rows_ JOIN u USING (dup_group)""")
 def d3(spark, d):
     """One group of copies per stratum: all of them start in fold 0, and the empty folds take one each."""

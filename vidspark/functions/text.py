@@ -86,7 +86,7 @@ def stem(path: Column) -> Column:
 def match_key(path: Column, folder_stems: tuple[str, ...] = ("video",)) -> Column:
     """Key under which a clip and its derived files meet.
 
-    Cut at ``_scaled``, augmentation number kept, lower case. Files all named alike (``folder_stems``) go by
+    Cut at ``_scaled``, augmentation number kept, lower case, ``none`` without a path. Files all named alike (``folder_stems``) go by
     their folder, otherwise every original would share one key. A chain in which each step reads the one before once,
     so the generated code stays small.
     """
@@ -96,7 +96,7 @@ def match_key(path: Column, folder_stems: tuple[str, ...] = ("video",)) -> Colum
         name = F.regexp_replace(name, rf"(?s)^(?:.*/)?([^/]+)/+(?:{alike})(?:\.[^./]+)?$", "$1.f")
     base = F.substring_index(stem(name), "_scaled", 1)
     keyed = F.regexp_replace(base, r"(?s)^(.*?)(_aug\s*[+-]?\d+(?:_\d+)*\s*)?(?:_aug.*)?$", "$1$2")
-    return F.lower(keyed)
+    return F.coalesce(F.lower(keyed), F.lit("none"))
 
 
 def path_candidates(path: Column, root: str) -> Column:

@@ -15,17 +15,30 @@ from pyspark.sql import functions as F
 
 from vidspark.functions.hashing import seeded_hash
 
-HASH_DIGITS = 3  # 16^3 = 4,096 buckets per group
-VALUE_BUCKETS = 512
 
+def _shuffle_width(df: DataFrame) -> int:
+    """Reduce tasks the cluster is set up for; it grows with the data, and the number of buckets follows it."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
-def add_value_bucket(df: DataFrame, column: str, name: str = "_bucket", buckets: int = VALUE_BUCKETS,
+
+def hash_digits(df: DataFrame) -> int:
+    """Hex digits of the hash that name a bucket: 4,096 buckets per group, 65,536 on wide clusters."""
+    return 3 if _shuffle_width(df) <= 1024 else 4
+
+
+def value_buckets(df: DataFrame) -> int:
+    """Buckets by value: two per reduce task, at least 256, at most 20,000 (a sketch of about a megabyte)."""
+    return min(max(256, 2 * _shuffle_width(df)), 20_000)
+
+
+def add_value_bucket(df: DataFrame, column: str, name: str = "_bucket", buckets: int | None = None,
                      sketch_from: DataFrame | None = None) -> DataFrame:
     """Bucket by value at approximate quantiles: a bounded sketch comes to the driver, never rows.
 
     Equal values share a bucket, and larger values never lie in a lower one, so the sketch's error shifts load only.
     ``sketch_from`` is a cheaper table with the same column to take the quantiles from, such as rows not yet grouped.
     """
+    buckets = buckets or value_buckets(df)
     probs = [i / buckets for i in range(1, buckets)]
     source = df if sketch_from is None else sketch_from
     numeric = source.select(F.col(column).cast("double").alias("v"))
@@ -64,20 +77,20 @@ def _with_offsets(df: DataFrame, groups: list[str], bucket: str, values: dict[st
 
 
 def rank_by_hash(df: DataFrame, groups: list[str], keys: list[str], seed=42, name: str = "rn",
-                 digits: int = HASH_DIGITS) -> DataFrame:
+                 digits: int | None = None) -> DataFrame:
     """1-based position in the group after a seeded shuffle, and ``<name>_total``, the size of the group.
 
     The order is that of md5(seed-key), then the key.
     """
     hashed = df.withColumn("_h", seeded_hash(seed, *[F.col(k) for k in keys])) \
-        .withColumn("_bucket", F.substring("_h", 1, digits))
+        .withColumn("_bucket", F.substring("_h", 1, digits or hash_digits(df)))
     order = [F.col("_h"), *[F.col(k) for k in keys]]
     return _with_offsets(hashed, groups, "_bucket", {name: F.lit(1).cast("bigint")}, order, True).drop("_h")
 
 
 def running_totals(df: DataFrame, values: dict[str, Column], order: str, groups: list[str] = (),
                    ties: list[str] = (), descending: bool = False, totals: bool = False,
-                   buckets: int = VALUE_BUCKETS, sketch_from: DataFrame | None = None) -> DataFrame:
+                   buckets: int | None = None, sketch_from: DataFrame | None = None) -> DataFrame:
     """Running sums in the order of a numeric column over the whole table or within groups."""
     if not groups:
         df, groups = df.withColumn("_all", F.lit(0)), ["_all"]

@@ -60,21 +60,22 @@ def train_val_test(df: DataFrame, key: str, label: str = "label", platform: str
 def stratified_folds(df: DataFrame, key: str, k: int = 5, label: str = "label", platform: str | None = "platform",
                      group: str | None = "dup_group", seed: int = 42, repair: bool = True) -> DataFrame:
     """Adds ``fold``, 0 .. k-1, round robin inside each stratum (D2); empty folds are filled (D3)."""
-    ranked = rank_by_hash(_units(df, key, label, platform, group), ["stratum"], ["unit"], seed)
+    strata = _units(df, key, label, platform, group)
+    ranked = rank_by_hash(strata, ["stratum"], ["unit"], seed)
     units = ranked.withColumn("fold", ((F.col("rn") - 1) % k).cast("int"))
     if repair:
-        units = fill_empty_folds(units, k)
+        units = fill_empty_folds(units, strata, k)
     return _assign(df, key, group, units, "fold")
 
 
-def fill_empty_folds(units: DataFrame, k: int) -> DataFrame:
+def fill_empty_folds(units: DataFrame, strata: DataFrame, k: int) -> DataFrame:
     """Moves one whole unit into each empty fold, always out of the fullest fold (D3).
 
     Fold i gets a unit from every stratum with more than i units, so a fold is empty only if all strata have fewer
     than k. Then no stratum has two units in a fold, and (stratum, fold) names a unit. The sizes of the strata, one row,
     tell which ones move; nothing is gathered when a stratum has k units or more.
     """
-    sizes = units.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    sizes = strata.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     small = sizes.agg(F.when(F.max("n") < k, F.array_sort(F.collect_list(F.struct("stratum", "n")))).alias("_s"))
     moves = small.select(_refill_moves(k)(F.col("_s.stratum"), F.col("_s.n")).alias("_m")).scalar()
     place = F.concat_ws("\x00", F.col("stratum"), F.col("fold").cast("string"))

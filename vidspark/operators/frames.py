@@ -2,7 +2,7 @@
 
 A frame is a row (video_id, frame_idx, h, w, pixels BINARY of h*w*3 bytes, RGB). Frames of a batch that share a size
 are worked on as one stack of bounded size, so the memory of a task depends on the stack limit, not on the clip.
-Large frames want a small spark.sql.execution.arrow.maxRecordsPerBatch.
+Arrow batches are bounded in bytes, not only in rows, since ten thousand rows of video frames would not fit.
 """
 
 from __future__ import annotations
@@ -118,6 +118,14 @@ def pixel_features(rgb: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def _bounded_batches(frames: DataFrame) -> DataFrame:
+    """Sees to a byte limit for Arrow batches where the session sets none."""
+    conf, name = frames.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not conf.get(name, None):
+        conf.set(name, str(STACK_BYTES * 8))
+    return frames
+
+
 def _stacks(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     for (h, w), same in pdf.groupby(["h", "w"], sort=False):
         step = max(1, STACK_BYTES // max(1, int(h) * int(w) * 3))
@@ -138,7 +146,7 @@ def frame_features(frames: DataFrame, keys: list[str]) -> DataFrame:
                 out = part[keys].reset_index(drop=True)
                 yield pd.concat([out, pd.DataFrame(pixel_features(rgb), columns=PIXEL_FEATURES)], axis=1)
 
-    return frames.select(*keys, *[c for c in ("h", "w", "pixels") if c not in keys]).mapInPandas(compute, schema)
+    return _bounded_batches(frames).select(*keys, *[c for c in ("h", "w", "pixels") if c not in keys]).mapInPandas(compute, schema)
 
 
 def clip_features(frames: DataFrame, cues: DataFrame, key: str = "video_id") -> DataFrame:
@@ -228,7 +236,7 @@ def transform_frames(frames: DataFrame, kind: str, path: str, keys: list[str]) -
     """Applies each row's transform (column ``kind``), seeded by its path and frame number."""
     fields = {f.name: f.dataType.simpleString() for f in frames.schema}
     schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", h int, w int, pixels binary"
-    seeded = frames.select(*keys, F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "pixels",
+    seeded = _bounded_batches(frames).select(*keys, F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "pixels",
                            F.col(kind).alias("_kind"), seed_of(F.col(path), F.col("frame_idx")).alias("_seed"))
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,4 +282,4 @@ def letterbox_frames(frames: DataFrame, keys: list[str], target: int = 224) -> D
                 boxed = letterboxed(rgb, target)
                 yield out.assign(h=target, w=target, pixels=[f.tobytes() for f in boxed])
 
-    return frames.select(*keys, "h", "w", "pixels").mapInPandas(compute, schema)
+    return _bounded_batches(frames).select(*keys, "h", "w", "pixels").mapInPandas(compute, schema)

@@ -128,11 +128,13 @@ def evaluation(preds: DataFrame, y: str = "y_true", score: str = "p1", threshold
 
 def score_histogram(preds: DataFrame, y: str = "y_true", score: str = "p1", bins: int = 50) -> DataFrame:
     """Rows per class and bin, bins of equal width between that class's lowest and highest score."""
-    span = preds.groupBy(F.col(y).alias("_y")).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    per_score = preds.groupBy(y, score).agg(F.count(F.lit(1)).alias("_n"))
-    joined = per_score.join(span, F.col(y) == F.col("_y"))
-    width = F.col("_hi") - F.col("_lo")
-    raw = F.floor((F.col(score) - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * bins)
+    span = preds.groupBy(F.col(y).alias("_y")).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    spans = span.where(F.col("_y").isNotNull()) \
+        .agg(F.map_from_entries(F.collect_list(F.struct("_y", F.struct("lo", "hi"))))).scalar()  # one entry per class
+    per_score = preds.where(F.col(y).isNotNull()).groupBy(y, score).agg(F.count(F.lit(1)).alias("_n"))
+    joined = per_score.withColumn("_s", F.try_element_at(spans, F.col(y)))
+    low, width = F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo")
+    raw = F.floor((F.col(score) - low) / F.nullif(width, F.lit(0.0)) * bins)
     # a single value lies in the middle of a span of width one
     number = F.when(width == 0, F.lit(bins // 2)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
     return joined.groupBy(y, number.alias("bin")).agg(F.sum("_n").alias("n"))

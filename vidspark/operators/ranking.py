@@ -44,11 +44,13 @@ def add_value_bucket(df: DataFrame, column: str, name: str = "_bucket", buckets:
     numeric = source.select(F.col(column).cast("double").alias("v"))
     cuts = sorted(set(numeric.approxQuantile("v", probs, 1.0 / (2 * buckets))))
     if not cuts:
-        return df.withColumn(name, F.lit(0.0))
+        return df.withColumn(name, F.lit(0))
     value = f"_{name}_value"
     bucketizer = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=value, outputCol=name,
                             handleInvalid="keep")
-    return bucketizer.transform(df.withColumn(value, F.col(column).cast("double"))).drop(value)
+    # never NULL: a join on a nullable bucket would push a filter below one of two equal shuffles, and so run both
+    return bucketizer.transform(df.withColumn(value, F.col(column).cast("double"))).drop(value) \
+        .withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(-1)))
 
 
 def _with_offsets(df: DataFrame, groups: list[str], bucket: str, values: dict[str, Column],
@@ -83,7 +85,7 @@ def rank_by_hash(df: DataFrame, groups: list[str], keys: list[str], seed=42, nam
     The order is that of md5(seed-key), then the key.
     """
     hashed = df.withColumn("_h", seeded_hash(seed, *[F.col(k) for k in keys])) \
-        .withColumn("_bucket", F.substring("_h", 1, digits or hash_digits(df)))
+        .withColumn("_bucket", F.coalesce(F.substring("_h", 1, digits or hash_digits(df)), F.lit("")))
     order = [F.col("_h"), *[F.col(k) for k in keys]]
     return _with_offsets(hashed, groups, "_bucket", {name: F.lit(1).cast("bigint")}, order, True).drop("_h")
 
@@ -173,18 +175,29 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     return out if groups else out.drop("_one")
 
 
+TOP_ROWS = 100_000  # what one task and the driver may merge
+
+
 def shuffled_sample(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
-    """n rows in seeded random order; a bounded top-n per task is merged, no full sort."""
-    return df.orderBy(seeded_hash(seed, F.col(key)), F.col(key)).limit(n)
+    """n rows in seeded random order (K8, D7): a merged top-n while n is small, else ranked by buckets."""
+    if n <= TOP_ROWS:
+        return df.orderBy(seeded_hash(seed, F.col(key)), F.col(key)).limit(n)
+    whole = df.withColumn("_whole", F.lit(0))
+    return rank_by_hash(whole, ["_whole"], [key], seed).where(F.col("rn") <= n).drop("_whole", "rn", "rn_total")
 
 
-def first_per_class(df: DataFrame, label: str, order: list[str], k: int, enabled: bool = True) -> DataFrame:
-    """The first k rows of every class in the stated order when test mode is on (K5).
+def first_per_class(df: DataFrame, label: str, order: str, k: int, enabled: bool = True) -> DataFrame:
+    """The first k rows of every class by a unique numeric column when test mode is on (K5).
 
-    Spark cuts each task's share to k rows per class before the shuffle.
+    While k is small each task cuts its share to k rows per class before the shuffle; beyond that the classes are
+    ranked by buckets.
     """
     if not enabled:
         return df
-    window = W.partitionBy(label).orderBy(*order)
-    return df.where(F.col(label).isNotNull()).withColumn("_rn", F.row_number().over(window)) \
-        .where(F.col("_rn") <= k).drop("_rn")
+    labelled = df.where(F.col(label).isNotNull())
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000") or 1000)
+    if k <= limit:
+        ranked = labelled.withColumn("_rn", F.row_number().over(W.partitionBy(label).orderBy(order)))
+    else:
+        ranked = running_totals(labelled, {"_rn": F.lit(1).cast("bigint")}, order, [label])
+    return ranked.where(F.col("_rn") <= k).drop("_rn")

@@ -142,7 +142,7 @@ def w5(spark, d):
 @query("k5_first_per_class", f"""WITH {MANIFEST} SELECT doc_id, label FROM manifest WHERE label IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY label ORDER BY doc_id) <= 5""")
 def k5(spark, d):
-    return rk.first_per_class(t.manifest(spark, d).select("doc_id", "label"), "label", ["doc_id"], 5)
+    return rk.first_per_class(t.manifest(spark, d).select("doc_id", "label"), "label", "doc_id", 5)
 
 
 @query("k6_row_range", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, count(*) OVER () AS n FROM orders)

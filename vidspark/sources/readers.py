@@ -41,9 +41,13 @@ def find_table(spark: SparkSession, base: str, name: str) -> str | None:
     return None
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, required: tuple[str, ...] = ("label",)) -> DataFrame:
-    """CSV with a header. Give a schema for large files; without one every column is read as text."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, required: tuple[str, ...] = ("label",),
+             line_breaks: bool = False) -> DataFrame:
+    """CSV with a header. Give a schema for large files; without one every column is read as text.
+
+    Line breaks inside quotes must be asked for: such a file cannot be split among tasks.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks)
     df = (reader.schema(schema) if schema else reader).csv(path)
     missing = [c for c in required if c not in df.columns]
     if missing:

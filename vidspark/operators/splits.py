@@ -85,7 +85,7 @@ def fill_empty_folds(units: DataFrame, strata: DataFrame, k: int) -> DataFrame:
 def _refill_moves(k: int):
     """UDF for the one row of stratum sizes: '<stratum>\\0<fold>' to the fold the unit goes to."""
     @F.udf("map<string,int>")
-    def moves(strata: list[str] | None, sizes: list[int] | None) -> dict[str, int] | None:
+    def moves(strata, sizes):
         if strata is None:
             return None
         members = [[s for s, n in zip(strata, sizes) if n > i] for i in range(k)]

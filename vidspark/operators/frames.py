@@ -28,9 +28,9 @@ PIXEL_FEATURES = BASE_FEATURES + SCALED_FEATURES
 
 
 def gray_of(rgb: np.ndarray) -> np.ndarray:
-    """(n, h, w, 3) bytes to (n, h, w) whole gray levels."""
-    weights = np.array([0.299, 0.587, 0.114])
-    return np.floor(rgb.astype(np.float64) @ weights + 0.5)
+    """(n, h, w, 3) bytes to (n, h, w) whole gray levels, weighted in thousandths so that halves round alike everywhere."""
+    r, g, b = (rgb[..., i].astype(np.int32) for i in range(3))
+    return ((299 * r + 587 * g + 114 * b + 500) // 1000).astype(np.float64)
 
 
 def _reflected(g: np.ndarray, by: int) -> np.ndarray:

@@ -20,9 +20,9 @@ def a9(spark, d):
                             "l_discount": F.round("l_discount", 6)})
 
 
-@query("a27_correlations", """SELECT 'l_quantity' AS feature_1, 'l_extendedprice' AS feature_2, round(corr(l_quantity, l_extendedprice), 6) AS correlation FROM lineitem
-UNION ALL SELECT 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) FROM lineitem
-UNION ALL SELECT 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 6) FROM lineitem""")
+@query("a27_correlations", """SELECT 'l_quantity' AS feature_1, 'l_extendedprice' AS feature_2, round(corr(l_quantity, l_extendedprice), 6) + 0.0::DOUBLE AS correlation FROM lineitem
+UNION ALL SELECT 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) + 0.0::DOUBLE FROM lineitem
+UNION ALL SELECT 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 6) + 0.0::DOUBLE FROM lineitem""")
 def a27(spark, d):
     return rounded(fe.correlation_pairs(t.load(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
 
@@ -168,15 +168,15 @@ _FULL = f"""WITH {_GAPPY}, filled AS (SELECT id, coalesce(price, (SELECT avg(pri
   coalesce("group", (SELECT avg("group") FROM gappy)) AS grp FROM gappy)"""
 
 
-@query("f5_standard_scaling", f"""{_FULL} SELECT id, round((price - (SELECT avg(price) FROM filled)) / (SELECT stddev_pop(price) FROM filled), 4) AS price,
-  round((grp - (SELECT avg(grp) FROM filled)) / (SELECT stddev_pop(grp) FROM filled), 4) AS "group" FROM filled""")
+@query("f5_standard_scaling", f"""{_FULL} SELECT id, round((price - (SELECT avg(price) FROM filled)) / (SELECT stddev_pop(price) FROM filled), 4) + 0.0::DOUBLE AS price,
+  round((grp - (SELECT avg(grp) FROM filled)) / (SELECT stddev_pop(grp) FROM filled), 4) + 0.0::DOUBLE AS "group" FROM filled""")
 def f5a(spark, d):
     return _prepared(spark, d, normalize=False)
 
 
 @query("f5_robust_scaling", f"""{_FULL}, q AS (SELECT quantile_cont(price, 0.25) AS p1, quantile_cont(price, 0.5) AS p2, quantile_cont(price, 0.75) AS p3,
   quantile_cont(grp, 0.25) AS g1, quantile_cont(grp, 0.5) AS g2, quantile_cont(grp, 0.75) AS g3 FROM filled)
-SELECT id, round((price - p2) / (p3 - p1), 4) AS price, round((grp - g2) / (g3 - g1), 4) AS "group" FROM filled, q""")
+SELECT id, round((price - p2) / (p3 - p1), 4) + 0.0::DOUBLE AS price, round((grp - g2) / (g3 - g1), 4) + 0.0::DOUBLE AS "group" FROM filled, q""")
 def f5b(spark, d):
     return _prepared(spark, d, scaling="robust", normalize=False)
 
@@ -192,7 +192,7 @@ def f6(spark, d):
 @query("f7_fitted_preprocessor", f"""WITH {_GAPPY}, filled AS (SELECT id, coalesce(price, -1.0::DOUBLE) AS price, coalesce("group", -1.0::DOUBLE) AS grp FROM gappy),
 s AS (SELECT id, (price - (SELECT avg(price) FROM filled)) / (SELECT stddev_pop(price) FROM filled) AS p,
          (grp - (SELECT avg(grp) FROM filled)) / (SELECT stddev_pop(grp) FROM filled) AS g FROM filled)
-SELECT id, round(p / sqrt(p * p + g * g), 4) AS price, round(g / sqrt(p * p + g * g), 4) AS "group" FROM s""")
+SELECT id, round(p / sqrt(p * p + g * g), 4) + 0.0::DOUBLE AS price, round(g / sqrt(p * p + g * g), 4) + 0.0::DOUBLE AS "group" FROM s""")
 def f7(spark, d):
     return _prepared(spark, d, imputation="constant", constant=-1.0)
 

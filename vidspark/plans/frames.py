@@ -9,23 +9,34 @@ from vidspark.functions.arrays import AUGMENTATION_TYPES
 from vidspark.operators import frames as fr
 from vidspark.plans.registry import query
 from vidspark.plans.reports import rounded
+from vidspark.plans.views import BLOCKS, BOUNDARY, DCT, GRAY, NEIGHBOURS
 
 
-def _columns(*names):
+OFF_HALVES = 0.0000123  # many of these values are exact halves of the last digit shown, which engines round either way
+
+
+def shown(df, columns):
+    return df.withColumns({c: F.round(F.col(c) + OFF_HALVES, 4) + 0.0 for c in columns})
+
+
+def _register(name: str, columns: list[str], views: str, table: str) -> None:
+    """One group of features per frame, and the same in SQL."""
+    picked = ", ".join(f"round({c} + {OFF_HALVES:.7f}::DOUBLE, 4) + 0.0::DOUBLE AS {c}" for c in columns)
+
+    @query(name, f"WITH {views} SELECT video_id, frame_idx, {picked} FROM {table}")
     def run(spark, d):
         out = fr.frame_features(t.frames(spark, d), ["video_id", "frame_idx"])
-        return rounded(out.select("video_id", "frame_idx", *names), 4)
-    return run
+        return shown(out.select("video_id", "frame_idx", *columns), columns)
 
 
-query("v1_noise_residual")(_columns("noise_energy", "noise_mean", "noise_std"))
-query("v2_dct_statistics")(_columns("dct_dc_mean", "dct_dc_std", "dct_ac_mean", "dct_ac_std", "dct_ac_energy"))
-query("v3_sharpness")(_columns("laplacian_var", "gradient_mean", "gradient_std"))
-query("v4_boundary_inconsistency")(_columns("boundary_inconsistency"))
-query("v6_edge_density")(_columns("edge_density_grad"))
-query("v7_texture_uniformity")(_columns("texture_uniformity"))
-query("v8_color_spread")(_columns("color_consistency_r", "color_consistency_g", "color_consistency_b"))
-query("v9_blockiness")(_columns("compression_artifacts"))
+_register("v1_noise_residual", ["noise_energy", "noise_mean", "noise_std"], NEIGHBOURS, "simple")
+_register("v2_dct_statistics", ["dct_dc_mean", "dct_dc_std", "dct_ac_mean", "dct_ac_std", "dct_ac_energy"], f"{GRAY}, {DCT}", "dct")
+_register("v3_sharpness", ["laplacian_var", "gradient_mean", "gradient_std"], NEIGHBOURS, "simple")
+_register("v4_boundary_inconsistency", ["boundary_inconsistency"], BOUNDARY, "boundary")
+_register("v6_edge_density", ["edge_density_grad"], NEIGHBOURS, "simple")
+_register("v7_texture_uniformity", ["texture_uniformity"], NEIGHBOURS, "simple")
+_register("v8_color_spread", ["color_consistency_r", "color_consistency_g", "color_consistency_b"], NEIGHBOURS, "simple")
+_register("v9_blockiness", ["compression_artifacts"], f"{GRAY}, {BLOCKS}", "blocks")
 
 
 def codec_table(spark, d):
@@ -36,9 +47,22 @@ def codec_table(spark, d):
         F.when(n % 2 == 0, 25.0).alias("codec_fps"), F.lit(float(t.FRAME_SIDE ** 2)).alias("codec_resolution"))
 
 
-@query("v5_clip_features")
+_MEANS = ", ".join(f"avg({c}) AS {c}" for c in fr.PIXEL_FEATURES)
+_ROUNDED = ", ".join(f"round({c} + {OFF_HALVES:.7f}::DOUBLE, 4) + 0.0::DOUBLE AS {c}" for c in fr.BASE_FEATURES + fr.CODEC_FEATURES + fr.SCALED_FEATURES)
+_CUES = """cues AS (SELECT doc_id AS video_id, CAST(n_chars * 8 AS DOUBLE) AS codec_bitrate,
+  CASE WHEN n_chars % 2 = 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS codec_fps, 576.0::DOUBLE AS codec_resolution FROM documents)"""
+
+
+@query("v5_clip_features", f"""WITH {NEIGHBOURS}, {BOUNDARY[len(GRAY) + 2:]}, {BLOCKS}, {DCT}, {_CUES},
+means AS (SELECT video_id, {_MEANS} FROM simple JOIN boundary USING (video_id, frame_idx) JOIN blocks USING (video_id, frame_idx)
+  JOIN dct USING (video_id, frame_idx) GROUP BY video_id),
+every_clip AS (SELECT * FROM cues JOIN means USING (video_id)
+UNION ALL BY NAME SELECT *, {", ".join(f"{1.0 if c == 'texture_uniformity' else 0.0}::DOUBLE AS {c}" for c in fr.PIXEL_FEATURES)}
+  FROM cues WHERE video_id NOT IN (SELECT video_id FROM means))
+SELECT video_id, {_ROUNDED} FROM every_clip""")
 def v5(spark, d):
-    return rounded(fr.clip_features(t.frames(spark, d), codec_table(spark, d)), 4)
+    out = fr.clip_features(t.frames(spark, d), codec_table(spark, d))
+    return shown(out, out.columns[1:])
 
 
 @query("v12_stand_in_features", """SELECT doc_id AS video_id, 0.0::DOUBLE AS noise_energy, 1.0::DOUBLE AS texture_uniformity,

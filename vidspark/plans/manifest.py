@@ -127,8 +127,8 @@ def p6(spark, d):
     return rows.where(hit | ~found)
 
 
-@query("p7_expected_clips", f"""WITH {STAGE1} SELECT count_if(is_original) AS originals, count_if(NOT is_original) AS augmented,
-  count_if(is_original) * 11 AS expected, count_if(is_original) * 11 - count(*) AS missing FROM stage1""")
+@query("p7_expected_clips", f"""WITH {STAGE1} SELECT count(*) FILTER (WHERE is_original) AS originals, count(*) FILTER (WHERE NOT is_original) AS augmented,
+  count(*) FILTER (WHERE is_original) * 11 AS expected, count(*) FILTER (WHERE is_original) * 11 - count(*) AS missing FROM stage1""")
 def p7(spark, d):
     n = F.count_if("is_original")
     return t.stage1(t.manifest(spark, d)).agg(n.alias("originals"), F.count_if(~F.col("is_original")).alias("augmented"),
@@ -236,8 +236,8 @@ def j13(spark, d):
         .groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j14_file_consistency", """SELECT count(*) AS total_rows, count_if(doc_id % 3 <> 0) AS files_found, count_if(doc_id % 3 = 0) AS files_missing,
-  count_if(doc_id % 3 = 0) = 0 AS is_consistent FROM documents""")
+@query("j14_file_consistency", """SELECT count(*) AS total_rows, count(*) FILTER (WHERE doc_id % 3 <> 0) AS files_found, count(*) FILTER (WHERE doc_id % 3 = 0) AS files_missing,
+  count(*) FILTER (WHERE doc_id % 3 = 0) = 0 AS is_consistent FROM documents""")
 def j14(spark, d):
     docs, k = t.load(spark, d, "documents").select("doc_id"), F.col("doc_id")
     i = k.cast("string")

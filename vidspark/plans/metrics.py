@@ -26,13 +26,13 @@ def a11(spark, d):
 
 
 @query("a12_positive_weight", f"""WITH {MANIFEST}
-SELECT round(count_if(label = 0)::DOUBLE / count_if(label = 1), 6) AS scale_pos_weight FROM manifest""")
+SELECT round(count(*) FILTER (WHERE label = 0)::DOUBLE / count(*) FILTER (WHERE label = 1), 6) AS scale_pos_weight FROM manifest""")
 def a12(spark, d):
     return rounded(m.positive_weight(t.manifest(spark, d)))
 
 
-_CONF = """c AS (SELECT count_if(y_pred = 1 AND y_true = 1) AS tp, count_if(y_pred = 0 AND y_true = 0) AS tn,
-  count_if(y_pred = 1 AND y_true = 0) AS fp, count_if(y_pred = 0 AND y_true = 1) AS fn FROM scored)"""
+_CONF = """c AS (SELECT count(*) FILTER (WHERE y_pred = 1 AND y_true = 1) AS tp, count(*) FILTER (WHERE y_pred = 0 AND y_true = 0) AS tn,
+  count(*) FILTER (WHERE y_pred = 1 AND y_true = 0) AS fp, count(*) FILTER (WHERE y_pred = 0 AND y_true = 1) AS fn FROM scored)"""
 _PR = """pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS p1,
   CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS r1,
   CASE WHEN tn + fn > 0 THEN tn::DOUBLE / (tn + fn) ELSE 0 END AS p0,
@@ -47,7 +47,7 @@ def a13(spark, d):
 
 
 @query("a14_confusion_matrix", f"""WITH {SCORED}
-SELECT y_true, count_if(y_pred = 0) AS pred_0, count_if(y_pred = 1) AS pred_1 FROM scored GROUP BY y_true""")
+SELECT y_true, count(*) FILTER (WHERE y_pred = 0) AS pred_0, count(*) FILTER (WHERE y_pred = 1) AS pred_1 FROM scored GROUP BY y_true""")
 def a14(spark, d):
     return m.confusion_matrix(t.scored(spark, d))
 
@@ -63,7 +63,7 @@ def a15(spark, d):
     return rounded(m.full_metrics(t.scored(spark, d)))
 
 
-_STEPS = """per AS (SELECT p1 AS threshold, count_if(y_true = 1) AS pos, count_if(y_true = 0) AS neg FROM scored GROUP BY p1),
+_STEPS = """per AS (SELECT p1 AS threshold, count(*) FILTER (WHERE y_true = 1) AS pos, count(*) FILTER (WHERE y_true = 0) AS neg FROM scored GROUP BY p1),
 steps AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS tpos, sum(neg) OVER () AS tneg FROM per
   WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING))"""
 _AUC = "(SELECT sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / (max(tpos)::DOUBLE * max(tneg)) FROM steps)"
@@ -93,7 +93,7 @@ def a18b(spark, d):
 
 
 @query("w8_score_steps", """WITH per AS (
-  SELECT l_extendedprice AS threshold, count_if(l_returnflag = 'R') AS pos, count_if(l_returnflag <> 'R') AS neg
+  SELECT l_extendedprice AS threshold, count(*) FILTER (WHERE l_returnflag = 'R') AS pos, count(*) FILTER (WHERE l_returnflag <> 'R') AS neg
   FROM lineitem GROUP BY 1)
 SELECT threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp FROM per
 WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)""")

@@ -22,8 +22,8 @@ def dq1b(spark, d):
 
 
 @query("dq2_stage1_contract", f"""WITH {STAGE1}
-SELECT 'video_path' AS "column", 'present' AS state, count_if(video_path IS NULL) AS violations, count_if(video_path IS NULL) = 0 AS is_valid FROM stage1
-UNION ALL SELECT 'label', 'present', count_if(label IS NULL), count_if(label IS NULL) = 0 FROM stage1
+SELECT 'video_path' AS "column", 'present' AS state, count(*) FILTER (WHERE video_path IS NULL) AS violations, count(*) FILTER (WHERE video_path IS NULL) = 0 AS is_valid FROM stage1
+UNION ALL SELECT 'label', 'present', count(*) FILTER (WHERE label IS NULL), count(*) FILTER (WHERE label IS NULL) = 0 FROM stage1
 UNION ALL SELECT 'original_video', 'present', 0, true UNION ALL SELECT 'augmentation_idx', 'present', 0, true
 UNION ALL SELECT 'is_original', 'present', 0, true UNION ALL SELECT 'augmentation_type', 'unexpected', 0, false""")
 def dq2(spark, d):
@@ -31,7 +31,7 @@ def dq2(spark, d):
 
 
 @query("dq2_text_columns", """SELECT 'video_path' AS "column", 'missing' AS state, 0::BIGINT AS violations, false AS is_valid
-UNION ALL SELECT 'label', 'present', (SELECT count_if(event_id % 10 = 0) FROM events), (SELECT count_if(event_id % 10 = 0) = 0 FROM events)""")
+UNION ALL SELECT 'label', 'present', (SELECT count(*) FILTER (WHERE event_id % 10 = 0) FROM events), (SELECT count(*) FILTER (WHERE event_id % 10 = 0) = 0 FROM events)""")
 def dq2b(spark, d):
     rows = t.load(spark, d, "events").select(F.when(F.col("event_id") % 10 == 0, F.col("event_type"))
                                              .otherwise((F.col("event_id") % 2).cast("string")).alias("label"))
@@ -43,7 +43,7 @@ def dq3(spark, d):
     return q.check_features(t.stage2_features(spark, d).drop("seq"), 7)
 
 
-@query("dq3_vector_length", "SELECT count(*) AS n_rows, count_if(len(embedding) <> 64) AS n_wrong, count_if(len(embedding) <> 64) = 0 AS is_valid FROM embeddings")
+@query("dq3_vector_length", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE len(embedding) <> 64) AS n_wrong, count(*) FILTER (WHERE len(embedding) <> 64) = 0 AS is_valid FROM embeddings")
 def dq3b(spark, d):
     return q.check_features(t.load(spark, d, "embeddings"), 64, vector="embedding")
 
@@ -85,9 +85,9 @@ def dq7(spark, d):
 
 @query("dq8_index_verification", f"""WITH {MANIFEST}
 SELECT 'rows' AS "check", 'total' AS item, count(*) AS value FROM manifest
-UNION ALL SELECT 'files', 'missing', count_if(doc_id % 4 = 3) FROM manifest
-UNION ALL SELECT 'label', '0', count_if(label = 0) FROM manifest UNION ALL SELECT 'label', '1', count_if(label = 1) FROM manifest
-UNION ALL SELECT 'label', 'null', count_if(label IS NULL) FROM manifest
+UNION ALL SELECT 'files', 'missing', count(*) FILTER (WHERE doc_id % 4 = 3) FROM manifest
+UNION ALL SELECT 'label', '0', count(*) FILTER (WHERE label = 0) FROM manifest UNION ALL SELECT 'label', '1', count(*) FILTER (WHERE label = 1) FROM manifest
+UNION ALL SELECT 'label', 'null', count(*) FILTER (WHERE label IS NULL) FROM manifest
 UNION ALL SELECT 'required', 'video_path', 1 UNION ALL SELECT 'required', 'label', 1 UNION ALL SELECT 'required', 'codec_name', 0
 UNION ALL SELECT 'filled', 'video_path', count(video_path) FROM manifest UNION ALL SELECT 'filled', 'label', count(label) FROM manifest
 UNION ALL SELECT 'filled', 'fps', count(fps) FROM manifest""")

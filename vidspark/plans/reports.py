@@ -12,8 +12,9 @@ from vidspark.plans.views import FOLDS, LOG, MANIFEST, SCALED, STAGE1, STAGE2
 
 
 def rounded(df, places: int = 6):
+    """Doubles rounded, and without negative zeros, so that two engines agree on them."""
     doubles = {f.name for f in df.schema if f.dataType.simpleString() == "double"}
-    return df.select(*[F.round(c, places).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.select(*[(F.round(c, places) + 0.0).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
 @query("a1_video_statistics", f"""WITH {STAGE1}
@@ -69,9 +70,9 @@ def a6(spark, d):
 
 
 @query("a7_dataset_profile", f"""WITH {MANIFEST}
-SELECT count(*) AS total_videos, count_if(label = 0) AS real_count, count_if(label = 1) AS fake_count,
-       round(count_if(label = 0)::DOUBLE / count(*) * 100, 6) AS real_pct,
-       round(count_if(label = 1)::DOUBLE / count(*) * 100, 6) AS fake_pct, round(avg(duration_sec), 4) AS avg_duration,
+SELECT count(*) AS total_videos, count(*) FILTER (WHERE label = 0) AS real_count, count(*) FILTER (WHERE label = 1) AS fake_count,
+       round(count(*) FILTER (WHERE label = 0)::DOUBLE / count(*) * 100, 6) AS real_pct,
+       round(count(*) FILTER (WHERE label = 1)::DOUBLE / count(*) * 100, 6) AS fake_pct, round(avg(duration_sec), 4) AS avg_duration,
        round(sum(duration_sec) / 3600, 4) AS total_duration_hours FROM manifest""")
 def a7(spark, d):
     out = r.dataset_profile(t.manifest(spark, d))
@@ -133,7 +134,7 @@ def a22(spark, d):
 @query("a23_pairwise_t", f"""WITH {FOLDS}, m AS (
   SELECT model, count(*) AS n, avg(val_acc) AS mean, var_samp(val_acc) AS v FROM folds GROUP BY model)
 SELECT a.model AS model_1, b.model AS model_2,
-       round((a.mean - b.mean) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)), 4)
+       round((a.mean - b.mean) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)), 4) + 0.0::DOUBLE
        AS t_statistic, CAST(a.n + b.n - 2 AS DOUBLE) AS dof
 FROM m a JOIN m b ON a.model < b.model""")
 def a23(spark, d):
@@ -153,10 +154,10 @@ def j15(spark, d):
     return pairs.select("model_1", "model_2", display_name(F.col("model_1")).alias("name_1"))
 
 
-@query("a26_validity_rate", """SELECT count(*) AS checked, count_if(quality = 1) AS valid,
-       count_if(quality = 0 AND toxic = 1) AS corrupted,
-       round(count_if(quality = 1)::DOUBLE / count(*), 6) AS valid_rate,
-       count_if(quality = 1)::DOUBLE / count(*) >= 0.9 AS keep_all FROM labels""")
+@query("a26_validity_rate", """SELECT count(*) AS checked, count(*) FILTER (WHERE quality = 1) AS valid,
+       count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS corrupted,
+       round(count(*) FILTER (WHERE quality = 1)::DOUBLE / count(*), 6) AS valid_rate,
+       count(*) FILTER (WHERE quality = 1)::DOUBLE / count(*) >= 0.9 AS keep_all FROM labels""")
 def a26(spark, d):
     verdicts = t.load(spark, d, "labels").select(
         (F.col("quality") == 1).alias("is_valid"),

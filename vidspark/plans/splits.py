@@ -132,7 +132,7 @@ def w4(spark, d):
 @query("w5_balanced_batches", f"""WITH {MANIFEST}, r AS (
   SELECT video_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || video_id), video_id) AS rn
   FROM manifest WHERE label IN (0, 1)),
-m AS (SELECT least(count_if(label = 0), count_if(label = 1)) AS smallest FROM manifest)
+m AS (SELECT least(count(*) FILTER (WHERE label = 0), count(*) FILTER (WHERE label = 1)) AS smallest FROM manifest)
 SELECT video_id, label, (rn - 1) // least(4, smallest) AS batch FROM r, m
 WHERE (rn - 1) // least(4, smallest) < smallest // least(4, smallest)""")
 def w5(spark, d):
@@ -175,8 +175,8 @@ def m5(spark, d):
     return mg.leaked_groups(split, "dup_group").agg(F.count(F.lit(1)).alias("leaked"))
 
 
-@query("m6_fold_complement", f"""WITH {CORPUS}, {_FOLD} SELECT k.fold, count_if(f.fold = k.fold) AS val_rows,
-  count_if(f.fold <> k.fold) AS train_rows FROM folded f, (SELECT DISTINCT fold FROM folded) k GROUP BY k.fold""")
+@query("m6_fold_complement", f"""WITH {CORPUS}, {_FOLD} SELECT k.fold, count(*) FILTER (WHERE f.fold = k.fold) AS val_rows,
+  count(*) FILTER (WHERE f.fold <> k.fold) AS train_rows FROM folded f, (SELECT DISTINCT fold FROM folded) k GROUP BY k.fold""")
 def m6(spark, d):
     sizes = s.stratified_folds(t.corpus(spark, d), "video_id").groupBy("fold").agg(F.count(F.lit(1)).alias("val_rows"))
     return sizes.withColumn("train_rows", sizes.agg(F.sum("val_rows")).scalar() - F.col("val_rows"))

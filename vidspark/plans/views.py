@@ -71,3 +71,53 @@ STAGE4 = """stage4 AS (
 TARGETS = """targets AS (
   SELECT 'clips/' || CAST(o_orderkey AS VARCHAR) || '_Aug1.mp4' AS video_path, o_orderkey AS id,
          CAST(o_orderstatus = 'F' AS INTEGER) AS label FROM orders)"""
+
+# Frames once more from the text's bytes in hex: three bytes a pixel, 576 pixels a frame, zeros after the end. Neighbours
+# come from windows along rows (r) and columns (c); at a border the inner neighbour stands in for the missing one.
+GRAY = """padded AS (
+  SELECT doc_id AS video_id, rpad(h, CAST(ceil(length(h) / 3456.0::DOUBLE) * 3456 AS INTEGER), '0') AS h
+  FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents) WHERE length(h) > 0),
+pieces AS (SELECT video_id, unnest(regexp_extract_all(h, '.{6}')) AS p, unnest(range(length(h) // 6)) AS i FROM padded),
+pixels AS (SELECT video_id, CAST(i // 576 AS INTEGER) AS frame_idx, i % 576 // 24 AS y, i % 24 AS x,
+  CAST('0x' || substr(p, 1, 2) AS BIGINT) AS red, CAST('0x' || substr(p, 3, 2) AS BIGINT) AS green,
+  CAST('0x' || substr(p, 5, 2) AS BIGINT) AS blue FROM pieces),
+gray AS (SELECT *, (299 * red + 587 * green + 114 * blue + 500) // 1000 AS v FROM pixels)"""
+
+NEIGHBOURS = GRAY + """, across AS (SELECT *,
+  coalesce(lag(v) OVER r, lead(v) OVER r) AS lf, coalesce(lead(v) OVER r, lag(v) OVER r) AS rt,
+  coalesce(lag(v, 2) OVER r, CASE WHEN x = 0 THEN lead(v, 2) OVER r ELSE v END) AS lf2,
+  coalesce(lead(v, 2) OVER r, CASE WHEN x = 23 THEN lag(v, 2) OVER r ELSE v END) AS rt2
+  FROM gray WINDOW r AS (PARTITION BY video_id, frame_idx, y ORDER BY x)),
+sums AS (SELECT *, lf + v + rt AS s3, lf + v + rt + lf2 + rt2 AS s5, rt - lf AS dx, lf + 2 * v + rt AS wx FROM across),
+kernels AS (SELECT *,
+  9 * v - (coalesce(lag(s3) OVER c, lead(s3) OVER c) + s3 + coalesce(lead(s3) OVER c, lag(s3) OVER c)) AS noise,
+  lf + rt + coalesce(lag(v) OVER c, lead(v) OVER c) + coalesce(lead(v) OVER c, lag(v) OVER c) - 4 * v AS lap,
+  coalesce(lag(dx) OVER c, lead(dx) OVER c) + 2 * dx + coalesce(lead(dx) OVER c, lag(dx) OVER c) AS gx,
+  coalesce(lead(wx) OVER c, lag(wx) OVER c) - coalesce(lag(wx) OVER c, lead(wx) OVER c) AS gy,
+  coalesce(lag(s5, 2) OVER c, CASE WHEN y = 0 THEN lead(s5, 2) OVER c ELSE s5 END) + coalesce(lag(s5) OVER c, lead(s5) OVER c) + s5
+    + coalesce(lead(s5) OVER c, lag(s5) OVER c) + coalesce(lead(s5, 2) OVER c, CASE WHEN y = 23 THEN lag(s5, 2) OVER c ELSE s5 END) AS s25
+  FROM sums WINDOW c AS (PARTITION BY video_id, frame_idx, x ORDER BY y)),
+simple AS (SELECT video_id, frame_idx, CAST(sum(noise * noise) AS DOUBLE) AS noise_energy, avg(noise * noise) AS noise_mean,
+  stddev_pop(noise * noise) AS noise_std, var_pop(lap) AS laplacian_var, avg(sqrt(gx * gx + gy * gy)) AS gradient_mean,
+  stddev_pop(sqrt(gx * gx + gy * gy)) AS gradient_std,
+  avg(CASE WHEN abs(gx) + abs(gy) > 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS edge_density_grad,
+  1.0::DOUBLE / (1.0::DOUBLE + stddev_pop(s25 / 25.0::DOUBLE)) AS texture_uniformity, stddev_pop(red) AS color_consistency_r,
+  stddev_pop(green) AS color_consistency_g, stddev_pop(blue) AS color_consistency_b FROM kernels GROUP BY 1, 2)"""
+
+BOUNDARY = GRAY + """, lines AS (SELECT video_id, frame_idx, stddev_pop(v) AS s FROM gray WHERE y IN (8, 16) GROUP BY 1, 2, y
+  UNION ALL SELECT video_id, frame_idx, stddev_pop(v) FROM gray WHERE x IN (8, 16) GROUP BY 1, 2, x),
+boundary AS (SELECT video_id, frame_idx, avg(s) AS boundary_inconsistency FROM lines GROUP BY 1, 2)"""
+
+BLOCKS = """steps AS (SELECT *, x // 8 AS bx, y // 8 AS by_,
+  CASE WHEN x % 8 > 0 THEN abs(v - lag(v) OVER (PARTITION BY video_id, frame_idx, y ORDER BY x)) END AS h,
+  CASE WHEN y % 8 > 0 THEN abs(v - lag(v) OVER (PARTITION BY video_id, frame_idx, x ORDER BY y)) END AS w FROM gray),
+per_block AS (SELECT video_id, frame_idx, avg(h) + avg(w) AS s FROM steps WHERE x < 16 AND y < 16 GROUP BY 1, 2, bx, by_),
+blocks AS (SELECT video_id, frame_idx, sum(s) / 9.0::DOUBLE AS compression_artifacts FROM per_block GROUP BY 1, 2)"""
+
+DCT = """basis AS (SELECT k, i, cos(pi() * k * (2 * i + 1) / 16) * sqrt(0.25::DOUBLE) * CASE WHEN k = 0 THEN sqrt(0.5::DOUBLE) ELSE 1.0::DOUBLE END AS m
+  FROM range(8) a(k), range(8) b(i)),
+half AS (SELECT video_id, frame_idx, y // 8 AS by_, x, k, sum(m * v) AS s FROM gray JOIN basis ON i = y % 8 GROUP BY ALL),
+coeffs AS (SELECT video_id, frame_idx, by_, x // 8 AS bx, half.k AS u, b.k AS w, sum(b.m * s) AS c FROM half JOIN basis b ON b.i = half.x % 8 GROUP BY ALL),
+dct AS (SELECT video_id, frame_idx, avg(c) FILTER (u = 0 AND w = 0) AS dct_dc_mean, stddev_pop(c) FILTER (u = 0 AND w = 0) AS dct_dc_std,
+  avg(CASE WHEN u = 0 AND w = 0 THEN 0.0::DOUBLE ELSE c END) AS dct_ac_mean, stddev_pop(CASE WHEN u = 0 AND w = 0 THEN 0.0::DOUBLE ELSE c END) AS dct_ac_std,
+  sum(CASE WHEN u = 0 AND w = 0 THEN 0.0::DOUBLE ELSE c * c END) AS dct_ac_energy FROM coeffs GROUP BY 1, 2)"""

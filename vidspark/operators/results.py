@@ -120,12 +120,13 @@ def valid_fold_means(df: DataFrame, columns: list[str], model: str = "model") ->
 
 def summary_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: mean, population deviation, extremes and exact quartiles."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value") \
-        .where(F.col("value").isNotNull())
-    moments = long.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-                                         F.min("value").alias("min"), F.max("value").alias("max"))
+    entries = F.array(*[F.struct(
+        F.lit(c).alias("column"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).cast("double").alias("min"),
+        F.max(c).cast("double").alias("max")) for c in columns])
+    moments = df.agg(entries.alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*")
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
     quartiles = exact_quantiles(long, ["column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return moments.join(quartiles, "column")
+    return moments.join(quartiles, "column", "left")
 
 
 # ---- Student's t, for the few rows of a model table -----------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vidspark.functions.hashing import uniform
@@ -176,21 +177,15 @@ def weighted_draws(df: DataFrame, key: str, label: str = "label", seed: int = 42
 
     ranked = rank_by_hash(df.where(F.col(label).isNotNull()), [label], [key], f"{seed}-rows")
     weights = class_weights(df, label)
-    mass = weights.select(F.col(label), F.col("n").alias("_n"),
-                          (F.col("weight") * F.col("n")).alias("_mass"))
-    ordered = mass.agg(F.array_sort(F.collect_list(F.struct(label, "_n", "_mass")))).scalar()
+    mass = F.col("weight") * F.col("n")
+    upto = F.sum(mass).over(W.orderBy(label).rowsBetween(W.unboundedPreceding, 0)) / F.sum(mass).over(W.partitionBy())
+    classes = weights.select(label, "n", upto.alias("upto")) \
+        .agg(F.array_sort(F.collect_list(F.struct("upto", label, "n")))).scalar()  # a row per class in one list
     draws = df.where(F.col(label).isNotNull()).select(
         F.col(key).alias("draw"), uniform(f"{seed}-class", F.col(key)).alias("_u1"),
-        uniform(f"{seed}-row", F.col(key)).alias("_u2")).withColumn("_classes", ordered)
-    total = F.aggregate("_classes", F.lit(0.0), lambda a, c: a + c["_mass"])
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("hit"), F.lit(0).alias("i"))
-    hit = F.aggregate(
-        "_classes", start,
-        lambda a, c: F.struct((a["sum"] + c["_mass"]).alias("sum"),
-                              F.when((a["hit"] < 0) & (F.col("_u1") * total < a["sum"] + c["_mass"]), a["i"])
-                              .otherwise(a["hit"]).alias("hit"), (a["i"] + 1).alias("i")),
-        lambda a: F.when(a["hit"] < 0, a["i"] - 1).otherwise(a["hit"]))
-    chosen = draws.select("draw", "_u2", F.get("_classes", hit).alias("_c")).select(
+        uniform(f"{seed}-row", F.col(key)).alias("_u2")).withColumn("_classes", classes)
+    hit = F.coalesce(F.get(F.filter("_classes", lambda c: F.col("_u1") < c["upto"]), F.lit(0)), F.element_at("_classes", -1))
+    chosen = draws.select("draw", "_u2", hit.alias("_c")).select(
         "draw", F.col(f"_c.{label}").alias(label),
-        F.least(F.floor(F.col("_u2") * F.col("_c._n")) + 1, F.col("_c._n")).alias("rn"))
+        F.least(F.floor(F.col("_u2") * F.col("_c.n")) + 1, F.col("_c.n")).alias("rn"))
     return chosen.join(ranked.select(label, "rn", key), [label, "rn"]).select("draw", F.col(key), label)

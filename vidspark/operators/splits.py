@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vidspark.functions.hashing import uniform
@@ -175,17 +175,17 @@ def weighted_draws(df: DataFrame, key: str, label: str = "label", seed: int = 42
     """
     from vidspark.operators.metrics import class_weights
 
-    ranked = rank_by_hash(df.where(F.col(label).isNotNull()), [label], [key], f"{seed}-rows")
-    weights = class_weights(df, label)
-    mass = F.col("weight") * F.col("n")
-    upto = F.sum(mass).over(W.orderBy(label).rowsBetween(W.unboundedPreceding, 0)) / F.sum(mass).over(W.partitionBy())
-    classes = weights.select(label, "n", upto.alias("upto")) \
-        .agg(F.array_sort(F.collect_list(F.struct("upto", label, "n")))).scalar()  # a row per class in one list
-    draws = df.where(F.col(label).isNotNull()).select(
-        F.col(key).alias("draw"), uniform(f"{seed}-class", F.col(key)).alias("_u1"),
-        uniform(f"{seed}-row", F.col(key)).alias("_u2")).withColumn("_classes", classes)
-    hit = F.coalesce(F.get(F.filter("_classes", lambda c: F.col("_u1") < c["upto"]), F.lit(0)), F.element_at("_classes", -1))
-    chosen = draws.select("draw", "_u2", hit.alias("_c")).select(
-        "draw", F.col(f"_c.{label}").alias(label),
-        F.least(F.floor(F.col("_u2") * F.col("_c.n")) + 1, F.col("_c.n")).alias("rn"))
+    classes = class_weights(df, label).orderBy(label).collect()  # one row per class
+    total = sum(c["weight"] * c["n"] for c in classes)
+    bounds = [b / total for b in accumulate(c["weight"] * c["n"] for c in classes)][:-1]
+    rows = df.where(F.col(label).isNotNull())
+    draws = rows.select(F.col(key).alias("draw"), uniform(f"{seed}-class", F.col(key)).alias("_u1"),
+                        uniform(f"{seed}-row", F.col(key)).alias("_u2"))
+    place = F.lit(1)
+    for bound in bounds:
+        place = place + (F.col("_u1") >= F.lit(bound)).cast("int")
+    size = F.element_at(F.array(*[F.lit(c["n"]) for c in classes]), place)
+    chosen = draws.select("draw", F.element_at(F.array(*[F.lit(c[label]) for c in classes]), place).alias(label),
+                          F.least(F.floor(F.col("_u2") * size) + 1, size).alias("rn"))
+    ranked = rank_by_hash(rows, [label], [key], f"{seed}-rows")
     return chosen.join(ranked.select(label, "rn", key), [label, "rn"]).select("draw", F.col(key), label)

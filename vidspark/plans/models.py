@@ -77,7 +77,13 @@ def f17(spark, d):
     return rounded(m.basic_metrics(out), 4)
 
 
-@query("f18_scored_grid")
+_ROWS = "rows_ AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"
+
+
+@query("f18_scored_grid", f"""WITH {_ROWS}, grid AS (SELECT CAST(row_number() OVER (ORDER BY c, m) - 1 AS INTEGER) AS entry,
+  '[(''C'', ' || c || '), (''max_iter'', ' || m || ')]' AS params
+  FROM (SELECT unnest(['0.1', '1.0', '10.0']) AS c), (SELECT unnest(['1000', '2000']) AS m))
+SELECT entry, params, CAST(id % 3 AS INTEGER) AS fold, count(*) AS n_rows FROM grid, rows_ GROUP BY ALL""")
 def f18(spark, d):
     """Rows an entry of the grid would see per fold of the feature table."""
     grid = spark.createDataFrame([(i, str(sorted(p.items()))) for i, p in enumerate(mo.parameter_grid("logistic_regression_stage2"))],
@@ -87,7 +93,7 @@ def f18(spark, d):
     return sizes.withColumn("_g", F.explode(entries)).select("_g.*", "fold", "n_rows")
 
 
-@query("f20_saved_model")
+@query("f20_saved_model", f"WITH {_ROWS} SELECT count(*) AS n, count(*) AS same FROM rows_")
 def f20(spark, d):
     rows = feature_table(spark, d)
     fitted = mo.model_pipeline("logistic_regression", COLUMNS, rows.count(), max_iter=5).fit(rows)

@@ -203,6 +203,14 @@ def a29(spark, d):
     return rounded(s.fold_balance(s.stratified_folds(t.corpus(spark, d), "video_id")))
 
 
-@query("j17_weighted_draws")
+@query("j17_weighted_draws", """WITH c AS (SELECT o_orderstatus AS label, count(*) AS n FROM orders GROUP BY 1),
+m AS (SELECT *, sum(n / (n + 1e-6::DOUBLE)) OVER (ORDER BY label ROWS UNBOUNDED PRECEDING) / sum(n / (n + 1e-6::DOUBLE)) OVER () AS upto FROM c),
+u AS (SELECT o_orderkey AS draw, CAST('0x' || substr(md5('42-class-' || o_orderkey), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u1,
+  CAST('0x' || substr(md5('42-row-' || o_orderkey), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u2 FROM orders),
+p AS (SELECT draw, u2, (SELECT min(label) FROM m WHERE u1 < upto) AS label FROM u),
+q AS (SELECT draw, label, least(CAST(floor(u2 * n) AS BIGINT) + 1, n) AS rn FROM p JOIN c USING (label)),
+r AS (SELECT o_orderkey AS video_id, o_orderstatus AS label,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42-rows-' || o_orderkey), o_orderkey) AS rn FROM orders)
+SELECT draw, video_id, label FROM q JOIN r USING (label, rn)""")
 def j17(spark, d):
     return s.weighted_draws(t.corpus(spark, d).select("video_id", "label"), "video_id")

@@ -39,7 +39,7 @@ def test_match_keys(spark):
 
 
 def test_clip_ids(spark):
-    paths = ["FVC/youtube/IJf_x-1/video.mp4", "video.mp4", "/video.mp4", "a b/v.mp4", "é1/v.mp4", "./v.mp4"]
+    paths = ["set/youtube/IJf_x-1/video.mp4", "video.mp4", "/video.mp4", "a b/v.mp4", "é1/v.mp4", "./v.mp4"]
     got = [r["k"] for r in values(spark, [(p,) for p in paths], "p string", k=text.clip_id(F.col("p")))]
     assert got == ["IJf_x-1", hashlib.md5(b"video.mp4").hexdigest()[:12], "_", "a_b", "é1", hashlib.md5(b"./v.mp4").hexdigest()[:12]]
 

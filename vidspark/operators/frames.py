@@ -7,15 +7,20 @@ Arrow batches are bounded in bytes, not only in rows, since ten thousand rows of
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidspark.functions.hashing import seed_of
 
+# Tasks get these functions by value: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STACK_BYTES = 192 << 10  # pixels worked on at a time: small enough for the cache, one frame at least
 BATCH_BYTES = 64 << 20
 BLOCK = 8

@@ -80,8 +80,12 @@ def predictions(model, df: DataFrame, key: str, label: str = "label") -> DataFra
 
 
 def cross_validate(df: DataFrame, kind: str, columns: list[str], key: str, label: str = "label", k: int = 5,
-                   fold: str = "fold", **params) -> DataFrame:
-    """Pooled out-of-fold predictions, one fit per fold on the rows outside it (F14). Fold metrics follow by grouping."""
+                   fold: str = "fold", stored: bool = False, **params) -> DataFrame:
+    """Pooled out-of-fold predictions, one fit per fold on the rows outside it (F14). Fold metrics follow by grouping.
+
+    Every fit makes several passes, so the needed columns are written once, unless ``stored`` says the table is a file.
+    """
+    df = df if stored else materialize(df.select(key, label, fold, *columns), "folds")
     sizes = {r[fold]: r["n"] for r in df.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}  # k rows
     total = sum(sizes.values())
     parts = []
@@ -112,10 +116,10 @@ def search_and_fit(df: DataFrame, kind: str, columns: list[str], key: str, grid:
     searched = rows.where(F.col(sample))
     scored = []
     for params in grid:
-        preds = cross_validate(searched, kind, columns, key, label, k, fold, **params)
+        preds = cross_validate(searched, kind, columns, key, label, k, fold, stored=True, **params)
         scored.append((full_metrics(preds).head()["val_f1"], params))
     best = max(scored, key=lambda s: s[0])[1]
-    folds = fold_metrics(cross_validate(rows, kind, columns, key, label, k, fold, **best))
+    folds = fold_metrics(cross_validate(rows, kind, columns, key, label, k, fold, stored=True, **best))
     model = model_pipeline(kind, columns, rows.count(), label, **best).fit(rows)
     return model, best, folds, predictions(model, test, key, label)
 
@@ -126,7 +130,7 @@ def stacked(preds: DataFrame, key: str, models: list[str], is_train, label: str
     Returns (model, predictions for the rows outside ``is_train``).
     """
     wide = preds.groupBy(key, label).pivot("model", models).agg(F.avg("p1"))
-    wide = wide.fillna(0.5, models)
+    wide = materialize(wide.fillna(0.5, models), "stacked")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=models, outputCol="features"),
                             LogisticRegression(featuresCol="features", labelCol=label, maxIter=50)])
     fitted = pipe.fit(wide.where(is_train))

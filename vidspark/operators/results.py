@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,10 @@ from vidspark.functions.numeric import nan_to_null
 from vidspark.operators.ranking import exact_quantiles
 
 
+# Tasks get the t-distribution by value: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class Analytics:
     """Canned statistics and free SQL over registered tables."""
 

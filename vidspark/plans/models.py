@@ -55,7 +55,7 @@ def f12(spark, d):
 
 @query("f14_cross_validation")
 def f14(spark, d):
-    preds = mo.cross_validate(feature_table(spark, d), "logistic_regression", COLUMNS, "id", k=3, C=1.0, max_iter=10)
+    preds = mo.cross_validate(feature_table(spark, d), "logistic_regression", COLUMNS, "id", k=3, stored=True, C=1.0, max_iter=10)
     return rounded(mo.fold_metrics(preds), 4)
 
 

@@ -171,9 +171,11 @@ def frame_features(frames: DataFrame, keys: list[str]) -> DataFrame:
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part, rgb in _stacks(pdf):
-                out = part[keys].reset_index(drop=True)
-                yield pd.concat([out, pd.DataFrame(pixel_features(rgb), columns=PIXEL_FEATURES)], axis=1)
+            done = [(part[keys], pixel_features(rgb)) for part, rgb in _stacks(pdf)]
+            if done:
+                out = pd.concat([part for part, _ in done], ignore_index=True)
+                values = pd.DataFrame(np.concatenate([v for _, v in done]), columns=PIXEL_FEATURES)
+                yield pd.concat([out, values], axis=1)
 
     return _bounded_batches(frames).select(*keys, *[c for c in ("h", "w", "pixels") if c not in keys]).mapInPandas(compute, schema)
 

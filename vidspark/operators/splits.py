@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vidspark.functions.hashing import uniform
@@ -73,31 +74,36 @@ def fill_empty_folds(units: DataFrame, strata: DataFrame, k: int) -> DataFrame:
     """Moves one whole unit into each empty fold, always out of the fullest fold (D3).
 
     Fold i gets a unit from every stratum with more than i units, so a fold is empty only if all strata have fewer
-    than k. Then no stratum has two units in a fold, and (stratum, fold) names a unit. The sizes of the strata, one row,
-    tell which ones move; nothing is gathered when a stratum has k units or more.
+    than k. Then no stratum has two units in a fold, and (stratum, fold) names a unit. At most k units move, each the
+    last of its fold in the order of strata, so k strata of each size are enough to name them, however many there are.
     """
     sizes = strata.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.agg(F.when(F.max("n") < k, F.array_sort(F.collect_list(F.struct("stratum", "n")))).alias("_s"))
-    moves = small.select(_refill_moves(k)(F.col("_s.stratum"), F.col("_s.n")).alias("_m")).scalar()
+    largest = sizes.agg(F.coalesce(F.max("n"), F.lit(k))).scalar()
+    last = F.row_number().over(W.partitionBy("n").orderBy(F.col("stratum").desc()))
+    few = sizes.where(largest < k).withColumn("_rn", last).where(F.col("_rn") <= k)
+    named = few.agg(F.collect_list("stratum").alias("_s"), F.collect_list("n").alias("_n"))
+    members = sizes.agg(F.array(*[F.count_if(F.col("n") > i) for i in range(k)])).scalar()
+    moves = named.select(_refill_moves(k)(F.col("_s"), F.col("_n"), members).alias("_m")).scalar()
     place = F.concat_ws("\x00", F.col("stratum"), F.col("fold").cast("string"))
     return units.withColumn("fold", F.coalesce(F.try_element_at(moves, place), F.col("fold")))
 
 
 def _refill_moves(k: int):
-    """UDF for the one row of stratum sizes: '<stratum>\\0<fold>' to the fold the unit goes to."""
+    """UDF for the one row of strata named above: '<stratum>\\0<fold>' to the fold the unit goes to."""
     @F.udf("map<string,int>")
-    def moves(strata, sizes):
-        if strata is None:
+    def moves(strata, sizes, members):
+        if not strata:
             return None
-        members = [[s for s, n in zip(strata, sizes) if n > i] for i in range(k)]
+        fill = list(members)
+        names = [sorted(s for s, n in zip(strata, sizes) if n > i)[-k:] for i in range(k)]
         out = {}
-        for target in [i for i in range(k) if not members[i]]:
-            donor = max(range(k), key=lambda i: len(members[i]))
-            if len(members[donor]) < 2:
+        for target in [i for i in range(k) if not fill[i]]:
+            donor = max(range(k), key=lambda i: fill[i])
+            if fill[donor] < 2:
                 break
-            unit = members[donor].pop()
-            members[target].append(unit)
-            out[f"{unit}\x00{donor}"] = target
+            out[f"{names[donor].pop()}\x00{donor}"] = target
+            fill[donor] -= 1
+            fill[target] += 1
         return out
     return moves
 

@@ -26,7 +26,7 @@ from vidspark.llm.common import documents, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces remembered by a task, and the longest that is remembered; they bound memory, not results.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 120_000, 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -96,9 +96,9 @@ class Encoder:
         self.ids, self.lengths, self.starts, self.used = np.zeros(1 << 16, np.uint32), [], [], 0
 
     def _learn(self, pieces: list[bytes]) -> None:
-        for k in range(0, len(pieces), 50_000):
-            for piece, coded in zip(pieces[k:k + 50_000], self.tokenizer.encode_batch_fast(
-                    [p.decode() for p in pieces[k:k + 50_000]], add_special_tokens=False)):
+        for k in range(0, len(pieces), 5_000):
+            for piece, coded in zip(pieces[k:k + 5_000], self.tokenizer.encode_batch_fast(
+                    [p.decode() for p in pieces[k:k + 5_000]], add_special_tokens=False)):
                 ids = coded.ids
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -129,11 +129,7 @@ class Encoder:
 
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """docs with the text replaced by ``ids``: little-endian unsigned 32-bit integers as binary."""
-    path = path or tokenizer_path()
-    others = [c for c in docs.columns if c not in (text, "ids")]
-
+def _encoding(path: str, others: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]):
         encoder = Encoder(path)
         for batch, texts in text_slices(batches, text):
@@ -141,29 +137,44 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others),
                                               pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
                                              names=[*others, "ids"])
-
-    out = docs.select(*others, F.lit(None).cast("binary").alias("ids")).schema
-    return docs.select(*others, text).mapInArrow(run, out)
+    return run
 
 
-def decode(coded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
-    """Adds ``decoded``, the text of the ids; null ids give null."""
-    path = path or tokenizer_path()
-    kept = [c for c in coded.columns if c != "decoded"]
-
+def _decoding(path: str, kept: list[str], ids: str):
     def run(batches: Iterator[pa.RecordBatch]):
         vocabulary = Vocabulary(path)
         for batch, packed in text_slices(batches, ids):
             texts = [None if p is None else vocabulary.decode(np.frombuffer(p, "<u4")).decode() for p in packed]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())],
                                              names=[*kept, "decoded"])
+    return run
+
 
+def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """docs with the text replaced by ``ids``: little-endian unsigned 32-bit integers as binary."""
+    others = [c for c in docs.columns if c not in (text, "ids")]
+    out = docs.select(*others, F.lit(None).cast("binary").alias("ids")).schema
+    return docs.select(*others, text).mapInArrow(_encoding(path or tokenizer_path(), others, text), out)
+
+
+def decode(coded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """Adds ``decoded``, the text of the ids; null ids give null."""
+    kept = [c for c in coded.columns if c != "decoded"]
     out = coded.select(*kept, F.lit(None).cast("string").alias("decoded")).schema
-    return coded.select(*kept).mapInArrow(run, out)
+    return coded.select(*kept).mapInArrow(_decoding(path or tokenizer_path(), kept, ids), out)
+
+
+def round_trip(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """decode(encode(docs)) in one pass, so that a task needs one Python worker."""
+    path = path or tokenizer_path()
+    others = [c for c in docs.columns if c not in (text, "ids", "decoded")]
+    there, back = _encoding(path, others, text), _decoding(path, [*others, "ids"], "ids")
+    out = docs.select(*others, F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("string").alias("decoded")).schema
+    return docs.select(*others, text).mapInArrow(lambda batches: back(there(batches)), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(documents(spark, sf_dir))))
+    return digests(round_trip(documents(spark, sf_dir)))
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vidspark.session import materialize, scratch_path, shared_dir  # noqa: F401
 
 # Rows of an Arrow batch are handled in slices of about so many bytes of text; bounds memory only.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 # What [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ leaves apart after A-Z are lower-cased: everything else becomes a space.
 LOWER_WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

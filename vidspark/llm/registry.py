@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from vidspark.llm import bpe, decontaminate, token_files
+from vidspark.llm import bpe, decontaminate, quality_rules, sharding, simhash, token_files
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.query,
     "op5_decontaminate": decontaminate.query,
     "op6_bpe": bpe.query,
+    "op8_sharding": sharding.query,
+    "op9_simhash": simhash.query,
     "op10_token_files": token_files.query,
 }
 ORACLES = {
+    "op3_quality_rules": quality_rules.SQL,
     "op5_decontaminate": decontaminate.SQL,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vidspark.llm import bpe, decontaminate, quality_rules, sharding, simhash, token_files
+from vidspark.llm import bpe, decontaminate, licences, quality_rules, sharding, simhash, token_files
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
+    "op4_licences": licences.query,
     "op5_decontaminate": decontaminate.query,
     "op6_bpe": bpe.query,
     "op8_sharding": sharding.query,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 ORACLES = {
     "op3_quality_rules": quality_rules.SQL,
+    "op4_licences": licences.SQL,
     "op5_decontaminate": decontaminate.SQL,
 }

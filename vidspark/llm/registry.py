@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vidspark.llm import bpe, decontaminate, licences, quality_rules, sharding, simhash, token_files
+from vidspark.llm import bpe, decontaminate, html_text, licences, quality_rules, sharding, simhash, token_files
 
 QUERIES = {
+    "op1_html_text": html_text.query,
     "op3_quality_rules": quality_rules.query,
     "op4_licences": licences.query,
     "op5_decontaminate": decontaminate.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vidspark.llm import bpe, decontaminate, html_text, licences, quality_rules, sharding, simhash, token_files
+from vidspark.llm import bpe, decontaminate, html_text, language_model, licences, quality_rules, sharding, simhash, token_files
 
 QUERIES = {
     "op1_html_text": html_text.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_licences": licences.query,
     "op5_decontaminate": decontaminate.query,
     "op6_bpe": bpe.query,
+    "op7_language_model": language_model.query,
     "op8_sharding": sharding.query,
     "op9_simhash": simhash.query,
     "op10_token_files": token_files.query,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vidspark.llm import bpe, decontaminate, html_text, language_model, licences, quality_rules, sharding, simhash, token_files
+from vidspark.llm import bpe, decontaminate, html_text, language_model, licences, quality_rules, sharding, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op1_html_text": html_text.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_quality_rules": quality_rules.query,
     "op4_licences": licences.query,
     "op5_decontaminate": decontaminate.query,

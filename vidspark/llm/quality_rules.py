@@ -94,6 +94,17 @@ def judged(docs: DataFrame, text: str = "text", rules: list = RULES) -> DataFram
     return measured(docs, text).withColumn("base_failed", base).withColumn("kept", ~base & verdict(rules))
 
 
+def kept_rows(docs: DataFrame, text: str = "text", rules: list = RULES) -> DataFrame:
+    """The rows of docs that are kept, with all their columns, whatever these are called.
+
+    Kept rows are unpacked from an array: a filter would be pushed below the measures and repeat them in its condition.
+    """
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    rows = judged(docs.select(whole.alias("_row"), F.col(text).alias("_text")), "_text", rules)
+    some = F.when(F.col("kept"), F.array("_row")).otherwise(F.slice(F.array("_row"), 1, 0))
+    return rows.select(F.explode(some).alias("_row")).select("_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                                                    "n_repeat_words", "base_failed", "kept")

@@ -22,15 +22,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: (rule, measure over the counts, least, most); a document is kept if every measure lies within its bounds.
 RULES: list[tuple[str, str, float | None, float | None]] = [
     ("words", "n_words", 50, None),
-    ("repeated_words", "100 * n_repeat_words / n_words", None, 50),
-    ("word_length", "word_chars / n_words", 3.0, 10.0),
-    ("symbols", "n_symbols / n_words", None, 0.1),
-    ("stop_words", "n_stop_words / n_words", 0.06, None),
-    ("letters", "n_letter_words / n_words", 0.7, None),
-    ("shouts", "n_shouts / n_words", None, 0.3),
-    ("repeated_lines", "n_dup_lines / n_lines", None, 0.4),
-    ("bullet_lines", "n_bullets / n_lines", None, 0.9),
-    ("open_lines", "n_open_lines / n_lines", None, 0.3),
+    ("repeated_words", "100 * n_repeat_words / nullif(n_words, 0)", None, 50),
+    ("word_length", "word_chars / nullif(n_words, 0)", 3.0, 10.0),
+    ("symbols", "n_symbols / nullif(n_words, 0)", None, 0.1),
+    ("stop_words", "n_stop_words / nullif(n_words, 0)", 0.06, None),
+    ("letters", "n_letter_words / nullif(n_words, 0)", 0.7, None),
+    ("shouts", "n_shouts / nullif(n_words, 0)", None, 0.3),
+    ("repeated_lines", "n_dup_lines / nullif(n_lines, 0)", None, 0.4),
+    ("bullet_lines", "n_bullets / nullif(n_lines, 0)", None, 0.9),
+    ("open_lines", "n_open_lines / nullif(n_lines, 0)", None, 0.3),
 ]
 
 

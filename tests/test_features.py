@@ -96,3 +96,18 @@ def test_lengths_follow_the_commonest(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, 3.0],), ([4.0],), ([5.0, 6.0],)], "v array<double>")
     assert sorted(r["v"] for r in fe.equal_lengths(df, "v").collect()) == [[1.0, 2.0], [1.0, 2.0], [4.0, 0.0], [5.0, 6.0]]
     assert fe.modal_length(df.where(F.size("v") != 2), "v").head()["length"] == 1
+
+
+def test_single_bad_values_do_not_cost_columns(spark):
+    i = F.col("id")
+    df = spark.range(100).select((i % 7 * 1e-6).alias("small"), F.when(i == 3, float("nan")).otherwise(i * 1.0).alias("nan"),
+                                 F.when(i < 3, i * 2.0).alias("sparse"), F.lit(1.0).alias("constant"))
+    fitted = fe.FeaturePruner(method="none").fit(df, df.columns)
+    assert fitted.kept == ["small", "nan", "sparse"]
+    assert fe.FeaturePruner().fit(df, df.columns).kept == ["small", "nan", "sparse"]
+
+
+def test_dependent_columns_alone_are_infinite():
+    x, y, z = np.random.default_rng(1).normal(size=(3, 200))
+    factors = fe.inflation_factors(np.corrcoef([x, x, y, z]))
+    assert np.isinf(factors[:2]).all() and (factors[2:] < 2).all()

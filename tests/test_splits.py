@@ -110,18 +110,21 @@ def test_row_ranges(spark):
 def test_capacity_ranges(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 5), (4, 1), (5, 100)], "k long, w long")
     got = {r["k"]: r["work_range"] for r in rk.capacity_ranges(df, "k", "w", [5, 10, 20]).collect()}
-    assert got == {1: 0, 2: 0, 3: 1, 4: 2, 5: None}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 2, 5: 12}  # 111 lies in the tenth range of ten beyond 20
 
 
-def test_large_samples_and_limits_agree_with_small_ways(spark, monkeypatch):
+def test_samples_and_limits(spark):
     df = spark.range(500).select("id", (F.col("id") % 3).alias("label"))
-    small = {r["id"] for r in rk.shuffled_sample(df, "id", 50).collect()}
-    monkeypatch.setattr(rk, "TOP_ROWS", 10)
-    assert {r["id"] for r in rk.shuffled_sample(df, "id", 50).collect()} == small
-    few = {r["id"] for r in rk.first_per_class(df, "label", "id", 7).collect()}
-    assert few == set(range(21))
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
-    try:
-        assert {r["id"] for r in rk.first_per_class(df, "label", "id", 7).collect()} == few
-    finally:
-        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert rk.shuffled_sample(df, "id", 50).count() == 50
+    assert {r["id"] for r in rk.first_per_class(df, "label", "id", 7).collect()} == set(range(21))
+    named = df.withColumn("name", F.format_string("%05d", "id"))
+    assert {r["id"] for r in rk.first_per_class(named, "label", "name", 120).collect()} == set(range(360))
+
+
+def test_rows_without_keys_stay_in_the_split(spark):
+    df = spark.createDataFrame([(None, "a", None, None), (1, None, "a", None), (2, "a", None, None)],
+                               "video_id long, label string, platform string, dup_group long")
+    assert sp.train_val_test(df, "video_id").count() == 3
+    assert df.select(sp.strata_key()).distinct().count() == 2
+    with pytest.raises(ValueError):
+        sp.stratified_sample(df, "video_id", fraction=1.5)

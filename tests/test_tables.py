@@ -89,7 +89,9 @@ def test_contract(spark):
 
 
 def test_grids():
-    assert len(mo.parameter_grid("svm_stage2_stage4")) == 6 and mo.parameter_grid("unknown") == [{}]
+    assert len(mo.parameter_grid("svm_stage2_stage4")) == 3
+    with pytest.raises(ValueError):
+        mo.parameter_grid("unknown")
 
 
 def test_linear_grid_has_28_entries(spark):
@@ -110,8 +112,25 @@ def test_best_of_a_search(spark):
 def test_models_separate_separable_rows(spark):
     df = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("label"), ((F.col("id") % 2) * 4 + F.col("id") % 7 / 10).alias("x"),
                                  (F.col("id") % 5).cast("double").alias("y"), (F.col("id") % 3).cast("int").alias("fold"))
-    for kind in ("logistic_regression", "svm", "gradient_boosting"):
-        preds = mo.cross_validate(df, kind, ["x", "y"], "id", k=3, n_estimators=3, max_iter=10)
+    for kind, own in (("logistic_regression", {"max_iter": 10}), ("svm", {"max_iter": 10}),
+                      ("gradient_boosting", {"n_estimators": 3})):
+        preds = mo.cross_validate(df, kind, ["x", "y"], "id", k=3, **own)
         out = mo.fold_metrics(preds).collect()
         assert len(out) == 3 and all(x["val_acc"] == 1.0 for x in out)
         assert preds.count() == 400
+
+
+def test_learners_refuse_what_they_would_ignore(spark):
+    with pytest.raises(ValueError):
+        mo.make_classifier("svm", 10, 2, kernel="rbf")
+    with pytest.raises(ValueError):
+        mo.make_classifier("feature_mlp", 10, 2, weight="w")
+    df = spark.range(6).select("id", F.lit(1).alias("label"), F.lit(1.0).alias("x"), F.lit(7).alias("fold"))
+    with pytest.raises(ValueError):
+        mo.cross_validate(df, "svm", ["x"], "id", k=3)
+
+
+def test_the_latest_row_wins_alike_in_every_run(spark):
+    old = spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
+    new = spark.createDataFrame([(1, "d"), (1, "c"), (2, "e")], "k long, v string")
+    assert {tuple(x) for x in mg.merge_keep(old, new, ["k"], "latest").collect()} == {(1, "c"), (2, "e")}

@@ -125,10 +125,19 @@ def population_variances(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.var_pop(c).alias(c) for c in columns]).unpivot([], columns, "feature", "variance")
 
 
+def finite_or_zero(column: str) -> Column:
+    """NULL, NaN and infinities count as 0, as they do once stages are combined."""
+    x = F.col(column).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(x, F.lit(0.0)))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """p x p Pearson matrix (A27); rows stay on the cluster."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df.select(*columns))
-    return Correlation.corr(vectors, "_v").head()[0].toArray()
+    """p x p Pearson matrix (A27) over all rows; they stay on the cluster. A constant column correlates with none."""
+    rows = df.select(*[finite_or_zero(c).alias(c) for c in columns])
+    vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(rows)
+    found = np.nan_to_num(Correlation.corr(vectors, "_v").head()[0].toArray())
+    np.fill_diagonal(found, 1.0)
+    return found
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -156,9 +165,9 @@ class FeaturePruner:
         if not columns:
             self.kept = []
             return self
-        row = df.agg(*[F.var_pop(c).alias(c) for c in columns]).head()
+        row = df.agg(*[F.var_pop(finite_or_zero(c)).alias(c) for c in columns]).head()
         variances = {c: (row[c] if row[c] is not None else 0.0) for c in columns}
-        kept = [c for c in columns if variances[c] > 1e-8] or list(columns)
+        kept = [c for c in columns if variances[c] > 0] or list(columns)
         if self.method in ("correlation", "both") and len(kept) > 1:
             dropped = weaker_of_pairs(correlation_matrix(df, kept), [variances[c] for c in kept],
                                       self.correlation_threshold)
@@ -190,12 +199,13 @@ def weaker_of_pairs(corr: np.ndarray, variances: list[float], threshold: float)
 
 
 def inflation_factors(corr: np.ndarray) -> np.ndarray:
-    """Variance inflation: the diagonal of the inverse; infinite where columns depend on each other."""
-    try:
-        factors = np.diag(np.linalg.inv(corr)).copy()
-    except np.linalg.LinAlgError:
-        return np.full(len(corr), np.inf)
-    factors[~np.isfinite(factors) | (factors < 1.0 - 1e-9)] = np.inf
+    """Variance inflation: the diagonal of the inverse. Columns that depend on each other, those with a share in the
+    null space, are infinite; the others get theirs from the pseudo-inverse."""
+    values, vectors = np.linalg.eigh(corr)
+    null = values < 1e-10 * max(1.0, values.max())
+    inverse = np.where(null, 0.0, 1.0 / np.where(null, 1.0, values))
+    factors = (vectors ** 2 * inverse).sum(axis=1)
+    factors[(np.abs(vectors[:, null]) > 1e-9).any(axis=1)] = np.inf
     return factors
 
 

@@ -147,12 +147,10 @@ def pixel_features(rgb: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def _bounded_batches(frames: DataFrame) -> DataFrame:
-    """Sees to a byte limit for Arrow batches where the session sets none."""
-    conf, name = frames.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not conf.get(name, None):
-        conf.set(name, str(BATCH_BYTES))
-    return frames
+def _readable(pdf: pd.DataFrame) -> pd.Series:
+    """Whether a frame has sizes and as many bytes as they say."""
+    size = pdf["pixels"].map(lambda p: -1 if p is None else len(p))
+    return pdf["h"].notna() & pdf["w"].notna() & (size == pdf["h"] * pdf["w"] * 3) & (size > 0)
 
 
 def _stacks(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -165,19 +163,22 @@ def _stacks(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
 
 
 def frame_features(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """The 18 pixel features of every frame (V1-V4, V6-V9). One pass, no shuffle."""
+    """The 18 pixel features of every frame (V1-V4, V6-V9); NULL for a frame that can't be read. One pass, no shuffle."""
     fields = {f.name: f.dataType.simpleString() for f in frames.schema}
     schema = ", ".join([f"{k} {fields[k]}" for k in keys] + [f"{c} double" for c in PIXEL_FEATURES])
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = [(part[keys], pixel_features(rgb)) for part, rgb in _stacks(pdf)]
+            good = _readable(pdf)
+            done = [(part[keys], pixel_features(rgb)) for part, rgb in _stacks(pdf[good])]
+            if not good.all():
+                done.append((pdf.loc[~good, keys], np.full(((~good).sum(), len(PIXEL_FEATURES)), np.nan)))
             if done:
                 out = pd.concat([part for part, _ in done], ignore_index=True)
                 values = pd.DataFrame(np.concatenate([v for _, v in done]), columns=PIXEL_FEATURES)
                 yield pd.concat([out, values], axis=1)
 
-    return _bounded_batches(frames).select(*keys, *[c for c in ("h", "w", "pixels") if c not in keys]).mapInPandas(compute, schema)
+    return frames.select(*keys, *[c for c in ("h", "w", "pixels") if c not in keys]).mapInPandas(compute, schema)
 
 
 def clip_features(frames: DataFrame, cues: DataFrame, key: str = "video_id") -> DataFrame:
@@ -194,92 +195,6 @@ def clip_features(frames: DataFrame, cues: DataFrame, key: str = "video_id") ->
                                 for c in BASE_FEATURES + CODEC_FEATURES + SCALED_FEATURES])
 
 
-# ---- transforms -----------------------------------------------------------------------------------------------
-
-def _warp(rgb: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """Nearest-pixel warp: ``inverse`` maps target to source coordinates around the centre; outside is black."""
-    h, w = rgb.shape[:2]
-    cy, cx = (h - 1) / 2.0, (w - 1) / 2.0
-    y, x = np.mgrid[0:h, 0:w]
-    at = np.stack([x - cx, y - cy, np.ones_like(x, dtype=np.float64)])
-    sx, sy = np.tensordot(inverse, at, axes=1)
-    sx, sy = np.rint(sx + cx).astype(int), np.rint(sy + cy).astype(int)
-    inside = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
-    out = np.zeros_like(rgb)
-    out[inside] = rgb[sy[inside], sx[inside]]
-    return out
-
-
-def _blend(rgb: np.ndarray, towards, factor: float) -> np.ndarray:
-    return np.clip(towards + (rgb.astype(np.float64) - towards) * factor + 0.5, 0, 255).astype(np.uint8)
-
-
-def _blur(rgb: np.ndarray, sigma: float) -> np.ndarray:
-    r = max(1, int(3 * sigma + 0.5))
-    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    k /= k.sum()
-    out = rgb.astype(np.float64)
-    for axis in (0, 1):
-        pad = [(r, r) if a == axis else (0, 0) for a in range(3)]
-        padded = np.pad(out, pad, mode="edge")
-        n = rgb.shape[axis]
-        out = sum(weight * padded.take(range(i, i + n), axis=axis) for i, weight in enumerate(k))
-    return np.clip(out + 0.5, 0, 255).astype(np.uint8)
-
-
-def transform_frame(rgb: np.ndarray, kind: str, seed: int) -> np.ndarray:
-    """One of the planned changes to one (h, w, 3) frame; the seed alone decides its strength."""
-    rng = np.random.default_rng(seed)
-    if kind == "rotation":
-        a = np.deg2rad(rng.uniform(-15, 15))
-        return _warp(rgb, np.array([[np.cos(a), np.sin(a), 0.0], [-np.sin(a), np.cos(a), 0.0]]))
-    if kind == "flip":
-        return rgb[:, ::-1].copy() if rng.random() < 0.5 else rgb
-    if kind == "brightness":
-        return _blend(rgb, 0.0, rng.uniform(0.7, 1.3))
-    if kind == "contrast":
-        return _blend(rgb, np.floor(gray_of(rgb[None]).mean() + 0.5), rng.uniform(0.7, 1.3))
-    if kind == "saturation":
-        return _blend(rgb, gray_of(rgb[None])[0][..., None], rng.uniform(0.7, 1.3))
-    if kind == "gaussian_noise":
-        return np.clip(rgb + rng.normal(0, 10, rgb.shape), 0, 255).astype(np.uint8)
-    if kind == "gaussian_blur":
-        return _blur(rgb, rng.uniform(0.5, 2.0))
-    if kind == "affine":
-        h, w = rgb.shape[:2]
-        zoom = rng.uniform(0.9, 1.1)
-        dx, dy = rng.uniform(-0.1, 0.1) * w, rng.uniform(-0.1, 0.1) * h
-        return _warp(rgb, np.array([[1 / zoom, 0.0, -dx / zoom], [0.0, 1 / zoom, -dy / zoom]]))
-    if kind == "cutout":
-        h, w = rgb.shape[:2]
-        out = rgb.copy()
-        half = int(rng.integers(16, 33)) // 2
-        for _ in range(int(rng.integers(1, 4))):
-            y, x = int(rng.integers(0, h)), int(rng.integers(0, w))
-            out[max(0, y - half):y + half, max(0, x - half):x + half] = 0
-        return out
-    if kind in ("none", "elastic"):
-        return rgb
-    raise ValueError(f"unknown transform {kind!r}")
-
-
-def transform_frames(frames: DataFrame, kind: str, path: str, keys: list[str]) -> DataFrame:
-    """Applies each row's transform (column ``kind``), seeded by its path and frame number."""
-    fields = {f.name: f.dataType.simpleString() for f in frames.schema}
-    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", h int, w int, pixels binary"
-    seeded = _bounded_batches(frames).select(*keys, F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "pixels",
-                           F.col(kind).alias("_kind"), seed_of(F.col(path), F.col("frame_idx")).alias("_seed"))
-
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["pixels"] = [
-                transform_frame(np.frombuffer(p, np.uint8).reshape(h, w, 3), k, int(s)).tobytes()
-                for p, h, w, k, s in zip(pdf["pixels"], pdf["h"], pdf["w"], pdf["_kind"], pdf["_seed"])]
-            yield pdf[[*keys, "h", "w", "pixels"]]
-
-    return seeded.mapInPandas(compute, schema)
-
-
 def _area_weights(source: int, target: int) -> np.ndarray:
     """(target, source) shares: each target pixel averages the stretch of source pixels it covers."""
     edges = np.arange(target + 1) * (source / target)
@@ -313,4 +228,4 @@ def letterbox_frames(frames: DataFrame, keys: list[str], target: int = 224) -> D
                 boxed = letterboxed(rgb, target)
                 yield out.assign(h=target, w=target, pixels=[f.tobytes() for f in boxed])
 
-    return _bounded_batches(frames).select(*keys, "h", "w", "pixels").mapInPandas(compute, schema)
+    return frames.select(*keys, "h", "w", "pixels").mapInPandas(compute, schema)

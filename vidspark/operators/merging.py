@@ -24,10 +24,12 @@ def concat_rows(*frames: DataFrame) -> DataFrame:
 def drop_group_copies(df: DataFrame, group: str = "dup_group", order: str = "video_id",
                       null_is_group: bool = False) -> DataFrame:
     """First row per group. Rows without a group are no copies of each other and all stay, unless asked otherwise."""
+    total = [F.col(order), *[F.col(c) for c in df.columns if c not in (group, order)]]
     if null_is_group:
-        return one_per_key(df, [group], [F.col(order)])
-    grouped = one_per_key(df.where(F.col(group).isNotNull()), [group], [F.col(order)])
-    return grouped.unionByName(df.where(F.col(group).isNull()))
+        return one_per_key(df, [group], total)
+    # a row without a group is a group of its own: one pass over the input
+    alone = F.when(F.col(group).isNull(), F.monotonically_increasing_id())
+    return one_per_key(df.withColumn("_alone", alone), [group, "_alone"], total).drop("_alone")
 
 
 def group_representatives(df: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
@@ -46,7 +48,8 @@ def merge_keep(existing: DataFrame, new: DataFrame, keys: list[str], keep: str =
     if keep != "latest":
         raise ValueError(f"keep must be 'existing' or 'latest', not {keep!r}")
     both = existing.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
-    return one_per_key(both, keys, [F.col("_gen").desc()]).drop("_gen")
+    rest = [F.col(c) for c in both.columns if c not in (*keys, "_gen")]  # ties inside a side end alike in every run
+    return one_per_key(both, keys, [F.col("_gen").desc(), *rest]).drop("_gen")
 
 
 def unprocessed(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

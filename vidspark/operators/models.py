@@ -19,7 +19,7 @@ from vidspark.session import materialize
 # Parameter grids of the linear models.
 GRIDS = {
     "logistic_regression": {"C": [0.1, 1.0, 10.0], "max_iter": [1000, 2000]},
-    "svm": {"C": [0.1, 1.0, 10.0], "kernel": ["linear", "rbf"]},
+    "svm": {"C": [0.1, 1.0, 10.0]},  # Spark has the linear kernel only
     # ours: Spark's learners take other parameters
     "gradient_boosting": {"n_estimators": [20, 50], "max_depth": [3, 5], "learning_rate": [0.1]},
     "feature_mlp": {"hidden": [32, 64], "max_iter": [100]},
@@ -28,20 +28,33 @@ GRIDS = {
 LINEAR_GRID = {"C": [0.01, 0.1, 1.0, 10.0], "penalty": ["l1", "l2", "elasticnet"], "solver": ["liblinear", "saga"],
                "max_iter": [1000], "l1_ratio": [0.1, 0.5, 0.9]}
 L1_SHARE = {"l1": 1.0, "l2": 0.0}
+PARAMETERS = {
+    "logistic_regression": {"C", "max_iter", "penalty", "l1_ratio", "solver"},
+    "svm": {"C", "max_iter"},
+    "gradient_boosting": {"n_estimators", "max_depth", "learning_rate", "seed"},
+    "feature_mlp": {"hidden", "max_iter", "seed"},
+}
 
 
 def parameter_grid(model: str) -> list[dict]:
     """Every combination of a model's grid."""
     base = model.removesuffix("_stage4").removesuffix("_stage2")
-    grid = GRIDS.get(base, {})
+    if base not in GRIDS:
+        raise ValueError(f"no grid for {model!r}")
+    grid = GRIDS[base]
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
 def make_classifier(kind: str, n_rows: int, n_features: int, features: str = "features", label: str = "label",
                     weight: str | None = None, validation: str | None = None, **params):
     """The learner of a kind. C is the inverse strength of a penalty on the sum over rows, Spark's on their mean."""
+    unknown = set(params) - PARAMETERS.get(kind, set(params))
+    if unknown:
+        raise ValueError(f"{kind} takes no {', '.join(sorted(unknown))}")
+    if weight and kind == "feature_mlp" or validation and kind != "gradient_boosting":
+        raise ValueError(f"{kind} takes no {'weights' if weight and kind == 'feature_mlp' else 'validation rows'}")
     common = {"featuresCol": features, "labelCol": label}
-    if weight and kind != "feature_mlp":
+    if weight:
         common["weightCol"] = weight
     penalty = 1.0 / (params.get("C", 1.0) * max(n_rows, 1))
     if kind == "logistic_regression":
@@ -87,6 +100,8 @@ def cross_validate(df: DataFrame, kind: str, columns: list[str], key: str, label
     """
     df = df if stored else materialize(df.select(key, label, fold, *columns), "folds")
     sizes = {r[fold]: r["n"] for r in df.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}  # k rows
+    if set(sizes) - set(range(k)):
+        raise ValueError(f"folds must be 0 to {k - 1}, found {sorted(map(str, set(sizes) - set(range(k))))}")
     total = sum(sizes.values())
     parts = []
     for i in range(k):

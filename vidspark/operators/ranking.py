@@ -133,16 +133,19 @@ FRAME_CAPACITIES = [720000, 1440000, 3600000, 5760000, 7920000, 10080000, 122400
 
 def capacity_ranges(df: DataFrame, order: str, weight: str | None, capacities=FRAME_CAPACITIES,
                     name: str = "work_range") -> DataFrame:
-    """Number of the range whose capacity covers the running weight; rows beyond the last bound get NULL.
+    """Number of the range whose capacity covers the running weight.
 
-    Without a weight column the rows go to the ranges in equal counts, rounded up.
+    Beyond the last bound ranges go on in steps of the last two bounds' distance, so every row has a range. Without a
+    weight column the rows go to the ranges in equal counts, rounded up.
     """
     if weight is None:
         indexed = row_index(df, order)
         size = F.greatest(F.ceil(F.col("idx_total") / F.lit(len(capacities))), F.lit(1))
         return indexed.withColumn(name, F.floor(F.col("idx") / size).cast("int")).drop("idx", "idx_total")
     summed = running_totals(df, {"running": F.coalesce(F.col(weight), F.lit(0)).cast("bigint")}, order)
-    picked = F.lit(None).cast("int")
+    last = capacities[-1]
+    step = last - capacities[-2] if len(capacities) > 1 else last
+    picked = (F.lit(len(capacities)) + F.floor((F.col("running") - last - 1) / step)).cast("int")
     for i in range(len(capacities) - 1, -1, -1):
         picked = F.when(F.col("running") <= capacities[i], F.lit(i)).otherwise(picked)
     return summed.withColumn(name, picked)
@@ -175,29 +178,23 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     return out if groups else out.drop("_one")
 
 
-TOP_ROWS = 100_000  # what one task and the driver may merge
-
-
 def shuffled_sample(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
-    """n rows in seeded random order (K8, D7): a merged top-n while n is small, else ranked by buckets."""
-    if n <= TOP_ROWS:
-        return df.orderBy(seeded_hash(seed, F.col(key)), F.col(key)).limit(n)
+    """The n rows that come first in seeded random order (K8, D7), ranked by buckets of the hash; in no order."""
     whole = df.withColumn("_whole", F.lit(0))
     return rank_by_hash(whole, ["_whole"], [key], seed).where(F.col("rn") <= n).drop("_whole", "rn", "rn_total")
 
 
 def first_per_class(df: DataFrame, label: str, order: str, k: int, enabled: bool = True) -> DataFrame:
-    """The first k rows of every class by a unique numeric column when test mode is on (K5).
+    """The first k rows of every class by a unique column of any type when test mode is on (K5).
 
-    While k is small each task cuts its share to k rows per class before the shuffle; beyond that the classes are
-    ranked by buckets.
+    A class is cut into shares by a hash of the order; the first k of each share are ranked again, so no task sorts a
+    large class.
     """
     if not enabled:
         return df
-    labelled = df.where(F.col(label).isNotNull())
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000") or 1000)
-    if k <= limit:
-        ranked = labelled.withColumn("_rn", F.row_number().over(W.partitionBy(label).orderBy(order)))
-    else:
-        ranked = running_totals(labelled, {"_rn": F.lit(1).cast("bigint")}, order, [label])
-    return ranked.where(F.col("_rn") <= k).drop("_rn")
+    share = F.pmod(F.xxhash64(F.col(order)), F.lit(_shuffle_width(df)))
+    cut = df.where(F.col(label).isNotNull()).withColumn("_share", share)
+    for keys in ([label, "_share"], [label]):
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+        cut = cut.withColumn("_rn", rank).where(F.col("_rn") <= k)
+    return cut.drop("_rn", "_share")

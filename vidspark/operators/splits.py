@@ -23,21 +23,21 @@ class SplitConfig:
 
 
 def strata_key(label: str = "label", platform: str | None = "platform") -> Column:
-    columns = [F.col(label).cast("string")] + ([F.col(platform).cast("string")] if platform else [])
-    return F.concat_ws("__", *columns)
+    """NULL is a value of its own, so that (NULL, a) and (a, NULL) stay apart."""
+    names = [label] + ([platform] if platform else [])
+    return F.concat_ws("__", *[F.coalesce(F.col(n).cast("string"), F.lit("\x00")) for n in names])
 
 
 def _units(df: DataFrame, key: str, label: str, platform: str | None, group: str | None) -> DataFrame:
-    """What is shuffled: groups of copies by their first row's stratum; a row without a group is a unit of its own."""
+    """What is shuffled: groups of copies by their first row's stratum; a row without a group is a unit of its own, and
+    rows without key and group are one unit."""
     strata = strata_key(label, platform).alias("stratum")
-    if group is None:
-        return df.select(F.concat(F.lit("r:"), F.col(key).cast("string")).alias("unit"), strata)
     keyed = df.select(_unit(key, group).alias("unit"), F.col(key), strata)
     return group_representatives(keyed, "unit", key, ["stratum"])
 
 
 def _unit(key: str, group: str | None) -> Column:
-    alone = F.concat(F.lit("r:"), F.col(key).cast("string"))
+    alone = F.coalesce(F.concat(F.lit("r:"), F.col(key).cast("string")), F.lit("r"))
     if group is None:
         return alone
     return F.when(F.col(group).isNotNull(), F.concat(F.lit("g:"), F.col(group).cast("string"))).otherwise(alone)
@@ -126,12 +126,18 @@ def two_cut_split(df: DataFrame, key: str, label: str = "label", train: float =
 
 def stratified_sample(df: DataFrame, key: str, label: str = "label", fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds ``in_sample``: exactly round(n * fraction) rows of every class (D5); the others are the holdout's rest."""
-    share = min(max(fraction, 0.05), 0.5)
+    if not 0 < fraction < 1:
+        raise ValueError(f"fraction must lie between 0 and 1, got {fraction}")
     ranked = rank_by_hash(df, [label], [key], seed)
-    return ranked.withColumn("in_sample", F.col("rn") <= F.bround(F.col("rn_total").cast("double") * share)) \
+    return ranked.withColumn("in_sample", F.col("rn") <= F.bround(F.col("rn_total").cast("double") * fraction)) \
         .drop("rn", "rn_total")
 
 
+def search_fraction(fraction: float) -> float:
+    """The share of rows a parameter search may take: 0.05 to 0.5."""
+    return min(max(fraction, 0.05), 0.5)
+
+
 def balanced_batches(df: DataFrame, key: str, label: str = "label", batch_size: int = 8,
                      samples_per_class: int | None = None, seed: int = 42) -> DataFrame:
     """Adds ``batch``; every batch has the same number of rows of both classes, rows beyond the last one drop out."""

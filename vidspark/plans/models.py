@@ -23,7 +23,7 @@ def feature_table(spark, d):
     rows = fe.combine_stages(t.feature_targets(spark, d), t.stage2_features(spark, d), t.stage4_features(spark, d))
     rows = rows.withColumn("label", ((F.col("stage4_total") + F.col("stage2_price") * 2 + F.col("id") % 5 * 40000) > 420000).cast("int"))
     rows = sp.two_cut_split(rows.select("id", "label", *COLUMNS), "id")
-    return materialize(rows.withColumn("fold", (F.col("id") % 3).cast("int")), "features")
+    return materialize(sp.stratified_folds(rows, "id", 3, platform=None, group=None), "features")
 
 
 def _fit_and_score(kind, **params):
@@ -35,10 +35,10 @@ def _fit_and_score(kind, **params):
     return run
 
 
-query("f9_logistic_regression")(_fit_and_score("logistic_regression", C=1.0, max_iter=20))
-query("f10_linear_svm")(_fit_and_score("svm", C=1.0, max_iter=10))
-query("f11_gradient_boosting")(_fit_and_score("gradient_boosting", n_estimators=5))
-query("f13_feature_mlp")(_fit_and_score("feature_mlp", hidden=8, max_iter=15))
+query("f9_logistic_regression")(_fit_and_score("logistic_regression", C=1.0))
+query("f10_linear_svm")(_fit_and_score("svm", C=1.0))
+query("f11_gradient_boosting")(_fit_and_score("gradient_boosting"))
+query("f13_feature_mlp")(_fit_and_score("feature_mlp"))
 
 
 @query("f12_embedding_boosting")
@@ -48,14 +48,14 @@ def f12(spark, d):
     held = sp.stratified_sample(rows, "vec_id", fraction=0.2).withColumnRenamed("in_sample", "held")
     weight = m.positive_weight(rows).scalar()
     weighted = held.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
-    gbt = mo.make_classifier("gradient_boosting", 0, 64, weight="weight", validation="held", n_estimators=4)
+    gbt = mo.make_classifier("gradient_boosting", 0, 64, weight="weight", validation="held")
     fitted = gbt.fit(weighted)
     return rounded(m.full_metrics(mo.predictions(fitted, weighted.where("held"), "vec_id")), 4)
 
 
 @query("f14_cross_validation")
 def f14(spark, d):
-    preds = mo.cross_validate(feature_table(spark, d), "logistic_regression", COLUMNS, "id", k=3, stored=True, C=1.0, max_iter=10)
+    preds = mo.cross_validate(feature_table(spark, d), "logistic_regression", COLUMNS, "id", k=3, stored=True, C=1.0)
     return rounded(mo.fold_metrics(preds), 4)
 
 
@@ -64,7 +64,7 @@ def f15(spark, d):
     rows = feature_table(spark, d)
     rows = rows.join(sp.stratified_sample(rows.where(F.col("split") != "test"), "id", fraction=0.2).select("id", "in_sample"), "id", "left") \
         .withColumn("in_sample", F.coalesce("in_sample", F.lit(False)))
-    grid = [{"C": 0.1, "max_iter": 5}, {"C": 10.0, "max_iter": 5}]
+    grid = [{"C": c} for c in mo.GRIDS["logistic_regression"]["C"]]
     _, _, _, preds = mo.search_and_fit(rows, "logistic_regression", COLUMNS, "id", grid, k=3)
     return rounded(m.evaluation(preds), 4)
 
@@ -85,11 +85,11 @@ _ROWS = "rows_ AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELE
   FROM (SELECT unnest(['0.1', '1.0', '10.0']) AS c), (SELECT unnest(['1000', '2000']) AS m))
 SELECT entry, params, CAST(id % 3 AS INTEGER) AS fold, count(*) AS n_rows FROM grid, rows_ GROUP BY ALL""")
 def f18(spark, d):
-    """Rows an entry of the grid would see per fold of the feature table."""
+    """Rows an entry of the grid would see per fold, folds by id."""
     grid = spark.createDataFrame([(i, str(sorted(p.items()))) for i, p in enumerate(mo.parameter_grid("logistic_regression_stage2"))],
                                  "entry int, params string")
     entries = grid.agg(F.array_sort(F.collect_list(F.struct("entry", "params")))).scalar()
-    sizes = feature_table(spark, d).groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))
+    sizes = feature_table(spark, d).groupBy((F.col("id") % 3).cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n_rows"))
     return sizes.withColumn("_g", F.explode(entries)).select("_g.*", "fold", "n_rows")
 
 

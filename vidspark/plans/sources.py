@@ -110,11 +110,11 @@ def s7b(spark, d):
     return ls.scanned_videos(files)
 
 
-@query("s8_video_file_per_folder", """SELECT 'f/' || doc_id AS folder, 'f/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '/VIDEO.mp4' ELSE '/video.mov' END AS path FROM documents""")
+@query("s8_video_file_per_folder", """SELECT 'f/' || doc_id AS folder, 'f/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '/VIDEO.mp4' ELSE '/video.webm' END AS path FROM documents""")
 def s8(spark, d):
     folder = F.concat(F.lit("f/"), F.col("doc_id").cast("string"))
-    names = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("/video.mov"), F.lit("/VIDEO.mp4"), F.lit("/a.mp4"))) \
-        .otherwise(F.array(F.lit("/video.mov"), F.lit("/b.txt")))
+    names = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("/video.webm"), F.lit("/VIDEO.mp4"), F.lit("/a.mp4"))) \
+        .otherwise(F.array(F.lit("/video.webm"), F.lit("/video.mov"), F.lit("/b.txt")))
     files = t.load(spark, d, "documents").select(F.explode(F.transform(names, lambda n: F.concat(folder, n))).alias("path"))
     return ls.clip_files(files)
 

@@ -79,7 +79,7 @@ SELECT id, label, rn <= round_even(n * {share}::DOUBLE, 0) AS in_sample FROM r""
 @query("d5_search_sample", _SAMPLE.format(share="0.1"))
 def d5(spark, d):
     rows = t.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"))
-    return s.stratified_sample(rows, "id", fraction=0.1)
+    return s.stratified_sample(rows, "id", fraction=s.search_fraction(0.1))
 
 
 @query("d6_inner_holdout", _SAMPLE.format(share="0.2").replace(" AS in_sample FROM r", " AS is_holdout FROM r"))
@@ -110,7 +110,8 @@ def w2(spark, d):
   SELECT doc_id, CAST(sum(coalesce(frame_count, 0)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM manifest)
 SELECT doc_id, running, CASE WHEN running <= 720000 THEN 0 WHEN running <= 1440000 THEN 1 WHEN running <= 3600000 THEN 2
   WHEN running <= 5760000 THEN 3 WHEN running <= 7920000 THEN 4 WHEN running <= 10080000 THEN 5
-  WHEN running <= 12240000 THEN 6 WHEN running <= 14400000 THEN 7 END AS work_range FROM r""")
+  WHEN running <= 12240000 THEN 6 WHEN running <= 14400000 THEN 7
+  ELSE CAST(8 + (running - 14400001) // 2160000 AS INTEGER) END AS work_range FROM r""")
 def w3(spark, d):
     return rk.capacity_ranges(t.manifest(spark, d).select("doc_id", "frame_count"), "doc_id", "frame_count") \
         .select("doc_id", "running", "work_range")

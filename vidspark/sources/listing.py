@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names a clip may have inside its folder, best first.
-VIDEO_NAMES = ["video.mp4", "video.avi", "video.mov", "video.mkv"]
+VIDEO_NAMES = ["video.mp4", "video.mkv", "video.webm"]
 
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:

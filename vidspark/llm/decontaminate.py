@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidspark.llm.common import LOWER_WORDS, batch_of, documents, text_slices
@@ -108,15 +108,15 @@ def _united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text",
-              block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+              block_windows: int = BLOCK_WINDOWS, name: str = "hits") -> DataFrame:
     """The rows of docs plus ``hits``: n_words, word ranges [start, end) covered by windows, ids of the items found.
 
-    A column of docs called hits is replaced.
+    A column of docs called like ``name`` is replaced.
     """
     spark = docs.sparkSession
     windows = item_windows(items, window)
     blocks = max(1, -(-windows.count() // block_windows))
-    docs = docs.drop("hits").withColumn("hits", F.lit(None).cast(
+    docs = docs.drop(name).withColumn(name, F.lit(None).cast(
         "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"))
     schema = docs.schema
     kind = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())),
@@ -147,6 +147,11 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str
     return docs
 
 
+def covered_words(name: str) -> Column:
+    return F.aggregate(F.zip_with(f"{name}.starts", f"{name}.ends", lambda a, b: b - a), F.lit(0).cast("long"),
+                       lambda a, b: a + b)
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text",
                     mode: str = "spans", max_share: float = 0.5) -> DataFrame:
     """docs without what the benchmark contains; same columns.
@@ -156,12 +161,11 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, tex
     """
     if mode not in ("spans", "documents"):
         raise ValueError(f"unknown mode {mode}")
-    found = find_hits(docs, items, window, text)
-    n_hit = F.aggregate(F.zip_with("hits.starts", "hits.ends", lambda a, b: b - a), F.lit(0).cast("long"),
-                        lambda a, b: a + b)
+    name = max([*docs.columns, "hits"], key=len) + "_"  # no column of docs
+    found = find_hits(docs, items, window, text, name=name)
     if mode == "documents":
-        return found.where(F.size("hits.items") == 0).select(*docs.columns)
-    kept = found.where(n_hit <= max_share * F.col("hits.n_words"))
+        return found.where(F.size(f"{name}.items") == 0).select(*docs.columns)
+    kept = found.where(covered_words(name) <= max_share * F.col(f"{name}.n_words"))
 
     def strip(batches: Iterator[pa.RecordBatch]):
         for batch, texts in text_slices(batches, text):
@@ -185,8 +189,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, tex
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    n_hit = F.aggregate(F.zip_with("hits.starts", "hits.ends", lambda a, b: b - a), F.lit(0).cast("long"),
-                        lambda a, b: a + b)
+    n_hit = covered_words("hits")
     return found.select(
         "doc_id", F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"),
         F.size("hits.items").cast("long").alias("n_items"),

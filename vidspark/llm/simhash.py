@@ -4,11 +4,12 @@ A fingerprint has 64 bits. If two differ in at most ``max_bits``, then among max
 most one bit. So each fingerprint is indexed under its segments with one bit left out, for every bit in turn, and
 fingerprints that share such a key are compared. Equal fingerprints count once.
 
-Keys with one fingerprint are dropped. A key's smallest fingerprint is compared with the others first, which joins groups
-of near copies in as many rows as they have members; after components are known, only keys that still hold several
-components go on, and there only members outside the largest component are paired. In large keys the bits outside the
-segment are cut once more, into max_bits + 1 pieces of which one is equal. No link is lost: two fingerprints within
-max_bits share a key, and either have a label in common by then or are compared.
+Keys with one fingerprint are dropped, and keys with two are settled at once. In larger keys the smallest and the largest
+fingerprint are compared with the others first, which joins groups of near copies in as many rows as they have members;
+after components are known, only keys that still hold several components go on, and there only members outside the
+largest component are paired, each pair under the first key it shares. In large keys the bits outside the segment are cut
+once more, into max_bits + 1 pieces of which one is equal. No link is lost: two fingerprints within max_bits share a key,
+and either have a label in common by then or are compared.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; repeated rows are copies; a null id
 takes part but is no component's name unless the component has no other; an empty table gives no row.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vidspark.llm.common import batch_of, documents, materialize, text_slices
@@ -89,19 +90,36 @@ def variant_keys(fps: DataFrame, max_bits: int) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.variant", "k.part", "fp")
 
 
+def _first_shared(max_bits: int):
+    """Whether ``variant`` is the first under which fingerprints a.fp and b.fp, which share it, meet."""
+    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    out, earlier = F.lit(False), F.lit(True)
+    for segment in _segments(max_bits // 2 + 1, range(64)):
+        own = differ.bitwiseAND(F.lit(_mask(segment)))
+        here = F.when(own == 0, F.col("a.variant") == segment[0]).otherwise(
+            own == F.expr("shiftleft(1L, cast(a.variant AS int))"))
+        out = F.when(F.col("a.variant").between(segment[0], segment[-1]), earlier & here).otherwise(out)
+        earlier = earlier & (F.bit_count(own) > 1)
+    return out
+
+
 def linked(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """(fp, label) of the distinct fingerprints that have a link; the label is the smallest one reachable."""
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_bits
     keys = variant_keys(fps, max_bits)
     key = ["variant", "part"]
-    shared = keys.groupBy(*key).agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot < last")
-    members = materialize(keys.join(shared.drop("last"), key), "members")
-    stars = members.where("fp <> pivot").where(
-        F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= max_bits).select(
-        F.col("fp").alias("u"), F.col("pivot").alias("v"))
+    own = Window.partitionBy(*key)
+    members = keys.withColumns({"low": F.min("fp").over(own), "high": F.max("fp").over(own), "n": F.count("*").over(own)})
+    # of two fingerprints all is known here; chance pairs that are not near end here
+    members = materialize(members.where((F.col("n") > 2) | (F.col("n") == 2) & near("low", "high")), "members")
+    stars = members.where("n = 2 AND fp = high").select(F.col("high").alias("u"), F.col("low").alias("v"))
+    members = members.where("n > 2")
+    for pivot in ("low", "high"):
+        stars = stars.unionByName(members.where((F.col("fp") != F.col(pivot)) & near("fp", pivot)).select(
+            F.col("fp").alias("u"), F.col(pivot).alias("v")))
     first = materialize(components(stars), "labels")
 
-    known = members.drop("pivot").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+    known = members.drop("low", "high", "n").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp"))
     mixed = (known.groupBy(*key, "label").agg(F.count("*").alias("n")).groupBy(*key)
              .agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"),
@@ -111,12 +129,12 @@ def linked(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     for segment in _segments(max_bits // 2 + 1, range(64)):
         outside = _segments(max_bits + 1, [b for b in range(64) if b not in segment])
         cut = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_mask(p)))) for k, p in enumerate(outside)])
-        pieces = F.when((F.col("size") > LARGE_KEY) & F.col("variant").between(segment[0], segment[-1]), cut
-                        ).otherwise(pieces)
-    rest = rest.withColumn("piece", F.explode(pieces))
+        pieces = F.when(F.col("variant").between(segment[0], segment[-1]), cut).otherwise(pieces)
+    rest = (rest.where(F.col("size") <= LARGE_KEY).withColumn("piece", F.lit(0).cast("long"))
+            .unionByName(rest.where(F.col("size") > LARGE_KEY).withColumn("piece", F.explode(pieces))))
     a, b = rest.where("label <> main").alias("a"), rest.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*key, "piece")]
-    cross = (a.join(b, [*same, F.col("a.label") != F.col("b.label"), near])
+    cross = (a.join(b, [*same, F.col("a.label") != F.col("b.label"), near("a.fp", "b.fp"), _first_shared(max_bits)])
              .select(F.col("a.label").alias("u"), F.col("b.label").alias("v")))
     second = components(cross)
     # labels of the first round that met others get their common label; fingerprints without a star are their own label

@@ -4,7 +4,7 @@ A table of the 65,536 byte pairs marks those that stand next to each other insid
 does, no token can cross, so a text may be cut there and the pieces encoded independently. The tokenizer's own pattern
 also looks across pieces, so only cuts before an ASCII space count: there the pattern always starts a new match once the
 pair is forced (the space belongs to what follows, or the run of white space before it ends the piece, which the pattern
-treats like the end of the text). Pieces repeat a lot; each distinct one is encoded once per task.
+treats like the end of the text). Pieces repeat a lot; a worker encodes a distinct one once while it remembers it.
 
 Decoding looks up each id's bytes and joins them by document; malformed UTF-8 becomes U+FFFD as in the library.
 
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from vidspark.llm.common import documents, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces remembered by a task, and the longest that is remembered; they bound memory, not results.
-REMEMBERED, LONGEST = 120_000, 64
+#: Distinct pieces remembered by a worker, and the longest that is remembered; they bound memory, not results.
+REMEMBERED, LONGEST = 300_000, 64
+#: Pieces encoded in one call of the library.
+TOGETHER = 256
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -80,7 +82,7 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts piece by piece; one per task."""
+    """Encodes texts piece by piece."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -89,6 +91,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocabulary = Vocabulary(path)
+        self.closed = [not self.vocabulary.inside[c, 0x20] and not bytes([c]).isspace() for c in range(256)]
         self.forget()
 
     def forget(self) -> None:
@@ -96,17 +99,27 @@ class Encoder:
         self.ids, self.lengths, self.starts, self.used = np.zeros(1 << 16, np.uint32), [], [], 0
 
     def _learn(self, pieces: list[bytes]) -> None:
-        for k in range(0, len(pieces), 5_000):
-            for piece, coded in zip(pieces[k:k + 5_000], self.tokenizer.encode_batch_fast(
-                    [p.decode() for p in pieces[k:k + 5_000]], add_special_tokens=False)):
-                ids = coded.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.known[piece] = len(self.lengths)
-                self.starts.append(self.used)
-                self.lengths.append(len(ids))
-                self.used += len(ids)
+        """Encodes pieces. Those that start at a forced cut and end in a byte that allows one are strung together, as cuts
+        between them are forced too; ids belong to the piece in whose bytes they end."""
+        closed = self.closed
+        strung = [p for p in pieces if p[0] == 0x20 and closed[p[-1]]]
+        groups = [strung[k:k + TOGETHER] for k in range(0, len(strung), TOGETHER)]
+        groups += [[p] for p in pieces if p[0] != 0x20 or not closed[p[-1]]]
+        for k in range(0, len(groups), 64):
+            part = groups[k:k + 64]
+            coded = self.tokenizer.encode_batch_fast([b"".join(g).decode() for g in part], add_special_tokens=False)
+            ids = np.concatenate([np.asarray(c.ids, np.uint32) for c in coded])
+            order = [p for g in part for p in g]
+            ends = np.cumsum(np.fromiter(map(len, order), np.int64, len(order)))
+            stops = np.searchsorted(np.cumsum(self.vocabulary.lengths[ids]), ends, "left") + 1
+            starts = np.concatenate(([0], stops[:-1]))
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used:self.used + len(ids)] = ids
+            self.known.update(zip(order, range(len(self.lengths), len(self.lengths) + len(order))))
+            self.starts.extend((starts + self.used).tolist())
+            self.lengths.extend((stops - starts).tolist())
+            self.used += len(ids)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
@@ -129,9 +142,18 @@ class Encoder:
 
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker. The library's module outlives a task, so later tasks find it filled."""
+    import tokenizers
+    kept = vars(tokenizers).setdefault("_worker_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def _encoding(path: str, others: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         for batch, texts in text_slices(batches, text):
             ids = encoder.encode([t or b"" for t in texts])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others),
@@ -142,7 +164,7 @@ def _encoding(path: str, others: list[str], text: str):
 
 def _decoding(path: str, kept: list[str], ids: str):
     def run(batches: Iterator[pa.RecordBatch]):
-        vocabulary = Vocabulary(path)
+        vocabulary = worker_encoder(path).vocabulary
         for batch, packed in text_slices(batches, ids):
             texts = [None if p is None else vocabulary.decode(np.frombuffer(p, "<u4")).decode() for p in packed]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())],

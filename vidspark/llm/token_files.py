@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm.bpe import Encoder, tokenizer_path
+from vidspark.llm.bpe import tokenizer_path, worker_encoder
 from vidspark.llm.common import batch_of, documents, scratch_path, text_slices
 
 
@@ -46,7 +46,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 0, doc_id: str = "d
     def write(batches: Iterator[pa.RecordBatch]):
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         kind = token_type(encoder.vocabulary.size)
         part = TaskContext.get().partitionId()
         own = f"{base}/.{uuid.uuid4().hex}"

@@ -11,8 +11,8 @@ A byte goes if it is covered by a string of LENGTH bytes that also starts in a d
    suffix-sorted by difference cover: the triples (of 8-byte words) at two of three places are sorted and named, the names
    are sorted again in triples until all differ, the remaining suffixes are sorted by one byte and the rank
    after it and merged, and adjacent suffixes are compared over LENGTH bytes. The smallest id of each run of equal prefixes
-   decides which windows are repeats. Anchors with more than CLASSES classes leave the block window by window, and those
-   windows are grouped by Spark with sums combined before the shuffle.
+   decides which windows are repeats. Anchors whose classes are too large for one sort leave the block window by window,
+   and those windows are grouped by Spark with minima combined before the shuffle.
 4. The removed ranges are joined back to the texts by id.
 
 Every exchange and table grows linearly with the text. Sorting all suffixes in one global recursion would move each of
@@ -38,8 +38,8 @@ from vidspark.llm.common import documents, materialize, shuffle_partitions, text
 LENGTH, GRAM = 50, 20
 #: Bytes of text worked on at once, anchors or contexts a task holds, bytes of a sorted block: memory only.
 PIECE, HELD, BLOCK = 1 << 20, 600_000, 1 << 19
-#: Classes of one anchor sorted in a block; beyond, its windows are grouped one by one with the same result.
-CLASSES = 4_096
+#: What a suffix sort takes; an anchor whose classes have more bytes has its windows grouped by Spark, with the same result.
+LARGEST = (1 << 21) - 1
 NO_ID = (1 << 63) - 1
 _MASK = np.uint64((1 << 21) - 1)
 
@@ -63,7 +63,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tobytes()), np.int64)
     if n >= 1 << 21:
-        raise ValueError("a block has under 2^21 bytes")
+        raise ValueError("a sort takes under 2^21 bytes")
     padded = np.concatenate((text + np.uint8(1), np.zeros(32, np.uint8)))  # nothing is as small as the end
     words = np.zeros(n + 24, np.uint64)
     for k in range(8):
@@ -286,9 +286,8 @@ def _hits(ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
 
 # --- contexts and blocks ----------------------------------------------------------------------------------------------
 
-_CONTEXT_ROWS = ("bucket int, ids binary, texts binary, starts binary, uses binary, tags binary, lengths binary, "
-                 "bytes binary, spans binary")
-_CONTEXT_TYPES = [pa.int32(), *[pa.binary()] * 8]
+_CONTEXT_ROWS = "bucket int, sizes binary, packed binary, spans binary"
+_CONTEXT_TYPES = [pa.int32(), *[pa.binary()] * 3]
 
 
 def _text_key(text: bytes) -> int:
@@ -315,14 +314,16 @@ def _contexts(id_at: int, text: str, hits_at: int, buckets: int):
                         spans.setdefault(u[0] % buckets, []).append((u[0], u[1], u[2], u[2] + len(context)))
             held.clear()
             for bucket, found in by_bucket.items():
-                uses = [(*u, k) for k, x in enumerate(found) for u in x[2]]
-                columns = [np.array(c, "<i8").tobytes() for c in zip(*uses)]
-                yield (bucket, columns[0], columns[1], columns[2], columns[3],
-                       np.array([x[1] for x in found], "<u4").tobytes(),
-                       np.array([len(x[0]) for x in found], "<u4").tobytes(),
-                       packer.compress(b"".join(x[0] for x in found)), None)
-            for bucket, found in spans.items():
-                yield (bucket, *[None] * 7, np.array(found, "<i8").tobytes())
+                # documents once each; uses follow the contexts' order
+                documents = {d: k for k, d in enumerate({u[:2]: None for x in found for u in x[2]})}
+                parts = [np.array(list(documents), "<i8"), np.array([documents[u[:2]] for x in found for u in x[2]], "<u4"),
+                         np.array([u[2] for x in found for u in x[2]], "<u4"), np.array([len(x[2]) for x in found], "<u4"),
+                         np.array([x[1] for x in found], "<u4"), np.array([len(x[0]) for x in found], "<u4")]
+                packed = b"".join([*(x.tobytes() for x in parts), *(x[0] for x in found)])
+                yield (bucket, np.array([len(documents), len(parts[1]), len(found)], "<i8").tobytes(),
+                       packer.compress(packed), None)
+            for bucket, rows in spans.items():
+                yield (bucket, None, None, packer.compress(np.array(rows, "<i8").tobytes()))
 
         def batch_of_rows(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CONTEXT_TYPES)],
@@ -387,23 +388,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
             names=["id", "text", "spans", "window", "start"])
 
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(1, 9))):
-            if row[7] is not None:
-                ready.append(np.frombuffer(row[7], "<i8").reshape(-1, 4))
+        for sizes, packed, spans in zip(*(batch.column(k).to_pylist() for k in range(1, 4))):
+            if spans is not None:
+                ready.append(np.frombuffer(unpacker.decompress(spans), "<i8").reshape(-1, 4))
                 if sum(map(len, ready)) > HELD:
                     yield given(np.concatenate(ready))
                     ready.clear()
                 continue
-            ids, texts, starts, use = (np.frombuffer(x, "<i8") for x in row[:4])
-            data = unpacker.decompress(row[6])
-            ends = np.cumsum(np.frombuffer(row[5], "<u4")).tolist()
-            at = []
-            for tag, a, b in zip(np.frombuffer(row[4], "<u4").tolist(), [0, *ends], ends):
+            n_documents, n_uses, n_contexts = np.frombuffer(sizes, "<i8").tolist()
+            data, at = unpacker.decompress(packed), 16 * n_documents
+            named = np.frombuffer(data, "<i8", 2 * n_documents).reshape(-1, 2)
+            arrays = []
+            for n in (n_uses, n_uses, n_contexts, n_contexts, n_contexts):
+                arrays.append(np.frombuffer(data, "<u4", n, at).astype(np.int64))
+                at += 4 * n
+            of, starts, counts, own_tags, sizes_ = arrays
+            ends = (np.cumsum(sizes_) + at).tolist()
+            placed = []
+            for tag, a, b in zip(own_tags.tolist(), [at, *ends], ends):
                 k = numbers.setdefault(data[a:b], len(numbers))
                 if k == len(tags):
                     tags.append(tag)
-                at.append(k)
-            uses.append(np.stack([np.asarray(at, np.int64)[use], ids, texts, starts], 1))
+                placed.append(k)
+            uses.append(np.stack([np.repeat(np.asarray(placed, np.int64), counts), named[of, 0], named[of, 1], starts], 1))
     if uses:
         contexts, use = list(numbers), np.concatenate(uses)
         numbers.clear()
@@ -424,11 +431,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
         block, block_size = [], 0
         for a, n in zip(at[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
             members = order[a:a + n]
-            if n > CLASSES:
+            size = int(lengths[members].sum())
+            if size > LARGEST:
                 yield from _windows(members, contexts, use, use_at)
                 continue
+            if block and block_size + size > LARGEST:
+                ready += _sorted_block(np.concatenate(block), contexts, least, use, use_at)
+                block, block_size = [], 0
             block.append(members)
-            block_size += int(lengths[members].sum())
+            block_size += size
             if block_size >= BLOCK:
                 ready += _sorted_block(np.concatenate(block), contexts, least, use, use_at)
                 block, block_size = [], 0

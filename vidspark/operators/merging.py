@@ -140,15 +140,17 @@ def leaked_groups(assigned: DataFrame, group: str, split: str = "split") -> Data
 
 def coverage(all_rows: DataFrame, split_rows: DataFrame, key: str) -> DataFrame:
     """One row: keys lost and keys added by a split (M7); both 0 for a sound split."""
-    lost = all_rows.select(key).exceptAll(split_rows.select(key)).agg(F.count(F.lit(1)).alias("lost"))
-    added = split_rows.select(key).exceptAll(all_rows.select(key)).agg(F.count(F.lit(1)).alias("added"))
-    return lost.select("lost", added.scalar().alias("added"))
+    both = all_rows.select(key, F.lit(1).alias("n")).unionByName(split_rows.select(key, F.lit(-1).alias("n")))
+    left = both.groupBy(key).agg(F.sum("n").alias("n"))
+    return left.agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("lost"),
+                    F.coalesce(F.sum(F.when(F.col("n") < 0, -F.col("n"))), F.lit(0)).alias("added"))
 
 
 def training_rows(folded: DataFrame, keys: list[str], k: int, fold: str = "fold") -> DataFrame:
     """Rows that train in any fold, once each (M2). Every row trains in the k-1 folds it is not held out of."""
-    folds = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i != F.col(fold))
-    return one_per_key(folded.withColumn("_k", F.explode(folds)), keys, [F.col("_k")]).drop("_k")
+    if k < 2:
+        return folded.where("false")
+    return one_per_key(folded, keys, [F.col(fold)])
 
 
 def last_values(log: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vidspark.functions.numeric import sigmoid
@@ -161,7 +162,8 @@ def load_model(path: str) -> PipelineModel:
 
 
 def label_index(df: DataFrame, label: str, name: str = "label_idx") -> DataFrame:
-    """Position of each label among the sorted distinct labels (X21). The labels, not the rows, are listed."""
+    """Position of each label among the sorted distinct labels (X21); NULL for no label. The labels, not the rows, are
+    ranked in one task and joined back."""
     labels = df.where(F.col(label).isNotNull()).select(label).distinct()
-    listed = labels.agg(F.array_sort(F.collect_list(label))).scalar()
-    return df.withColumn(name, (F.array_position(listed, F.col(label)) - 1).cast("int"))
+    ranked = labels.withColumn(name, F.row_number().over(W.orderBy(label)) - 1)
+    return df.drop(name).join(ranked, label, "left")

@@ -89,7 +89,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def judged(docs: DataFrame, text: str = "text", rules: list = RULES) -> DataFrame:
-    """docs with the counts, base_failed and kept."""
+    """docs with the counts, base_failed and kept. To filter by the verdict, use ``kept_rows`` or write this table first."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured(docs, text).withColumn("base_failed", base).withColumn("kept", ~base & verdict(rules))
 

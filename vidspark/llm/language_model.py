@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vidspark.llm.common import documents, materialize, shuffle_partitions, text_slices
 
 FOLDS, HELD_OUT = 5, 1
-#: Words broadcast with their counts, symbols of the model, width, noise words and examples of a step, rounds, rate.
+#: Words broadcast with their counts (those of the highest count classes that fit), symbols of the model, width, noise words and examples of a step, rounds, rate.
 HOT, SYMBOLS, WIDTH, NOISE, STEP, ROUNDS, RATE = 100_000, 512, 24, 40, 4096, 3, 0.2
 #: Distinct words or triples a task holds before it passes them on; bounds memory only.
 HELD = 200_000
@@ -73,8 +73,16 @@ class Counts:
     """What the driver keeps of the counts: the hot words, totals, and totals by group of the words that are no symbols."""
 
     def __init__(self, table: DataFrame):
-        ordered = table.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(HOT).collect()
-        self.words = {bytes(r[0]): k for k, r in enumerate(ordered)}
+        words = table.where(F.col("word") != F.lit(END)).withColumn("size", F.floor(8 * F.log2("n")).cast("int"))
+        least, total = None, 0
+        for size, kinds in sorted(words.groupBy("size").count().collect(), reverse=True):  # at most 512 sizes
+            total += kinds
+            if total > HOT:
+                break
+            least = size
+        ordered = sorted(((bytes(r[0]), r[1]) for r in words.where(F.col("size") >= F.lit(least)).select("word", "n").collect()),
+                         key=lambda r: (-r[1], r[0])) if least is not None else []  # at most HOT rows
+        self.words = {r[0]: k for k, r in enumerate(ordered)}
         self.n = np.array([r[1] for r in ordered] or [0], np.int64)
         row = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(
             F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()

@@ -7,7 +7,7 @@ element, role, class or id: menus, headers, footers, sidebars, notices, adverts,
 Paragraphs, headings and other text blocks of an article are never taken for a template, however often they recur.
 
 A host's template list is bounded: each entry is on MIN_SHARE of the host's pages, so there are at most 1 / MIN_SHARE times
-as many as subtrees in a page. Pages of a large host stay spread, as the join's other side has one row per host.
+as many as subtrees in a page. The pages of a host are spread over SPREAD keys for the join.
 
 Defined results: null or empty html gives an empty text; pages without article or main element give the body without
 what is left out; broken markup is read as browsers do (open elements end with what holds them, an unfinished tag or
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm.common import batch_of, text_slices
+from vidspark.llm.common import batch_of, materialize, text_slices
 
 #: A subtree is part of a template if it is on so many different pages of a host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: Tasks over which the pages of one host are spread.
+SPREAD = 64
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
@@ -207,7 +209,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     seen = pages.select("host", "html").mapInArrow(run, "host string, page long, subtree long").distinct()
     counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.max(
         F.col("page") == F.col("subtree")).alias("whole"))
-    # one partial sum per host and task, then the pages of a host are known; a page's own hash is no template
+    # written, as both the pages of a host and its recurring subtrees follow from it; a page's own hash is no template
+    counts = materialize(counts.where((F.col("n") >= min_pages) | F.col("whole")), "subtrees")
     pages_of = counts.where("whole").groupBy("host").agg(F.count("*").alias("pages"))
     many = counts.where((F.col("n") >= min_pages) & ~F.col("whole")).join(pages_of, "host")
     return (many.where(F.col("n") >= min_share * F.col("pages")).groupBy("host")
@@ -218,7 +221,10 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """(page_id, url, text) of every page."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), _host(url).alias("host"),
                         F.col(html).alias("html"))
-    joined = rows.join(templates(rows), "host", "left").select("page_id", "url", "html", "template")
+    # pages of a large host go to SPREAD tasks, each with its own copy of the host's list
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).cast("int")
+    listed = templates(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    joined = rows.withColumn("salt", salt).join(listed, ["host", "salt"], "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch, texts in text_slices(batches, "html"):

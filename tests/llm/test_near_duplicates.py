@@ -7,7 +7,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from vidspark.llm import decontaminate, quality_rules, simhash
+from vidspark.llm import decontaminate, near_copies, quality_rules, simhash
 from vidspark.llm.graph import components
 from vidspark.session import materialize
 
@@ -115,3 +115,38 @@ def test_near_duplicate_stage_keeps_the_smallest_id(spark):
 
 def test_rules_and_windows_are_what_the_pipeline_uses():
     assert quality_rules.RULES[0][2] == 50 and decontaminate.WINDOW == 10 and np.all(np.array(corpus_pipeline.SHINGLE_WORDS) == 5)
+
+
+def test_near_duplicate_stage_finds_all_of_similarity_four_fifths(spark):
+    draw = random.Random(8)
+    fresh = lambda n: ["".join(draw.choices("abcdefghij", k=8)) for _ in range(n)]
+    rows, words_of = [], {}
+    for group in range(40):  # a text, and copies of it with words changed here and there
+        base = fresh(draw.choice([60, 150, 400]))
+        for k, share in enumerate((0, 0.01, 0.02, 0.022, 0.03, 0.06)):
+            words_of[10 * group + k] = [w if draw.random() >= share else fresh(1)[0] for w in base]
+    hub = fresh(200)  # two copies of the hub are less alike than each is to the hub
+    for k in range(25):
+        words_of[1000 + k] = hub[:5 * k] + fresh(1) + hub[5 * k + 1:100] + hub[100:] + fresh(18 if k else 0)
+    rows = [(i, " ".join(w)) for i, w in words_of.items()]
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in words_of.items()}
+    root = {i: i for i in sets}
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and root[i] != root[j] and alike(i, j):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(root.values()) and len(kept) < len(rows)
+
+
+def test_keys_of_similar_texts_meet():
+    draw, missed, met = np.random.default_rng(3), 0, []
+    for n in (50, 50, 450, 450) * 50:
+        both, own = draw.integers(0, 1 << 63, (8 * n // 10,), np.uint64), draw.integers(0, 1 << 63, (2, n // 10), np.uint64)
+        a, b = (near_copies.band_keys(np.concatenate((both, x))) for x in own)
+        met.append(int((a == b).sum()))
+        missed += met[-1] == 0
+    assert not missed and abs(np.mean(met) - near_copies.BANDS * 0.8 ** near_copies.ROWS) < 1.5

@@ -77,6 +77,25 @@ def test_licences(docs, empty):
     assert out(empty).count() == 0
 
 
+def test_licences_of_bundles(spark):
+    notices = [n for _, n, _ in licences.TEMPLATES]
+    texts = {1: notices[1] + ". Licensed under CC BY 4.0", 2: "\n\n".join(notices), 3: " ".join(f"x {n}" for n in notices[::-1]),
+             4: notices[1] + " licensed under cc by 5 0"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: {x.label for x in r.templates} for r in licences.scanned(docs).collect()}
+    labels = {t[0] for t in licences.TEMPLATES}
+    assert got == {1: {"mit", "cc-by-4.0"}, 2: labels, 3: labels, 4: {"mit"}}
+
+
+def test_licence_templates_have_votes_enough():
+    index = set(licences.index_words())
+    for t, (label, notice, _) in enumerate(licences.TEMPLATES):
+        rows = [r for r in licences._template_rows() if r[0] == t]
+        free = sum(r[3] in index and not r[4] for r in rows)  # words that may be missing
+        missing = int(len(rows) * (1 - licences.MIN_SHARE) + 1e-9)
+        assert sum(r[3] in index for r in rows) - min(free, missing) >= licences.MIN_VOTES, (label, notice)
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for block in (decontaminate.BLOCK_WINDOWS, 2):  # one broadcast block or several

@@ -1,13 +1,12 @@
 """Licence scan with a positional index of rare licence words, in DataFrame functions alone.
 
 The index holds, for each licence word that is not common, the templates and places where it stands. A first pass keeps,
-for each text, where index words stand and counts in how many texts each word occurs. Of each text the index words with
-the highest inverse document frequency are looked up; a posting at offset o for a word at i votes for the template
-starting at i - o. Starts with two votes or more are compared with the whole template there: the words of the mandatory
-phrases must all match, and MIN_SHARE of all words. The index and the counts are as large as the template list.
+for each text, where index words stand. Each of them is looked up; a posting at offset o for a word at i votes for the
+template starting at i - o. Starts with two votes or more are compared with the whole template there: the words of the
+mandatory phrases must all match, and MIN_SHARE of all words. No template that passes this has fewer votes, so none is
+missed, whatever else a text or the table holds. The index is as large as the template list.
 
-Defined results: a null or empty text has no words, no label and score 0; repeated rows are scanned alike and each count in
-the frequencies; columns other than id and text are left out; an empty table gives no row. A text with a base phrase and
+Defined results: a null or empty text has no words, no label and score 0; repeated rows are scanned alike; columns other than id and text are left out; an empty table gives no row. A text with a base phrase and
 no verified template scores BASE_SCORE.
 """
 
@@ -19,7 +18,9 @@ from pyspark.sql import functions as F
 from vidspark.llm.common import documents, lower_ascii, materialize
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LOOKED_UP, MIN_VOTES, MIN_SHARE, BASE_SCORE = 16, 2, 0.7, 0.5
+MIN_VOTES, MIN_SHARE, BASE_SCORE = 2, 0.7, 0.5
+#: The SQL looks up so many index words of a text only; on texts with more of them it may have fewer labels.
+LOOKED_UP = 16
 
 #: The phrases every scan reports, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -90,21 +91,16 @@ def _base_at(i: Column) -> Column:
     return out
 
 
-def _candidates(frequency: dict[str, int]) -> Column:
-    """Template starts with enough votes, as template * 2^32 + start, from ``found`` (places of index words)."""
-    order = {w: k for k, w in enumerate(sorted(index_words(), key=lambda w: (frequency.get(w, 0), w)))}
-    rank = F.create_map(*[x for w, k in order.items() for x in (F.lit(w), F.lit(k))])
-    by_word = {w: [] for w in order}
+def _votes() -> Column:
+    """Template starts, as template * 2^32 + start, once for each index word that votes, from ``found`` (its places)."""
+    by_word = {w: [] for w in index_words()}
     for t, _, k, w, _ in _template_rows():
         if w in by_word:
             by_word[w].append(F.lit((t << 32) - k).cast("long"))
-    postings = _array([_array(by_word[w], "bigint") for w in order], "array<bigint>")
-    ranks = F.sort_array(F.array_distinct(F.transform("found", lambda i: rank[F.get("words", i)])))
-    last = F.get(ranks, F.least(F.lit(LOOKED_UP), F.size(ranks)) - 1)
-    votes = F.transform("found", lambda i: F.when(
-        rank[F.get("words", i)] <= F.col("last_rank"),
-        F.transform(F.get(postings, rank[F.get("words", i)]), lambda p: p + i)).otherwise(_array([], "bigint")))
-    return last, F.sort_array(F.flatten(votes))
+    rank = F.create_map(*[x for k, w in enumerate(by_word) for x in (F.lit(w), F.lit(k))])
+    postings = _array([_array(p, "bigint") for p in by_word.values()], "array<bigint>")
+    return F.sort_array(F.flatten(F.transform("found", lambda i: F.transform(
+        F.get(postings, rank[F.get("words", i)]), lambda p: p + i))))
 
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,12 +114,7 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         "doc_id", n.cast("long").alias("n_words"), "found",
         F.when(F.size("found") > 0, F.col("words")).otherwise(_array([], "string")).alias("words"))
     rows = materialize(rows, "licence-words")
-    counts = (rows.where(F.size("found") > 0)
-              .select(F.explode(F.array_distinct(F.transform("found", lambda i: F.get("words", i)))).alias("word"))
-              .groupBy("word").agg(F.count("*").alias("n")))
-    last, votes = _candidates({r[0]: r[1] for r in counts.collect()})  # at most one row per index word
-    rows = rows.withColumn("last_rank", last)
-    rows = rows.withColumn("votes", votes)
+    rows = rows.withColumn("votes", _votes())
     vote = lambda j: F.get("votes", j)
     rows = rows.withColumn("starts", F.array_distinct(F.filter(
         "votes", lambda v, j: F.coalesce(vote(j + MIN_VOTES - 1) == v, F.lit(False)))))

@@ -142,6 +142,13 @@ def test_near_duplicate_stage_finds_all_of_similarity_four_fifths(spark):
     assert kept == set(root.values()) and len(kept) < len(rows)
 
 
+def test_near_duplicate_stage_keeps_other_texts_of_one_id(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "p q r s t u"), (2, "v w x y z a"), (2, "v w x y z a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert out == [(1, "a b c d e f"), (2, "p q r s t u"), (2, "v w x y z a")]
+
+
 def test_keys_of_similar_texts_meet():
     draw, missed, met = np.random.default_rng(3), 0, []
     for n in (50, 50, 450, 450) * 50:

@@ -269,3 +269,10 @@ def test_html_text(spark):
     assert got[8] == "One & two ab c d e Read on" and got[9] == got[10] == got[14] == ""
     assert got[11] == "one two 1 < 2 &am" and got[13] == "text"
     assert html_text.extracted(pages.where("false")).count() == 0
+
+
+def test_html_text_outside_articles():
+    teasers = "<body><nav>n</nav><div><h1>Story</h1><p>long text</p></div><article>teaser</article><aside>x</aside></body>"
+    assert html_text.read_page(teasers)[0] == "Story long text teaser"
+    assert html_text.read_page("<main><h1>Head</h1><p>lead</p><article><p>body</p></article></main>")[0] == "Head lead body"
+    assert html_text.read_page("<div>before</div><main>in</main><footer>f</footer>")[0] == "before in"

@@ -4,13 +4,13 @@ Each page is read once for its element subtrees: a subtree's hash covers its tag
 Spark, over pages with different bodies, so copies of one page count once; a subtree that recurs on many pages of its host
 is part of the site's template. A second reading leaves these subtrees out, and with them what is no article by its
 element, role, class or id: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments.
-Paragraphs, headings and other text blocks of an article are never taken for a template, however often they recur.
+Paragraphs, headings and other text blocks of an article are never taken for a template, however often they recur. All
+other blocks stay in page order, inside and outside of article and main.
 
 A host's template list is bounded: each entry is on MIN_SHARE of the host's pages, so there are at most 1 / MIN_SHARE times
 as many as subtrees in a page. The pages of a host are spread over SPREAD keys for the join.
 
-Defined results: null or empty html gives an empty text; pages without article or main element give the body without
-what is left out; broken markup is read as browsers do (open elements end with what holds them, an unfinished tag or
+Defined results: null or empty html gives an empty text; broken markup is read as browsers do (open elements end with what holds them, an unfinished tag or
 comment hides the rest); a null url is a host of its own; repeated rows give repeated rows; other columns are left out.
 """
 
@@ -71,32 +71,29 @@ def _marked(tag: str, attributes: str) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "out", "parts", "article", "mark", "block")
+    __slots__ = ("tag", "out", "parts", "article", "mark")
 
-    def __init__(self, tag: str, out: bool, article: bool, parts: list, mark: int, block: int):
-        self.tag, self.out, self.article = tag, out, article
-        self.parts, self.mark, self.block = parts, mark, block
+    def __init__(self, tag: str, out: bool, article: bool, parts: list, mark: int):
+        self.tag, self.out, self.article, self.parts, self.mark = tag, out, article, parts, mark
 
 
 def read_page(page: str, templates: frozenset = frozenset()) -> tuple[str, set[int], int]:
     """Text of a page without ``templates``, the hashes of subtrees that may belong to a template, hash of the page."""
-    stack = [_Element("", False, False, [], 0, 0)]
+    stack = [_Element("", False, False, [], 0)]
     opened: dict[str, int] = {}
-    blocks: list[tuple[int, str]] = []  # in an article: 2, in main: 1, else 0
+    blocks: list[str] = []
     run: list[str] = []
     found: set[int] = set()
-    where = 0
 
     def flush() -> None:
         nonlocal run
         if run:
             text = " ".join("".join(run).split())
             if text:
-                blocks.append((where, text))
+                blocks.append(text)
             run = []
 
     def close() -> None:
-        nonlocal where
         element = stack.pop()
         opened[element.tag] -= 1
         if element.tag not in INLINE:
@@ -104,7 +101,6 @@ def read_page(page: str, templates: frozenset = frozenset()) -> tuple[str, set[i
         code = int.from_bytes(blake2b("\x00".join(element.parts).encode("utf-8", "replace"), digest_size=8).digest(),
                               "little", signed=True)
         stack[-1].parts.append(f"\x01{code:x}")
-        where = element.block
         if element.tag not in INLINE and not (element.article and element.tag in TEXT_BLOCKS) and not element.out:
             found.add(code)
             if code in templates:
@@ -168,12 +164,7 @@ def read_page(page: str, templates: frozenset = frozenset()) -> tuple[str, set[i
                     close()
         parent = stack[-1]
         out = parent.out or tag in LEFT_OUT or bool(attributes) and _marked(tag, attributes)
-        before = where
-        if not out and tag == "article":
-            where = 2
-        elif not out and where < 1 and (tag == "main" or 'role="main"' in attributes):
-            where = 1
-        stack.append(_Element(tag, out, parent.article or tag == "article", [tag, attributes], len(blocks), before))
+        stack.append(_Element(tag, out, parent.article or tag == "article", [tag, attributes], len(blocks)))
         opened[tag] = opened.get(tag, 0) + 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -182,9 +173,8 @@ def read_page(page: str, templates: frozenset = frozenset()) -> tuple[str, set[i
     while len(stack) > 1:
         close()
     flush()
-    best = max((b[0] for b in blocks), default=0)
     code = blake2b("\x00".join(stack[0].parts).encode("utf-8", "replace"), digest_size=8).digest()
-    return " ".join(t for w, t in blocks if w == best), found, int.from_bytes(code, "little", signed=True)
+    return " ".join(blocks), found, int.from_bytes(code, "little", signed=True)
 
 
 def _host(url: str) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from vidspark.llm import bpe, decontaminate, html_text, language_model, licences, quality_rules, sharding, simhash, suffix_dedup, token_files
+from vidspark.llm import (bpe, decontaminate, html_text, language_model, licences, quality_rules, sharding, simhash,
+                          suffix_dedup, token_files, vector_codes, whitening)
 
 QUERIES = {
     "op1_html_text": html_text.query,
@@ -15,9 +16,12 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_simhash": simhash.query,
     "op10_token_files": token_files.query,
+    "op12_whitening": whitening.query,
+    "op13_vector_codes": vector_codes.query,
 }
 ORACLES = {
     "op3_quality_rules": quality_rules.SQL,
     "op4_licences": licences.SQL,
     "op5_decontaminate": decontaminate.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vidspark.llm import (bpe, decontaminate, html_text, language_model, licences, quality_rules, sharding, simhash,
+from vidspark.llm import (bpe, decontaminate, disclosure, html_text, language_model, licences, quality_rules, sharding, simhash,
                           suffix_dedup, token_files, vector_codes, whitening)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_simhash": simhash.query,
     "op10_token_files": token_files.query,
+    "op11_disclosure": disclosure.query,
     "op12_whitening": whitening.query,
     "op13_vector_codes": vector_codes.query,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op3_quality_rules": quality_rules.SQL,
     "op4_licences": licences.SQL,
     "op5_decontaminate": decontaminate.SQL,
+    "op11_disclosure": disclosure.SQL,
     "op13_vector_codes": vector_codes.SQL,
 }

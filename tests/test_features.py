@@ -111,3 +111,28 @@ def test_dependent_columns_alone_are_infinite():
     x, y, z = np.random.default_rng(1).normal(size=(3, 200))
     factors = fe.inflation_factors(np.corrcoef([x, x, y, z]))
     assert np.isinf(factors[:2]).all() and (factors[2:] < 2).all()
+
+
+def test_containment_equals_brute_force(spark):
+    """Keys shorter and longer than a piece, hot pieces, one of 255 letters, and repeated letters."""
+    draw = random.Random(3)
+    words = ["ab", "abc", "customer", "0000", "x", "é", "long_shared_prefix_", "7"]
+    hay = {"".join(draw.choice(words) for _ in range(draw.randint(1, 9))) for _ in range(150)} | {"q" * 255, "y" * 254 + "z"}
+    needles = {"".join(draw.choice(words) for _ in range(draw.randint(1, 4))) for _ in range(150)} | {"q" * 255, "q" * 8, "q", "yz", ""}
+    got = fe.containments(spark.createDataFrame([(n,) for n in needles], "needle string"),
+                          spark.createDataFrame([(h, i) for i, h in enumerate(sorted(hay))], "hay string, place int"))
+    rows = got.select("needle", "hay").collect()
+    assert sorted((r["needle"], r["hay"]) for r in rows) == sorted((n, h) for n in needles for h in hay if n and n in h)
+
+
+def test_index_rows_are_linear_in_key_length(spark):
+    one = spark.createDataFrame([("".join(chr(97 + (i * i) % 26) + str(i) for i in range(255))[:255],)], "t string")
+    assert one.select(F.size(fe._grams(F.col("t"), fe.GRAM)).alias("n")).head()["n"] <= 255 - fe.GRAM + 1
+
+
+def test_contained_match_of_a_long_key(spark):
+    long = "k" * 120 + "middle" + "w" * 129
+    targets = spark.createDataFrame([(f"t/{long}.mp4",), ("t/middle.mp4",), ("t/nowhere.mp4",)], "video_path string")
+    cands = spark.createDataFrame([("c/w.mp4", 3), (f"c/a{long}.mp4", 2), ("c/idd.mp4", 1)], "video_path string, seq long")
+    got = {r["video_path"]: r["matched_path"] for r in fe.match_contained(targets, cands).collect()}
+    assert got == {f"t/{long}.mp4": "c/idd.mp4", "t/middle.mp4": "c/idd.mp4", "t/nowhere.mp4": "c/w.mp4"}

@@ -128,3 +128,102 @@ def test_rows_without_keys_stay_in_the_split(spark):
     assert df.select(sp.strata_key()).distinct().count() == 2
     with pytest.raises(ValueError):
         sp.stratified_sample(df, "video_id", fraction=1.5)
+
+
+def walk(plan):
+    """Names and texts of the nodes that rows pass, subqueries left out."""
+    kids = plan.children()
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return walk(plan.initialPlan())
+    return [(plan.nodeName(), plan.simpleString(200))] + [x for i in range(kids.size()) for x in walk(kids.apply(i))]
+
+
+def plan_of(df):
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 2500, 4999, 5000, 9000])
+def test_shuffled_sample_is_exact(spark, n):
+    df = spark.range(5000).select((F.col("id") * 3).alias("key"), F.lit("x").alias("_bucket_of"))
+    ranked = rk.rank_by_hash(df.withColumn("g", F.lit(0)), ["g"], ["key"]).where(F.col("rn") <= n)
+    got = sorted(r["key"] for r in rk.shuffled_sample(df, "key", n).collect())
+    assert got == sorted(r["key"] for r in ranked.collect()) and len(got) == min(n, 5000)
+
+
+def test_shuffled_sample_with_equal_and_missing_keys(spark):
+    df = spark.createDataFrame([(None, i) for i in range(5)] + [(1, i) for i in range(5)], "key long, v int")
+    assert [rk.shuffled_sample(df, "key", n).count() for n in (0, 3, 7, 10, 11)] == [0, 3, 7, 10, 10]
+    assert rk.shuffled_sample(df.where("false"), "key", 3).count() == 0
+
+
+def test_only_the_cut_is_exchanged(spark):
+    """One branch has no exchange, the other filters by the cut below its exchange."""
+    plan = plan_of(rk.shuffled_sample(spark.range(100).withColumnRenamed("id", "key"), "key", 10))
+    exchanges = [i for i, (name, _) in enumerate(plan) if name == "Exchange"]
+    assert len(exchanges) == 1
+    after = plan[exchanges[0]:]
+    assert any(name == "Filter" and " = Subquery" in text for name, text in after)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "double", "date"])
+def test_order_index_of_any_type(spark, kind):
+    values = [(i * 7919) % 4001 for i in range(4001)]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    col = {"bigint": F.col("v"), "string": F.concat(F.lit("same/long/prefix/"), F.col("v").cast("string")),
+           "double": F.col("v") / 3.0, "date": F.date_add(F.lit("2000-01-01"), F.col("v").cast("int"))}[kind]
+    out = rk.order_index(df.select(col.alias("c"), "v"), "c").collect()
+    assert [r["idx"] for r in sorted(out, key=lambda r: r["c"])] == list(range(4001))
+
+
+def test_splitters_are_even_and_bounded(spark):
+    df = spark.range(200_000).select(F.md5(F.col("id").cast("string")).alias("c"))
+    cuts = rk.value_splitters(df, "c", 256)
+    assert 200 <= len(cuts) <= 600
+    sizes = [r["count"] for r in df.select(rk.splitter_bucket("c", cuts).alias("b")).groupBy("b").count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) < 200_000 / 256 * 4
+    assert rk.value_splitters(df.where("false"), "c") == []
+
+
+@pytest.mark.parametrize("sent", [10_000, 0])
+@pytest.mark.parametrize("k", [0, 1, 300, 4000, 9000])
+def test_first_per_class_with_a_hot_class(spark, monkeypatch, sent, k):
+    monkeypatch.setattr(rk, "SENT_CLASSES", sent)
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 6 == 0, F.col("id").cast("string")).alias("label"),
+                                  F.format_string("%06d", (F.col("id") * 7) % 5003).alias("name"), "id")
+    rows = {}
+    for r in df.collect():
+        if r["label"] is not None:
+            rows.setdefault(r["label"], []).append((r["name"], r["id"]))
+    want = sorted((x, *y) for x, ys in rows.items() for y in sorted(ys)[:k])
+    got = sorted((r["label"], r["name"], r["id"]) for r in rk.first_per_class(df, "label", "name", k).collect())
+    assert got == want
+
+
+def test_label_index_of_a_million_labels(spark):
+    from vidspark.operators.models import label_index
+    df = spark.range(1_000_000).select(F.concat(F.lit("l"), F.format_string("%07d", (F.col("id") * 999_983) % 1_000_000)).alias("label"),
+                                       ((F.col("id") * 999_983) % 1_000_000).alias("want"))
+    out = label_index(df.unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS label, CAST(NULL AS BIGINT) AS want")), "label")
+    assert out.where("NOT (label_idx <=> want)").count() == 0
+    assert out.count() == 1_000_001
+    plan = plan_of(out)  # one task sees the sizes of the ranges, never the labels
+    assert all(plan[i + 1][0] == "HashAggregate" for i, (name, text) in enumerate(plan) if "SinglePartition" in text)
+
+
+def test_row_weighted_draws(spark):
+    """A row of a third of all weight, rows that cannot be drawn, equal and missing keys."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") == 7, 10_000.0).when(F.col("id") % 10 == 0, F.lit(-1.0))
+                                    .when(F.col("id") % 10 == 1, F.lit(None)).when(F.col("id") % 10 == 2, float("nan"))
+                                    .when(F.col("id") % 10 == 3, 0.0).when(F.col("id") % 10 == 4, 8.0).otherwise(1.0).alias("w"))
+    out = sp.row_weighted_draws(df, "id", "w").collect()
+    assert sorted(r["draw"] for r in out) == list(range(20_000))
+    drawn = Counter(r["id"] % 10 if r["id"] != 7 else "hot" for r in out)
+    assert not {0, 1, 2, 3} & set(drawn)
+    total = 10_000 + 2_000 * 8 + 5 * 2_000 - 1
+    assert abs(drawn["hot"] / 20_000 - 10_000 / total) < 0.015 and abs(drawn[4] / 20_000 - 16_000 / total) < 0.015
+    again = sp.row_weighted_draws(df.repartition(13), "id", "w").collect()
+    assert sorted((r["draw"], r["id"]) for r in again) == sorted((r["draw"], r["id"]) for r in out)
+    none = df.withColumn("w", F.lit(0.0))
+    assert sp.row_weighted_draws(none, "id", "w").count() == 0
+    same = spark.createDataFrame([(None, 1.0), (None, 3.0), (5, 2.0)], "id long, w double")
+    assert sp.row_weighted_draws(same, "id", "w").count() == 3

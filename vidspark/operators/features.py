@@ -54,21 +54,41 @@ def match_exact(targets: DataFrame, features: DataFrame, seq: str, folder_stems=
         .join(last, "_key", "left").select(*targets.columns, "_f.*")
 
 
-def _substrings(text: Column) -> Column:
-    """All distinct non-empty pieces of a short text."""
-    n = F.length(text)
-    starts = F.sequence(F.lit(1), n)
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k)))))
+#: Letters of the pieces that keys are looked up by. Pieces of so many letters of long numbered names are rare.
+GRAM = 8
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All distinct pieces of n letters; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def containments(needles: DataFrame, hay: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Rows of needles and hay where the text ``needle`` lies in the text ``hay``; both columns hold distinct texts.
+
+    Hay texts are indexed by their pieces of ``gram`` letters, one row a piece, and by shorter pieces of the lengths that
+    shorter needles have: at most ``gram`` rows a letter, never all substrings. A needle sends one row: itself if it is
+    that short, else the rarest of its pieces by the counts of the index; a needle with a piece that no hay text has is
+    out. Candidates that share the piece are compared whole, and an aggregation that follows combines them on the map side.
+    """
+    lengths = needles.where(F.length("needle").between(1, gram - 1)).select(F.length("needle").alias("n")).distinct()
+    short = sorted(r["n"] for r in lengths.collect())  # fewer than gram numbers
+    index = hay.withColumn("_piece", F.explode(F.concat(*[_grams(F.col("hay"), n) for n in [*short, gram]])))
+    counts = index.where(F.length("_piece") == gram).groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    long = needles.where(F.length("needle") >= gram)
+    pieces = long.select("needle", F.explode(_grams(F.col("needle"), gram)).alias("_piece"))
+    rarest = pieces.join(counts, "_piece", "left").groupBy("needle").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_piece").alias("piece"))).alias("_r"))
+    sent = long.join(rarest.where(F.col("_r.n") > 0).select("needle", F.col("_r.piece").alias("_piece")), "needle") \
+        .unionByName(needles.where(F.length("needle").between(1, gram - 1)).withColumn("_piece", F.col("needle")))
+    return sent.join(index, "_piece").where(F.contains("hay", "needle")).drop("_piece")
 
 
 def match_contained(targets: DataFrame, candidates: DataFrame, key_of=None, seq: str = "seq") -> DataFrame:
-    """First candidate that contains the target's key or lies in it.
+    """First candidate that contains the target's key or lies in it (J10), found by the rarest pieces of shorter keys.
 
-    Containment is turned into equality: the pieces of every candidate key, one row per piece, meet the target keys,
-    and the pieces of every target key meet the candidate keys. Only the first candidate per piece is kept before the
-    join, so a piece all keys share costs one row per task, and no pairs are formed that are not matches. Keys are
-    file stems, so the number of pieces per key is bounded by the length of a file name.
     Returns (video_path, matched_path) for the targets that match.
     """
     key_of = key_of or (lambda c: match_key(c))
@@ -76,15 +96,16 @@ def match_contained(targets: DataFrame, candidates: DataFrame, key_of=None, seq:
         .where(F.col("_ck") != "")
     # equal keys: the place of the first, the path of the last
     firsts = cands.groupBy("_ck").agg(F.min(seq).alias("_seq"), F.max_by("matched_path", seq).alias("matched_path"))
+    firsts = firsts.select("_ck", F.struct("_seq", "matched_path").alias("_best"))
     wanted = targets.select("video_path", key_of(F.col("video_path")).alias("_tk")).where(F.col("_tk") != "").distinct()
-    best = F.min(F.struct("_seq", "matched_path")).alias("_best")
-    pieces = firsts.select(F.explode(_substrings(F.col("_ck"))).alias("_tk"), "_seq", "matched_path") \
-        .groupBy("_tk").agg(best)
-    inside = wanted.join(pieces, "_tk").select("video_path", "_best")
-    parts = wanted.select("video_path", F.explode(_substrings(F.col("_tk"))).alias("_ck"))
-    around = parts.join(firsts, "_ck").groupBy("video_path").agg(best)
-    return inside.unionByName(around).groupBy("video_path").agg(F.min("_best").alias("_best")) \
-        .select("video_path", F.col("_best.matched_path").alias("matched_path"))
+    keys = wanted.select("_tk").distinct()
+    best = F.min("_best").alias("_best")
+    inside = containments(keys.select(F.col("_tk").alias("needle")), firsts.select(F.col("_ck").alias("hay"), "_best")) \
+        .groupBy(F.col("needle").alias("_tk")).agg(best)
+    around = containments(firsts.select(F.col("_ck").alias("needle"), "_best"), keys.select(F.col("_tk").alias("hay"))) \
+        .groupBy(F.col("hay").alias("_tk")).agg(best)
+    found = inside.unionByName(around).groupBy("_tk").agg(best)
+    return wanted.join(found, "_tk").select("video_path", F.col("_best.matched_path").alias("matched_path"))
 
 
 def match_paths(targets: DataFrame, candidates: DataFrame, seq: str = "seq", contained: bool = False,

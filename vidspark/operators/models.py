@@ -10,11 +10,11 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vidspark.functions.numeric import sigmoid
 from vidspark.operators.metrics import full_metrics
+from vidspark.operators.ranking import order_index
 from vidspark.session import materialize
 
 # Parameter grids of the linear models.
@@ -162,8 +162,10 @@ def load_model(path: str) -> PipelineModel:
 
 
 def label_index(df: DataFrame, label: str, name: str = "label_idx") -> DataFrame:
-    """Position of each label among the sorted distinct labels (X21); NULL for no label. The labels, not the rows, are
-    ranked in one task and joined back."""
-    labels = df.where(F.col(label).isNotNull()).select(label).distinct()
-    ranked = labels.withColumn(name, F.row_number().over(W.orderBy(label)) - 1)
+    """Position of each label among the sorted distinct labels (X21); NULL for no label.
+
+    The distinct labels are written once and numbered by ranges of values, so a million of them need no single task.
+    """
+    labels = materialize(df.where(F.col(label).isNotNull()).select(label).distinct(), "labels")
+    ranked = order_index(labels, label, name).withColumn(name, F.col(name).cast("int"))
     return df.drop(name).join(ranked, label, "left")

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vidspark.functions.hashing import seeded_hash
+from vidspark.session import materialize
 
 
 def _shuffle_width(df: DataFrame) -> int:
@@ -178,23 +179,104 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     return out if groups else out.drop("_one")
 
 
+def _cover_cut(sizes: DataFrame, groups: list[str], bucket: str, n: Column) -> DataFrame:
+    """(groups, _cut, _left) from (groups, bucket, _n): buckets below _cut are taken whole, of the cut _left rows are wanted.
+
+    Groups with no more than n rows are not listed: they are taken whole. sizes has a row for each group and bucket.
+    """
+    keys = groups or ["_one"]
+    sizes = sizes if groups else sizes.withColumn("_one", F.lit(0))
+    order = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, W.currentRow)
+    reached = sizes.withColumn("_upto", F.sum("_n").over(order)).where(F.col("_upto") > n)
+    first = reached.groupBy(*keys).agg(F.min(F.struct(F.col(bucket).alias("cut"), (n - F.col("_upto") + F.col("_n")).alias("left")))
+                                       .alias("_c"))
+    return first.select(*groups, F.col("_c.cut").alias("_cut"), F.col("_c.left").alias("_left"))
+
+
 def shuffled_sample(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
-    """The n rows that come first in seeded random order (K8, D7), ranked by buckets of the hash; in no order."""
-    whole = df.withColumn("_whole", F.lit(0))
-    return rank_by_hash(whole, ["_whole"], [key], seed).where(F.col("rn") <= n).drop("_whole", "rn", "rn_total")
+    """The n rows that come first in seeded random order (K8, D7), in no order.
+
+    Rows are counted by the first digits of their hash. The counts tell up to which digits the n rows reach: what lies
+    below is taken as it is, what lies above is filtered out, and only the rows of the cut itself, one in 4,096 or
+    65,536 of the table, are exchanged and ranked. Nothing else moves, whether n is ten or the whole table. The table is
+    read three times, and only its key for the counts.
+    """
+    hashed = df.withColumn("_h", seeded_hash(seed, F.col(key)))
+    digits = F.substring("_h", 1, hash_digits(df))
+    sizes = hashed.groupBy(digits.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    found = _cover_cut(sizes, [], "_bucket", F.lit(n).cast("bigint"))
+    cut, left = found.select("_cut").scalar(), found.select("_left").scalar()
+    below = hashed.where(digits < F.coalesce(cut, F.lit("g")))  # beyond all digits: every row
+    order = [F.col("_h"), F.col(key), *[F.col(c) for c in df.columns if c != key]]
+    place = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
+    at = hashed.withColumn("_bucket", digits).where(F.col("_bucket") == cut).withColumn("_rn", place) \
+        .where(F.col("_rn") <= left)
+    return below.drop("_h").unionByName(at.drop("_h", "_bucket", "_rn"))
+
+
+def value_splitters(df: DataFrame, column: str, buckets: int | None = None, oversample: int = 16) -> list:
+    """Values that cut an orderable column of any type into buckets of about as many distinct values each.
+
+    The sample is the distinct values whose hash falls into one of m classes, so it is the same on any cluster; m is such
+    that the driver gets about buckets x oversample values. Small tables send all their values.
+    """
+    buckets = buckets or value_buckets(df)
+    distinct = df.agg(F.approx_count_distinct(column)).first()[0]
+    share = max(1, distinct // (buckets * oversample))
+    values = df.select(column).where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(share)) == 0)) \
+        .distinct().orderBy(column)
+    found = [r[0] for r in values.collect()]
+    return found[::max(1, len(found) // buckets)][1:]
+
+
+def splitter_bucket(column: str, splitters: list) -> Column:
+    """How many splitters are no larger than the value, by binary search; 0 for no value."""
+    if not splitters:
+        return F.lit(0)
+    cuts = F.array(*[F.lit(x) for x in splitters])
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(splitters)).alias("high"))
+
+    def halve(at, _):
+        middle = F.floor((at["low"] + at["high"]) / F.lit(2)).cast("int")
+        more = F.get(cuts, middle) <= F.col(column)
+        return F.when(at["low"] >= at["high"], at).when(more, F.struct((middle + 1).alias("low"), at["high"].alias("high"))) \
+            .otherwise(F.struct(at["low"].alias("low"), middle.alias("high")))
+
+    steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
+    return F.coalesce(F.aggregate(steps, start, halve, lambda at: at["low"]), F.lit(0))
+
+
+def order_index(df: DataFrame, column: str, name: str = "idx") -> DataFrame:
+    """0-based position in the order of a unique column of any orderable type; NULL comes first.
+
+    Windows hold one range of values, the sizes of the ranges before are added.
+    """
+    bucketed = df.withColumn("_all", F.lit(0)).withColumn("_bucket", splitter_bucket(column, value_splitters(df, column)))
+    out = _with_offsets(bucketed, ["_all"], "_bucket", {name: F.lit(1).cast("bigint")}, [F.col(column)], False)
+    return out.withColumn(name, F.col(name) - 1).drop("_all")
+
+
+#: A table of cuts, one row a class, is sent to all tasks up to so many rows; beyond, classes are joined by key.
+SENT_CLASSES = 10_000
 
 
 def first_per_class(df: DataFrame, label: str, order: str, k: int, enabled: bool = True) -> DataFrame:
-    """The first k rows of every class by a unique column of any type when test mode is on (K5).
+    """The first k rows of every class by a column of any orderable type when test mode is on (K5).
 
-    A class is cut into shares by a hash of the order; the first k of each share are ranked again, so no task sorts a
-    large class.
+    Rows are counted by class and range of the order. Ranges below the one in which a class reaches k rows are taken as
+    they are, ranges above are filtered out before any exchange, and only rows of that range are ranked. Equal orders are
+    told apart by the other columns; NULL orders come first; rows without a class go.
     """
     if not enabled:
         return df
-    share = F.pmod(F.xxhash64(F.col(order)), F.lit(_shuffle_width(df)))
-    cut = df.where(F.col(label).isNotNull()).withColumn("_share", share)
-    for keys in ([label, "_share"], [label]):
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-        cut = cut.withColumn("_rn", rank).where(F.col("_rn") <= k)
-    return cut.drop("_rn", "_share")
+    rows = df.where(F.col(label).isNotNull())
+    rows = rows.withColumn("_bucket", splitter_bucket(order, value_splitters(rows, order)))
+    sizes = materialize(rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n")), "class-sizes")
+    cuts = _cover_cut(sizes, [label], "_bucket", F.lit(k).cast("bigint"))
+    few = sizes.select(label).distinct().count() <= SENT_CLASSES
+    known = rows.join(F.broadcast(cuts) if few else cuts, label, "left")
+    below = known.where(F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")))
+    ties = [F.col(order), *[F.col(c) for c in df.columns if c not in (order, label)]]
+    at = known.where(F.col("_bucket") == F.col("_cut")) \
+        .withColumn("_rn", F.row_number().over(W.partitionBy(label).orderBy(*ties))).where(F.col("_rn") <= F.col("_left"))
+    return below.select(*df.columns).unionByName(at.select(*df.columns))

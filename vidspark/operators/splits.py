@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vidspark.functions.hashing import uniform
+from vidspark.functions.hashing import seeded_hash, uniform
 from vidspark.operators.merging import group_representatives
-from vidspark.operators.ranking import rank_by_hash
+from vidspark.operators.ranking import hash_digits, rank_by_hash
+from vidspark.session import materialize
 
 
 @dataclass(frozen=True)
@@ -201,3 +202,59 @@ def weighted_draws(df: DataFrame, key: str, label: str = "label", seed: int = 42
                           F.least(F.floor(F.col("_u2") * size) + 1, size).alias("rn"))
     ranked = rank_by_hash(rows, [label], [key], f"{seed}-rows")
     return chosen.join(ranked.select(label, "rn", key), [label, "rn"]).select("draw", F.col(key), label)
+
+
+#: Weights are counted in so many units per 1, as whole numbers, so that sums are exact in any order.
+WEIGHT_UNITS = 10 ** 9
+
+
+def row_weighted_draws(df: DataFrame, key: str, weight: str, seed: int = 42, units: int = WEIGHT_UNITS) -> DataFrame:
+    """As many draws with replacement as there are rows, each row as likely as its weight says.
+
+    Rows lie one after the other in the order of a hash, each as long as its weight; a draw is a place on that line.
+    Hash digits cut the line into buckets, whose lengths are added up in a table of one row a bucket; a draw finds its
+    bucket through a grid of as many cells, a table of at most twice as many rows, and its row inside by the last one
+    before it among the sorted places of rows and draws, so the interval join is a sort. A bucket that draws more than its share, one with a row of a third of all weight, is dealt
+    to several tasks, its rows to each of them and its draws to one: at most twice the rows in all.
+
+    Weights are rounded to whole units; rows whose weight is null, NaN, negative or rounds to 0 draw, but are never drawn.
+    Returns (draw, key): the drawing row's key and the drawn one's. No weight at all: no row.
+    """
+    rows = df.select(F.col(key).alias("_key"), F.round(F.col(weight).cast("double") * F.lit(float(units))).alias("_w"))
+    drawn = rows.where((F.col("_w") >= 1) & ~F.isnan("_w")).select("_key", F.col("_w").cast("decimal(38,0)").alias("_w")) \
+        .withColumn("_h", seeded_hash(f"{seed}-line", F.col("_key")))
+    digits = hash_digits(df)
+    drawn = materialize(drawn.withColumn("_bucket", F.substring("_h", 1, digits)), "line")
+    sizes = drawn.groupBy("_bucket").agg(F.sum("_w").alias("_size"))
+    upto = F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
+    line = sizes.withColumn("_upto", upto)  # a row for each bucket of the hash
+    total = line.agg(F.max("_upto").cast("double")).scalar()
+    cells = 16 ** digits
+
+    def cell(place: Column) -> Column:
+        return F.least(F.floor(place / total * F.lit(cells)), F.lit(cells - 1)).cast("int")
+
+    salts = F.greatest(F.lit(1), F.ceil(F.col("_size").cast("double") / total * F.lit(cells))).cast("int")
+    table = line.select("_bucket", (F.col("_upto") - F.col("_size")).alias("_before"), "_upto", salts.alias("_salts"))
+    low, high = F.col("_before").cast("double"), F.col("_upto").cast("double")
+    grid = table.select("_bucket", "_salts", low.alias("_from"), high.alias("_to"),
+                        F.explode(F.sequence(cell(low), cell(high))).alias("_cell"))  # two rows a cell at most on average
+
+    draws = rows.select("_key", (uniform(f"{seed}-place", F.col("_key")) * total).alias("_place")) \
+        .withColumn("_cell", cell(F.col("_place"))).join(F.broadcast(grid), "_cell") \
+        .where((F.col("_from") <= F.col("_place")) & (F.col("_place") < F.col("_to"))).select(
+        "_bucket", F.pmod(F.xxhash64("_key"), F.col("_salts")).cast("int").alias("_salt"), "_place",
+        F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_h"), F.col("_key").alias("draw"),
+        F.lit(None).cast(df.schema[key].dataType).alias("_row"))
+
+    inside = W.partitionBy("_bucket").orderBy("_h", "_key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    laid = drawn.withColumn("_in", F.sum("_w").over(inside)).join(F.broadcast(table), "_bucket")
+    laid = laid.select("_bucket", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"),
+                       (F.col("_before") + F.col("_in") - F.col("_w")).cast("double").alias("_place"), F.lit(0).alias("_kind"),
+                       "_h", F.lit(None).cast(df.schema[key].dataType).alias("draw"), F.col("_key").alias("_row"))
+    merged = W.partitionBy("_bucket", "_salt").orderBy("_place", "_kind", "_h", "_row") \
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = F.last(F.when(F.col("_kind") == 0, F.struct("_row")), ignorenulls=True).over(merged)
+    return draws.unionByName(laid).withColumn("_hit", last).where("_kind = 1") \
+        .select("draw", F.col("_hit._row").alias(key))
+

@@ -215,3 +215,15 @@ r AS (SELECT o_orderkey AS video_id, o_orderstatus AS label,
 SELECT draw, video_id, label FROM q JOIN r USING (label, rn)""")
 def j17(spark, d):
     return s.weighted_draws(t.corpus(spark, d).select("video_id", "label"), "video_id")
+
+
+@query("j17_row_weighted_draws", """WITH r AS (
+  SELECT o_orderkey AS k, CAST(round(o_totalprice::DOUBLE * 100, 0) AS HUGEINT) AS w, md5('42-line-' || o_orderkey) AS h FROM orders),
+line AS (SELECT k, CAST(sum(w) OVER (ORDER BY h, k ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS upto FROM r WHERE w >= 1),
+u AS (SELECT o_orderkey AS draw, CAST('0x' || substr(md5('42-place-' || o_orderkey), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE
+  * (SELECT max(upto) FROM line) AS place FROM orders)
+SELECT draw, k AS video_id FROM u ASOF JOIN line ON place < upto""")
+def j17b(spark, d):
+    """Dear orders are drawn more often; nearly every row has a weight of its own."""
+    rows = t.load(spark, d, "orders").select(F.col("o_orderkey").alias("video_id"), "o_totalprice")
+    return s.row_weighted_draws(rows, "video_id", "o_totalprice", units=100)

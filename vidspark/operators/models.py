@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier)
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidspark.functions.numeric import sigmoid
 from vidspark.operators.metrics import full_metrics
 from vidspark.operators.ranking import order_index
+from vidspark.operators.stages import feature_pipeline
 from vidspark.session import materialize
 
 # Parameter grids of the linear models.
@@ -28,6 +32,8 @@ GRIDS = {
 # The wider grid of the logistic regression script.
 LINEAR_GRID = {"C": [0.01, 0.1, 1.0, 10.0], "penalty": ["l1", "l2", "elasticnet"], "solver": ["liblinear", "saga"],
                "max_iter": [1000], "l1_ratio": [0.1, 0.5, 0.9]}
+#: Fits that run side by side; each is a job of its own over the same file.
+PARALLEL_FITS = 4
 L1_SHARE = {"l1": 1.0, "l2": 0.0}
 PARAMETERS = {
     "logistic_regression": {"C", "max_iter", "penalty", "l1_ratio", "solver"},
@@ -93,26 +99,54 @@ def predictions(model, df: DataFrame, key: str, label: str = "label") -> DataFra
         .withColumn("y_pred", (F.col("p1") > 0.5).cast("int"))
 
 
+def _scored_entries(df: DataFrame, kind: str, columns: list[str], grid: list[dict], label: str, k: int, fold: str,
+                    parallelism: int):
+    """A fitted CrossValidator over the entries, folds as the table says, its models of every fold kept."""
+    sizes = {r[fold] for r in df.groupBy(fold).agg(F.count(F.lit(1))).collect()}  # k rows
+    if sizes - set(range(k)):
+        raise ValueError(f"folds must be 0 to {k - 1}, found {sorted(map(str, sizes - set(range(k))))}")
+    pipeline = feature_pipeline(kind, columns, label)
+    learner = pipeline.getStages()[-1]
+    maps = []
+    for entry in grid:
+        unknown = set(entry) - PARAMETERS[kind]
+        if unknown:
+            raise ValueError(f"{kind} takes no {', '.join(sorted(unknown))}")
+        maps.append({learner.getParam(name): learner.getParam(name).typeConverter(value) for name, value in entry.items()})
+    f1 = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0, labelCol=label)
+    tuner = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=f1, numFolds=k, foldCol=fold,
+                           parallelism=parallelism, collectSubModels=True)
+    return tuner.fit(df.withColumn(label, F.col(label).cast("double")))
+
+
+def _pooled(df: DataFrame, models: list, key: str, label: str, fold: str) -> DataFrame:
+    """Predictions of every row by the model of the fold that held it out."""
+    parts = [predictions(m, df.where(F.col(fold) == i), key, label).withColumn(fold, F.lit(i)) for i, m in enumerate(models)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cross_validate(df: DataFrame, kind: str, columns: list[str], key: str, label: str = "label", k: int = 5,
-                   fold: str = "fold", stored: bool = False, **params) -> DataFrame:
-    """Pooled out-of-fold predictions, one fit per fold on the rows outside it (F14). Fold metrics follow by grouping.
+                   fold: str = "fold", stored: bool = False, parallelism: int = PARALLEL_FITS, **params) -> DataFrame:
+    """Pooled out-of-fold predictions (F14): pruning, preparation and learner are fitted for each fold on the rows outside
+    it, several folds at a time. Fold metrics follow by grouping.
 
     Every fit makes several passes, so the needed columns are written once, unless ``stored`` says the table is a file.
     """
     df = df if stored else materialize(df.select(key, label, fold, *columns), "folds")
-    sizes = {r[fold]: r["n"] for r in df.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}  # k rows
-    if set(sizes) - set(range(k)):
-        raise ValueError(f"folds must be 0 to {k - 1}, found {sorted(map(str, set(sizes) - set(range(k))))}")
-    total = sum(sizes.values())
-    parts = []
-    for i in range(k):
-        train, val = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
-        fitted = model_pipeline(kind, columns, total - sizes.get(i, 0), label, **params).fit(train)
-        parts.append(predictions(fitted, val, key, label).withColumn(fold, F.lit(i)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    fitted = _scored_entries(df, kind, columns, [params], label, k, fold, parallelism)
+    return _pooled(df, [models[0] for models in fitted.subModels], key, label, fold)
+
+
+def grid_search(df: DataFrame, kind: str, columns: list[str], key: str, grid: list[dict], label: str = "label", k: int = 5,
+                fold: str = "fold", parallelism: int = PARALLEL_FITS) -> tuple[int, list[float], DataFrame]:
+    """(number of the best entry, mean F1 of each over the folds, pooled predictions with their ``entry``) for a table that
+    is a file. Of equal entries the first is the best; entries without a score never are."""
+    fitted = _scored_entries(df, kind, columns, grid, label, k, fold, parallelism)
+    scores = [float(m) for m in fitted.avgMetrics]
+    best = max(range(len(grid)), key=lambda i: (-1.0 if scores[i] != scores[i] else scores[i], -i))
+    parts = [_pooled(df, [models[i] for models in fitted.subModels], key, label, fold).withColumn("entry", F.lit(i))
+             for i in range(len(grid))]
+    return best, scores, reduce(DataFrame.unionByName, parts)
 
 
 def fold_metrics(preds: DataFrame, fold: str = "fold") -> DataFrame:
@@ -120,24 +154,21 @@ def fold_metrics(preds: DataFrame, fold: str = "fold") -> DataFrame:
 
 
 def search_and_fit(df: DataFrame, kind: str, columns: list[str], key: str, grid: list[dict], label: str = "label",
-                   k: int = 5, sample: str = "in_sample", split: str = "split", fold: str = "fold"):
+                   k: int = 5, sample: str = "in_sample", split: str = "split", fold: str = "fold",
+                   parallelism: int = PARALLEL_FITS):
     """Search on the sample, cross-validate the best on all training rows, refit, score the test rows.
 
     Every fit reads the table several times, so the features are written once and read from there.
-    Returns (model, best parameters, fold metrics, test predictions). The scores compared are one number per entry.
+    Returns (model, best parameters, fold metrics, test predictions, mean F1 of each entry).
     """
     table = materialize(df, "features")
     rows = table.where(F.col(split) != "test")
     test = table.where(F.col(split) == "test")
-    searched = rows.where(F.col(sample))
-    scored = []
-    for params in grid:
-        preds = cross_validate(searched, kind, columns, key, label, k, fold, stored=True, **params)
-        scored.append((full_metrics(preds).head()["val_f1"], params))
-    best = max(scored, key=lambda s: s[0])[1]
-    folds = fold_metrics(cross_validate(rows, kind, columns, key, label, k, fold, stored=True, **best))
-    model = model_pipeline(kind, columns, rows.count(), label, **best).fit(rows)
-    return model, best, folds, predictions(model, test, key, label)
+    at, scores, _ = grid_search(rows.where(F.col(sample)), kind, columns, key, grid, label, k, fold, parallelism)
+    best = grid[at]
+    folds = fold_metrics(cross_validate(rows, kind, columns, key, label, k, fold, stored=True, parallelism=parallelism, **best))
+    model = feature_pipeline(kind, columns, label, **best).fit(rows)
+    return model, best, folds, predictions(model, test, key, label), scores
 
 
 def stacked(preds: DataFrame, key: str, models: list[str], is_train, label: str = "y_true"):

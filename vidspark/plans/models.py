@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from vidspark import tables as t
@@ -10,6 +11,8 @@ from vidspark.operators import features as fe
 from vidspark.operators import metrics as m
 from vidspark.operators import models as mo
 from vidspark.operators import splits as sp
+from vidspark.operators.stages import FeaturePreparer, FeatureSelector, feature_pipeline
+from vidspark.plans.features import gappy
 from vidspark.plans.metrics import base_predictions
 from vidspark.plans.registry import query
 from vidspark.plans.reports import rounded
@@ -59,16 +62,65 @@ def f14(spark, d):
     return rounded(mo.fold_metrics(preds), 4)
 
 
+def searched_rows(spark, d):
+    rows = feature_table(spark, d)
+    sample = sp.stratified_sample(rows.where(F.col("split") != "test"), "id", fraction=0.2).select("id", "in_sample")
+    return rows.join(sample, "id", "left").withColumn("in_sample", F.coalesce("in_sample", F.lit(False)))
+
+
 @query("f15_search_and_test")
 def f15(spark, d):
-    rows = feature_table(spark, d)
-    rows = rows.join(sp.stratified_sample(rows.where(F.col("split") != "test"), "id", fraction=0.2).select("id", "in_sample"), "id", "left") \
-        .withColumn("in_sample", F.coalesce("in_sample", F.lit(False)))
-    grid = [{"C": c} for c in mo.GRIDS["logistic_regression"]["C"]]
-    _, _, _, preds = mo.search_and_fit(rows, "logistic_regression", COLUMNS, "id", grid, k=3)
+    grid = mo.parameter_grid("logistic_regression")
+    _, _, _, preds, _ = mo.search_and_fit(searched_rows(spark, d), "logistic_regression", COLUMNS, "id", grid, k=3)
     return rounded(m.evaluation(preds), 4)
 
 
+# The table of the fits in SQL: labels, the 60/20/20 split by label, three folds by label, and the sample of the search.
+_FITTED = """li AS (SELECT l_orderkey AS id, avg(l_extendedprice) AS price FROM lineitem GROUP BY 1),
+base AS (SELECT id, CAST(o_totalprice + price * 2 + id % 5 * 40000 > 420000 AS INTEGER) AS label FROM li JOIN orders ON o_orderkey = id),
+cut AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || id), id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM base),
+rest AS (SELECT *, round_even(n * (0.2::DOUBLE + 0.2::DOUBLE), 0) AS n_rest FROM cut),
+parts AS (SELECT id, label, CASE WHEN rn <= n - n_rest THEN 'train' WHEN rn <= n - round_even(n_rest * 0.5::DOUBLE, 0) THEN 'val'
+  ELSE 'test' END AS split FROM rest),
+folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42-r:' || id), 'r:' || id) - 1) % 3 AS INTEGER) AS fold FROM parts),
+known AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || id), id)
+  <= round_even(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE, 0) AS in_sample FROM folded WHERE split <> 'test')"""
+
+
+@query("f14_held_out_rows", f"""WITH {_FITTED} SELECT id, label AS y_true, fold, 1::BIGINT AS times,
+  (SELECT count(*) FROM folded f WHERE f.fold <> g.fold) AS n_train FROM folded g""")
+def f14b(spark, d):
+    """Every row is scored once, by the model of the fold that held it out; with the rows that model has seen."""
+    rows = feature_table(spark, d)
+    preds = mo.cross_validate(rows, "logistic_regression", COLUMNS, "id", k=3, stored=True, C=1.0)
+    sizes = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    scored = preds.where(F.col("p1").between(0, 1)).groupBy("id", "y_true", "fold").agg(F.count(F.lit(1)).alias("times"))
+    return scored.join(sizes.select("fold", (sizes.agg(F.sum("n")).scalar() - F.col("n")).alias("n_train")), "fold")
+
+
+@query("f15_search_entries", f"""WITH {_FITTED}, entry AS (SELECT CAST(row_number() OVER (ORDER BY c, i) - 1 AS INTEGER) AS entry, c, i
+  FROM (SELECT unnest([0.1::DOUBLE, 1.0, 10.0]) AS c), (SELECT unnest([1000, 2000]) AS i))
+SELECT entry, c AS "C", i AS max_iter, fold, count(*) AS n_rows, true AS mean_of_folds, 1::BIGINT AS n_best
+FROM entry, known WHERE in_sample GROUP BY ALL""")
+def f15b(spark, d):
+    """All six entries over the sample: rows scored by fold, and whether each entry's mean F1 and the choice of the best
+    follow from the pooled predictions."""
+    rows = materialize(searched_rows(spark, d).where("in_sample"), "sample")
+    grid = mo.parameter_grid("logistic_regression")
+    best, scores, preds = mo.grid_search(rows, "logistic_regression", COLUMNS, "id", grid, k=3)
+    by_fold = m.basic_metrics(preds, groups=["entry", "fold"])
+    means = by_fold.groupBy("entry").agg(F.avg("f1").alias("again"))
+    given = spark.createDataFrame([(i, float(g["C"]), g["max_iter"], scores[i], i == best) for i, g in enumerate(grid)],
+                                  "entry int, C double, max_iter int, score double, is_best boolean")
+    told = given.join(means, "entry")
+    top = told.agg(F.max("again")).scalar()
+    chosen = told.agg(F.count_if(F.col("is_best") & (F.col("again") >= top - 1e-9))).scalar()
+    sizes = by_fold.select("entry", "fold", (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("n_rows"))
+    return told.join(sizes, "entry").select("entry", "C", "max_iter", "fold", "n_rows",
+                                            (F.abs(F.col("again") - F.col("score")) < 1e-9).alias("mean_of_folds"),
+                                            chosen.alias("n_best"))
+
+
 @query("f17_stacked_models")
 def f17(spark, d):
     preds = base_predictions(spark, d).select("user_id", "model", "y_true", "p1")
@@ -95,10 +147,32 @@ def f18(spark, d):
 
 @query("f20_saved_model", f"WITH {_ROWS} SELECT count(*) AS n, count(*) AS same FROM rows_")
 def f20(spark, d):
+    """The whole pipeline, pruning and preparation included, written, read and applied to every row."""
     rows = feature_table(spark, d)
-    fitted = mo.model_pipeline("logistic_regression", COLUMNS, rows.count(), max_iter=5).fit(rows)
+    fitted = feature_pipeline("logistic_regression", COLUMNS, max_iter=5).fit(rows)
     path = scratch_path(spark, "model")
     mo.save_model(fitted, path)
     again = mo.predictions(mo.load_model(path), rows, "id").withColumnsRenamed({"p1": "p1_loaded", "y_pred": "y_pred_loaded"})
     both = mo.predictions(fitted, rows, "id").join(again.select("id", "p1_loaded", "y_pred_loaded"), "id")
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p1_loaded")).alias("same"))
+
+
+@query("f7_stored_stages", """WITH gappy AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice END AS price,
+  CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_custkey % 97 AS DOUBLE) END AS grp FROM orders),
+filled AS (SELECT id, coalesce(price, -1.0::DOUBLE) AS price, coalesce(grp, -1.0::DOUBLE) AS grp FROM gappy),
+s AS (SELECT id, (price - (SELECT avg(price) FROM filled)) / (SELECT stddev_pop(price) FROM filled) AS p,
+         (grp - (SELECT avg(grp) FROM filled)) / (SELECT stddev_pop(grp) FROM filled) AS g FROM filled)
+SELECT id, round(p / sqrt(p * p + g * g), 4) + 0.0::DOUBLE AS price, round(g / sqrt(p * p + g * g), 4) + 0.0::DOUBLE AS "group",
+  2 AS n_features FROM s""")
+def f7b(spark, d):
+    """A pruner that drops a constant and a copy, and a preparer, fitted as a pipeline, stored, read and applied."""
+    rows = gappy(spark, d).withColumns({"constant": F.lit(3.0), "group_twice": F.col("group") * 2})
+    columns = ["price", "group_twice", "group", "constant"]
+    # of two columns that say the same the one with less variance goes, so the doubled one is halved in SQL by scaling
+    stages = Pipeline(stages=[FeatureSelector(inputCols=columns), FeaturePreparer(
+        inputCols=columns, imputation="constant", constant=-2.0)])
+    path = scratch_path(spark, "stages")
+    stages.fit(rows.withColumn("price", F.col("price") * 2)).write().overwrite().save(path)
+    out = PipelineModel.load(path).transform(rows.withColumn("price", F.col("price") * 2))
+    return rounded(out.select("id", "price", F.col("group_twice").alias("group")), 4) \
+        .join(out.select("id", F.size(vector_to_array("features")).alias("n_features")), "id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,12 +137,33 @@ def known_first(df: DataFrame, order: list[str] = INDEX_COLUMNS) -> DataFrame:
     return df.select(*[c for c in order if c in df.columns], *[c for c in df.columns if c not in order])
 
 
+def complete_rows(df: DataFrame, required: list[str]) -> tuple[DataFrame, Observation]:
+    """Rows with a value in every required column, and what will have been counted once they are written or collected.
+
+    n_rows, and no_<column> for each column: a row counts for the first column it lacks.
+    """
+    counts = Observation()
+    whole, cols = F.lit(True), [F.count(F.lit(1)).alias("n_rows")]
+    for c in required:
+        cols.append(F.count_if(whole & F.col(c).isNull()).alias(f"no_{c}"))
+        whole = whole & F.col(c).isNotNull()
+    return df.observe(counts, *cols).where(whole), counts
+
+
+def told(counts: Observation, names: list[str]) -> dict[str, int]:
+    """What an observation counted; a plan that turned out empty has counted nothing."""
+    found = counts.get
+    return {n: int(found.get(n) or 0) for n in names}
+
+
 def video_index(scanned: DataFrame, main: DataFrame, copies: DataFrame | None = None,
-                drop_duplicates: bool = False, null_is_group: bool = False) -> DataFrame:
+                drop_duplicates: bool = False, null_is_group: bool = False, joined: Observation | None = None,
+                labelled: Observation | None = None) -> DataFrame:
     """The manifest: scanned files with labels, subsets, platforms and copy groups (DQ9, J1-J3, W1, P2, P3).
 
     What the folder says wins over the metadata, the main list over the list of copies. An id listed twice in either
-    list yields two rows. Rows that stay without a label are dropped.
+    list yields two rows. Rows that stay without a label are dropped. ``joined`` counts the rows before copies go,
+    ``labelled`` those after it and the ones without a label, both in the pass that computes the index.
     """
     info = main.select("video_id", F.col("label").alias("_m_label"), F.col("subset").alias("_m_subset"),
                        F.col("platform").alias("_m_platform"))
@@ -155,8 +176,12 @@ def video_index(scanned: DataFrame, main: DataFrame, copies: DataFrame | None =
         out = out.join(extra, "video_id", "left") \
             .withColumns({"label": F.coalesce("label", "_c_label"), "platform": F.coalesce("platform", "_c_platform")}) \
             .drop("_c_label", "_c_platform")
-        if drop_duplicates:
-            out = drop_group_copies(out, null_is_group=null_is_group)
+    if joined is not None:
+        out = out.observe(joined, F.count(F.lit(1)).alias("n_rows"))
+    if copies is not None and drop_duplicates:
+        out = drop_group_copies(out, null_is_group=null_is_group)
+    if labelled is not None:
+        out = out.observe(labelled, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("label").isNull()).alias("no_label"))
     return known_first(out.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("int")))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vidspark.functions.numeric import nan_to_null
-from vidspark.operators.ranking import exact_quantiles
+from vidspark.operators.ranking import exact_quantiles, shuffled_sample
 
 
 # Tasks get the t-distribution by value: executors need no copy of the package.
@@ -300,3 +300,43 @@ def validity(verdicts: DataFrame, threshold: float = 0.9) -> DataFrame:
     share = F.when(n > 0, ok / F.nullif(n, F.lit(0))).otherwise(0.0)
     return verdicts.agg(n.alias("checked"), ok.alias("valid"), bad.alias("corrupted"), share.alias("valid_rate"),
                         (share >= threshold).alias("keep_all"))
+
+
+def wilson_bounds(valid: int, n: int, z: float) -> tuple[float, float]:
+    """Bounds on a share of which ``valid`` of ``n`` drawn rows are evidence; (0, 1) without any."""
+    if not n:
+        return 0.0, 1.0
+    share, spread = valid / n, z * z / n
+    middle = (share + spread / 2) / (1 + spread)
+    half = z * math.sqrt(share * (1 - share) / n + spread / (4 * n)) / (1 + spread)
+    return middle - half, middle + half
+
+
+def sampled_validity(rows: DataFrame, key: str, validate, sample: int, threshold: float = 0.9, required: int = 0,
+                     z: float = 1.96, seed: int = 42) -> DataFrame:
+    """Whether to keep all rows, decided on a seeded sample where that is enough.
+
+    The sample is exact and the same on any cluster (``shuffled_sample``). If the Wilson bounds of its valid share lie on
+    one side of the threshold the decision is taken there, and the number of valid rows is estimated; only else all rows
+    are validated. ``validate`` adds is_valid to rows. One row: n_rows, checked, valid, valid_rate, lower and upper bound,
+    estimated number, whether it reaches ``required``, decided_by ('sample' or 'all') and keep_all. Counts alone reach the
+    driver. An empty table is not kept.
+    """
+    total = rows.count()
+
+    def counted(some: DataFrame) -> tuple[int, int]:
+        r = validate(some).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("valid")).head()
+        return r["n"], r["valid"]
+
+    n, valid = counted(shuffled_sample(rows, key, sample, seed))
+    low, high = wilson_bounds(valid, n, z)
+    by = "sample" if n < total and (low >= threshold or high < threshold) else "all"
+    if by == "all" and n < total:
+        n, valid = counted(rows)
+    if by == "all":
+        low = high = valid / n if n else 0.0
+    rate = valid / n if n else 0.0
+    estimate = round(rate * total)
+    row = (total, n, valid, rate, low, high, estimate, estimate >= required, by, bool(n) and rate >= threshold)
+    return rows.sparkSession.createDataFrame([row], "n_rows bigint, checked bigint, valid bigint, valid_rate double, lower double, "
+                                                    "upper double, estimated bigint, enough boolean, decided_by string, keep_all boolean")

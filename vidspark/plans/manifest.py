@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from vidspark import tables as t
-from vidspark.functions.text import GROUP_COLUMNS, LABEL_COLUMNS, URL_COLUMNS, find_column, path_candidates
+from vidspark.functions.text import (GROUP_COLUMNS, LABEL_COLUMNS, URL_COLUMNS, clip_id, find_column, path_candidates,
+                                     scaled_name)
 from vidspark.operators import merging as mg
 from vidspark.operators import quality as q
 from vidspark.operators import ranking as rk
@@ -14,7 +16,9 @@ from vidspark.plans.registry import query
 from vidspark.plans.scalars import _NAMES, _URLS, clip_names, clip_urls
 from vidspark.plans.splits import _FOLD
 from vidspark.plans.views import COPIES, CORPUS, MANIFEST, STAGE1
+from vidspark.session import scratch_path
 from vidspark.sources import readers as rd
+from vidspark.sources.finished import FinishedWork
 
 
 def scanned(spark, d):
@@ -111,6 +115,40 @@ def p3(spark, d):
     return t.manifest(spark, d).na.drop(subset=["video_id", "label"]).select("doc_id", "label")
 
 
+@query("p3_dropped_rows", f"""WITH {MANIFEST}, gaps AS (SELECT CASE WHEN doc_id % 11 <> 0 THEN video_id END AS video_id, label FROM manifest)
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE video_id IS NULL) AS no_video_id,
+  count(*) FILTER (WHERE video_id IS NOT NULL AND label IS NULL) AS no_label,
+  count(*) FILTER (WHERE video_id IS NOT NULL AND label IS NOT NULL) AS kept FROM gaps""")
+def p3b(spark, d):
+    """What was dropped and why, counted while the kept rows are written."""
+    rows = t.manifest(spark, d).select(F.when(F.col("doc_id") % 11 != 0, F.col("video_id")).alias("video_id"), "label")
+    kept, counts = q.complete_rows(rows, ["video_id", "label"])
+    path = scratch_path(spark, "p3")
+    kept.write.parquet(path)
+    told = q.told(counts, ["n_rows", "no_video_id", "no_label"])
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("kept")).select(
+        *[F.lit(v).cast("bigint").alias(k) for k, v in told.items()], "kept")
+
+
+@query("dq9_index_counts", f"""WITH {_INDEX}, r AS (
+  SELECT *, row_number() OVER (PARTITION BY dup_group ORDER BY video_id) AS rn FROM joined),
+k AS (SELECT * FROM r WHERE dup_group IS NULL OR rn = 1)
+SELECT (SELECT count(*) FROM joined) AS n_joined, (SELECT count(*) FROM joined) - (SELECT count(*) FROM k) AS n_copies,
+  (SELECT count(*) FROM k WHERE label IS NULL) AS no_label, (SELECT count(*) FROM k WHERE label IS NOT NULL) AS kept""")
+def dq9b(spark, d):
+    """Copies and unlabelled rows dropped from the index, counted while it is written."""
+    joined, labelled = Observation(), Observation()
+    index = q.video_index(scanned(spark, d), main_list(spark, d), copies_list(spark, d), drop_duplicates=True,
+                          joined=joined, labelled=labelled)
+    path = scratch_path(spark, "dq9")
+    index.write.parquet(path)
+    n = q.told(joined, ["n_rows"])["n_rows"]
+    left = q.told(labelled, ["n_rows", "no_label"])
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("kept")).select(
+        F.lit(n).cast("bigint").alias("n_joined"), F.lit(n - left["n_rows"]).cast("bigint").alias("n_copies"),
+        F.lit(left["no_label"]).cast("bigint").alias("no_label"), "kept")
+
+
 @query("p4_membership", """SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey IN
   (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def p4(spark, d):
@@ -203,6 +241,58 @@ def j7(spark, d):
     return mg.missing_augmentations(rows.select("doc_id", "video_path"), made, 10)
 
 
+def _finished(spark, name, columns, keys, rows):
+    """A bucketed table of finished rows."""
+    work = FinishedWork(spark, scratch_path(spark, name), columns, keys, buckets=8)
+    work.add(rows)
+    return work
+
+
+@query("j5_bucketed_verdicts", f"""WITH {MANIFEST} SELECT video_path, CASE WHEN label IS NOT NULL THEN label = 1 ELSE frame_count >= 100 END AS is_valid,
+  CASE WHEN label IS NOT NULL THEN 'cached' WHEN frame_count < 100 THEN 'no frames' END AS error_reason, label IS NOT NULL AS from_cache FROM manifest""")
+def j5b(spark, d):
+    rows = t.manifest(spark, d)
+    cache = rows.where(F.col("label").isNotNull()).select("video_path", (F.col("label") == 1).alias("is_valid"), F.lit("cached").alias("error_reason"))
+    work = _finished(spark, "j5", "video_path STRING, is_valid BOOLEAN, error_reason STRING", ["video_path"], cache)
+
+    def validate(missing):
+        return missing.withColumn("is_valid", F.col("frame_count") >= 100) \
+            .withColumn("error_reason", F.when(~F.col("is_valid"), "no frames"))
+
+    return work.known_or(rows, ["is_valid", "error_reason"], validate)
+
+
+@query("j6_bucketed_resume", f"""WITH {STAGE1} SELECT video_path, original_video, augmentation_idx FROM stage1 WHERE NOT (augmentation_idx % 2 = 0 AND label = 1)
+  OR label IS NULL""")
+def j6c(spark, d):
+    clips = t.stage1(t.manifest(spark, d))
+    done = clips.where((F.col("augmentation_idx") % 2 == 0) & (F.col("label") == 1))
+    keys = ["video_path", "original_video", "augmentation_idx"]
+    work = _finished(spark, "j6", "video_path STRING, original_video STRING, augmentation_idx INT", keys, done)
+    return work.missing(clips.select(*keys))
+
+
+@query("j7_bucketed_augmentations", f"""WITH {STAGE1}, kept AS (SELECT original_video FROM stage1 s JOIN manifest m ON s.original_video = m.video_path
+  WHERE augmentation_idx >= 0 AND augmentation_idx < m.doc_id % 13)
+SELECT doc_id, video_path FROM manifest WHERE video_path NOT IN (SELECT original_video FROM kept GROUP BY 1 HAVING count(*) >= 10)""")
+def j7b(spark, d):
+    rows = t.manifest(spark, d)
+    made = t.stage1(rows).join(rows.select(F.col("video_path").alias("original_video"), "doc_id"), "original_video") \
+        .where((F.col("augmentation_idx") < F.col("doc_id") % 13) & (F.col("augmentation_idx") >= 0))
+    work = _finished(spark, "j7", "clip STRING", ["clip"], made.select(clip_id(F.col("original_video")).alias("clip")))
+    return work.lacking(rows.select("doc_id", "video_path", clip_id(F.col("video_path")).alias("clip")), 10).drop("clip")
+
+
+@query("j8_bucketed_scaling", f"""WITH {STAGE1}, o AS (SELECT video_path, label, regexp_replace(regexp_replace(video_path, '^.*/', ''), '\\.mp4$', '')
+  || CASE WHEN is_original THEN '_scaled_original.mp4' ELSE '_scaled_aug' || augmentation_idx || '.mp4' END AS output_name FROM stage1)
+SELECT video_path, output_name, coalesce(label = 0, false) AS is_complete FROM o""")
+def j8b(spark, d):
+    name = scaled_name(F.col("video_path"), F.col("augmentation_idx"), F.col("is_original"))
+    clips = t.stage1(t.manifest(spark, d)).select("video_path", "label", name.alias("output_name"))
+    work = _finished(spark, "j8", "output_name STRING", ["output_name"], clips.where(F.col("label") == 0))
+    return work.marked(clips.select("video_path", "output_name"), "is_complete")
+
+
 @query("j8_scaling_state", f"""WITH {STAGE1}, o AS (SELECT video_path, label, regexp_replace(regexp_replace(video_path, '^.*/', ''), '\\.mp4$', '')
   || CASE WHEN is_original THEN '_scaled_original.mp4' ELSE '_scaled_aug' || augmentation_idx || '.mp4' END AS output_name FROM stage1)
 SELECT video_path, output_name, coalesce(label = 0, false) AS is_complete FROM o""")

@@ -44,16 +44,38 @@ query("f11_gradient_boosting")(_fit_and_score("gradient_boosting"))
 query("f13_feature_mlp")(_fit_and_score("feature_mlp"))
 
 
+def _boosted_embeddings(spark, d):
+    """(rows with their split, predictions of the test rows): columns pruned on the training rows, trees stopped by the
+    validation rows, and test rows that neither has seen."""
+    wide = t.load(spark, d, "embeddings").select("vec_id", (F.col("label") >= 5).cast("int").alias("label"),
+                                                 *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)])
+    rows = materialize(sp.two_cut_split(wide, "vec_id"), "embeddings")
+    train, seen = rows.where(F.col("split") == "train"), rows.where(F.col("split") != "test")
+    columns = [f"e{i}" for i in range(64)]
+    prepared = Pipeline(stages=[FeatureSelector(inputCols=columns), FeaturePreparer(inputCols=columns, normalize=False)]).fit(train)
+    weight = m.positive_weight(train).scalar()
+    weighted = prepared.transform(seen).select("vec_id", "label", "features", (F.col("split") == "val").alias("held")) \
+        .withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
+    gbt = mo.make_classifier("gradient_boosting", 0, 64, weight="weight", validation="held")
+    fitted = gbt.fit(materialize(weighted, "weighted"))
+    return rows, mo.predictions(fitted, prepared.transform(rows.where(F.col("split") == "test")), "vec_id")
+
+
 @query("f12_embedding_boosting")
 def f12(spark, d):
-    rows = t.load(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"),
-                                                 (F.col("label") >= 5).cast("int").alias("label"))
-    held = sp.stratified_sample(rows, "vec_id", fraction=0.2).withColumnRenamed("in_sample", "held")
-    weight = m.positive_weight(rows).scalar()
-    weighted = held.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
-    gbt = mo.make_classifier("gradient_boosting", 0, 64, weight="weight", validation="held")
-    fitted = gbt.fit(weighted)
-    return rounded(m.full_metrics(mo.predictions(fitted, weighted.where("held"), "vec_id")), 4)
+    return rounded(m.full_metrics(_boosted_embeddings(spark, d)[1]), 4)
+
+
+@query("f12_scored_rows", """WITH e AS (SELECT vec_id AS id, CAST(label >= 5 AS INTEGER) AS label,
+  row_number() OVER (PARTITION BY label >= 5 ORDER BY md5('42-' || vec_id), vec_id) AS rn, count(*) OVER (PARTITION BY label >= 5) AS n FROM embeddings),
+c AS (SELECT *, round_even(n * (0.2::DOUBLE + 0.2::DOUBLE), 0) AS n_rest FROM e),
+s AS (SELECT id, label, CASE WHEN rn <= n - n_rest THEN 'train' WHEN rn <= n - round_even(n_rest * 0.5::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM c)
+SELECT id AS vec_id, label, split, CAST(split = 'test' AS BIGINT) AS times_scored FROM s""")
+def f12b(spark, d):
+    """Which rows fit, stop and test: only test rows are scored, each once."""
+    rows, preds = _boosted_embeddings(spark, d)
+    scored = preds.where(F.col("p1").between(0, 1)).groupBy("vec_id").agg(F.count(F.lit(1)).alias("times_scored"))
+    return rows.select("vec_id", "label", "split").join(scored, "vec_id", "left").fillna(0, ["times_scored"])
 
 
 @query("f14_cross_validation")

@@ -166,6 +166,38 @@ def a26(spark, d):
     return rounded(r.validity(verdicts))
 
 
+def _sampled_sql(valid: str, sample: int, threshold: float, required: int) -> str:
+    return f"""WITH v AS (SELECT o_orderkey AS k, {valid} AS ok FROM orders),
+smp AS (SELECT ok FROM v ORDER BY md5('42-' || k), k LIMIT {sample}),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE ok) AS good, (SELECT count(*) FROM v) AS total,
+  (SELECT count(*) FILTER (WHERE ok) FROM v) AS all_good FROM smp),
+b AS (SELECT *, good::DOUBLE / n AS p, 1.96::DOUBLE * 1.96::DOUBLE / n AS s FROM c),
+w AS (SELECT *, ((p + s / 2) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + s / (4 * n))) / (1 + s) AS lo,
+  ((p + s / 2) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + s / (4 * n))) / (1 + s) AS hi FROM b),
+d AS (SELECT *, n < total AND (lo >= {threshold} OR hi < {threshold}) AS early FROM w),
+e AS (SELECT total, early, lo, hi, CASE WHEN early THEN n ELSE total END AS checked, CASE WHEN early THEN good ELSE all_good END AS valid FROM d)
+SELECT total AS n_rows, checked, valid, round(valid::DOUBLE / checked, 6) AS valid_rate,
+  round(CASE WHEN early THEN lo ELSE valid::DOUBLE / checked END, 6) AS lower, round(CASE WHEN early THEN hi ELSE valid::DOUBLE / checked END, 6) AS upper,
+  round_even(valid::DOUBLE / checked * total, 0)::BIGINT AS estimated, round_even(valid::DOUBLE / checked * total, 0) >= {required} AS enough,
+  CASE WHEN early THEN 'sample' ELSE 'all' END AS decided_by, valid::DOUBLE / checked >= {threshold} AS keep_all FROM e"""
+
+
+def _sampled(spark, d, valid, sample, threshold, required):
+    rows = t.load(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return rounded(r.sampled_validity(rows, "o_orderkey", lambda x: x.withColumn("is_valid", valid), sample, threshold, required))
+
+
+@query("a26_decided_by_sample", _sampled_sql("o_custkey % 50 <> 0", 400, 0.9, 1000))
+def a26b(spark, d):
+    return _sampled(spark, d, F.col("o_custkey") % 50 != 0, 400, 0.9, 1000)
+
+
+@query("a26_decided_by_all", _sampled_sql("o_custkey % 10 <> 0", 300, 0.9, 10 ** 9))
+def a26c(spark, d):
+    """A share so near the threshold that the sample cannot tell."""
+    return _sampled(spark, d, F.col("o_custkey") % 10 != 0, 300, 0.9, 10 ** 9)
+
+
 GRID = """grid AS (
   SELECT event_type AS kernel, CAST(user_id % 4 AS INTEGER) AS depth,
          CASE WHEN event_id % 50 = 0 THEN 'NaN'::DOUBLE ELSE value / 500.0::DOUBLE END AS f1, value / 600.0::DOUBLE AS acc

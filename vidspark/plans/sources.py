@@ -17,6 +17,7 @@ from vidspark.session import scratch_path
 from vidspark.sources import listing as ls
 from vidspark.sources import readers as rd
 from vidspark.sources import sinks as sk
+from vidspark.sources.merged import MergedTable
 from vidspark.streaming.metrics_log import ingest_new
 
 _MANIFEST_SCHEMA = "doc_id bigint, video_id string, video_path string, subset string, platform string, label int, frame_count bigint"
@@ -139,6 +140,33 @@ def s12(spark, d):
     return spark.read.parquet(path)
 
 
+@query("s12_touched_parts", f"""WITH {MANIFEST} SELECT video_path, CASE WHEN doc_id % 100 = 0 THEN 'second' ELSE 'first' END AS state,
+  doc_id % 100 = 0 AS second, true AS others_untouched FROM manifest""")
+def s12b(spark, d):
+    """Two merges; the parts that the second does not touch keep their files, names and all."""
+    table = MergedTable(spark, scratch_path(spark, "s12b"), ["video_path"])
+    rows = t.manifest(spark, d)
+    table.merge(rows.select("video_path", F.lit("first").alias("state")))
+    before = table.state()[1]["parts"]
+    second = rows.where(F.col("doc_id") % 100 == 0).select("video_path", F.lit("second").alias("state"))
+    table.merge(second)
+    after = table.state()[1]["parts"]
+    touched = {str(r[0]) for r in second.select(table._part()).distinct().collect()}  # at most 64 numbers
+    same = all((before[p] == after[p]) == (p not in touched) for p in before)
+    return table.read().select("video_path", "state", (F.col("state") == "second").alias("second"), F.lit(same).alias("others_untouched"))
+
+
+@query("m4_merged_versions", f"""WITH {MANIFEST} SELECT video_path, doc_id % 3 AS state, doc_id % 3 = 0 AS in_first FROM manifest""")
+def m4b(spark, d):
+    """Rows that come twice, first with another value; the first version can still be read."""
+    table = MergedTable(spark, scratch_path(spark, "m4b"), ["video_path"])
+    rows = t.manifest(spark, d)
+    table.merge(rows.where(F.col("doc_id") % 3 == 0).select("video_path", F.lit(9).cast("bigint").alias("state")))
+    first = table.read(table.merge(rows.select("video_path", (F.col("doc_id") % 3).alias("state"))) - 1)
+    return table.read().join(first.select("video_path", F.lit(True).alias("in_first")), "video_path", "left") \
+        .withColumn("in_first", F.coalesce("in_first", F.lit(False)))
+
+
 @query("s13_feature_dataset", f"""WITH {STAGE2} SELECT seq, round(quantity, 6) AS quantity, 'stage2' AS stage FROM stage2""")
 def s13(spark, d):
     path = scratch_path(spark, "s13")
@@ -199,6 +227,22 @@ def s18(spark, d):
     return sk.validation_cache(spark, path).groupBy("options", "is_valid").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s18_merged_verdicts", f"""WITH {MANIFEST} SELECT video_path, o.options, CASE WHEN o.options = 'frames' THEN doc_id % 2 = 0 ELSE true END AS is_valid
+FROM manifest, (SELECT unnest(['frames', 'exists']) AS options) o WHERE o.options = 'frames' OR doc_id % 5 = 0""")
+def s18b(spark, d):
+    """Verdicts merged by path and options: a later verdict replaces the earlier one and rewrites only its part."""
+    table = MergedTable(spark, scratch_path(spark, "s18b"), ["video_path", "options"])
+    rows = t.manifest(spark, d).select("doc_id", "video_path")
+
+    def verdicts(some, options, valid):
+        return some.select("video_path", F.lit(options).alias("options"), valid.alias("is_valid"))
+
+    table.merge(verdicts(rows, "frames", F.lit(False)))
+    table.merge(verdicts(rows.where(F.col("doc_id") % 5 == 0), "exists", F.lit(True)))
+    table.merge(verdicts(rows, "frames", F.col("doc_id") % 2 == 0))
+    return table.read()
+
+
 @query("s19_version_registry", f"""WITH {CORPUS}, {_SPLIT} SELECT 'split' AS kind, split AS name, CAST(count(*) AS VARCHAR) AS n_rows FROM assigned GROUP BY split""")
 def s19(spark, d):
     path = scratch_path(spark, "s19")
@@ -219,6 +263,17 @@ def x13(spark, d):
     return ls.file_hashes(spark, d).select("name", "sha256")
 
 
+@query("x13_written_file_hashes", """SELECT 'v' || doc_id AS clip, sha256(coalesce(text, '') || chr(10)) AS sha256,
+  (strlen(coalesce(text, '')) + 1)::BIGINT AS length FROM documents WHERE NOT contains(coalesce(text, ''), chr(13))""")
+def x13b(spark, d):
+    """Every text as a file of its own, written and hashed in pieces of 1,000 bytes."""
+    path = scratch_path(spark, "x13")
+    docs = t.load(spark, d, "documents").where(~F.contains(F.coalesce("text", F.lit("")), F.lit("\r")))
+    docs.select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("clip"), F.coalesce("text", F.lit("")).alias("value")) \
+        .repartition("clip").write.partitionBy("clip").text(path)
+    return ls.file_hashes(spark, path, chunk=1000).select(F.regexp_extract("path", "clip=([^/]*)/", 1).alias("clip"), "sha256", "length")
+
+
 @query("j1_scanned_manifest", f"WITH {MANIFEST} SELECT count(*) AS n FROM manifest WHERE label IS NOT NULL AND doc_id % 10 <> 0")
 def j1s(spark, d):
     from vidspark.operators.quality import video_index

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +58,56 @@ def total_bytes(files: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files"))
 
 
-def file_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """SHA-256 of each file's content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root) \
-        .select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+#: Bytes of a file that a task holds at once.
+CHUNK = 8 << 20
+
+
+def file_hashes(spark: SparkSession, root: str, chunk: int = CHUNK) -> DataFrame:
+    """(name, path, length, sha256) of each file below the root, of any size.
+
+    Files are listed without their contents and dealt out by path; each task opens its files through Arrow's file systems
+    and reads them piece by piece in constant memory. Spark lists no file without a byte. A file system that Arrow does
+    not know is read by Spark, a file a row, which holds files of up to 2 GB.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    name = F.substring_index("path", "/", -1).alias("name")
+    if not _arrow_reads(root):
+        content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        return content.select(name, "path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["path"], batch["length"], pa.array(
+                [_streamed_sha256(p, chunk) for p in batch["path"].to_pylist()], pa.string())], ["path", "length", "sha256"])
+
+    dealt = files.repartition(_shuffle_tasks(spark), "path")
+    return dealt.mapInArrow(hashed, "path string, length long, sha256 string").select(name, "path", "length", "sha256")
+
+
+def _shuffle_tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def _opened(path: str):
+    """The Arrow file system of a path as Spark writes it, that is unescaped, and the path inside."""
+    from pyarrow import fs
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(quote(path, safe=":/@?=&"))
+
+
+def _arrow_reads(root: str) -> bool:
+    try:
+        _opened(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def _streamed_sha256(path: str, chunk: int) -> str:
+    system, inside = _opened(path)
+    digest = hashlib.sha256()
+    with system.open_input_stream(inside, compression=None) as stream:
+        while piece := stream.read(chunk):
+            digest.update(piece)
+    return digest.hexdigest()

@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,10 @@ from pyspark.sql import functions as F
 from vidspark.llm.common import documents, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces remembered by a worker, and the longest that is remembered; they bound memory, not results.
-REMEMBERED, LONGEST = 300_000, 64
+#: Distinct pieces of a generation that a worker remembers, and the longest that is remembered; they bound memory, not results.
+REMEMBERED, LONGEST = 400_000, 64
 #: Pieces encoded in one call of the library.
-TOGETHER = 256
+TOGETHER = 4096
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -81,74 +84,144 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+#: Byte patterns of characters whose class is the same in every version of Unicode: ASCII, and U+00C0 to U+024F without the
+#: two signs among them, which are all letters. Pieces of other characters are left to the library.
+_LETTER = rb"(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|[\xC4-\xC8][\x80-\xBF]|\xC9[\x80-\x8F])"
+_SIGN = rb"[!-/:-@\[-`{-~]"
+PLAIN = re.compile(rb" ?(?:" + _LETTER + rb"|[0-9]|" + _SIGN + rb")+")
+#: What the tokenizer's own pattern finds in such a piece, one match after the other.
+MATCHES = re.compile(rb"'(?:s|t|re|ve|m|ll|d)| ?" + _LETTER + rb"+| ?[0-9]+| ?" + _SIGN + rb"+")
+
+
+#: A piece that is a single match.
+SINGLE = re.compile(rb" ?(?:" + _LETTER + rb"+|[0-9]+|" + _SIGN + rb"+)")
+
+
+class _Known:
+    """Distinct pieces and their ids, one piece after the other."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.ids, self.starts, self.lengths = array("I"), array("q"), array("q")
+
+    def add(self, pieces: list[bytes], ids: list) -> None:
+        self.place.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces))))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts.frombytes((np.cumsum(lengths) - lengths + len(self.ids)).tobytes())
+        self.lengths.frombytes(lengths.tobytes())
+        self.ids.extend(chain.from_iterable(ids))
+
+
 class Encoder:
-    """Encodes texts piece by piece."""
+    """Encodes texts piece by piece.
+
+    Pieces of plain characters are split as the tokenizer's pattern does and merged by rank; the others go to the library.
+    Two generations of distinct pieces are remembered: a full one becomes the old one, and what is met again moves on.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tiktoken import _tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.vocabulary = Vocabulary(path)
-        self.closed = [not self.vocabulary.inside[c, 0x20] and not bytes([c]).isspace() for c in range(256)]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.lengths, self.starts, self.used = np.zeros(1 << 16, np.uint32), [], [], 0
+        self.vocabulary = vocabulary = Vocabulary(path)
+        added = {t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {token: i for i, token in enumerate(vocabulary.bytes) if token and token not in added}
+        self.merged = _tiktoken.CoreBPE(ranks, {}, r"\s+|\S+").encode_single_piece if mergeable(path) else None
+        self.special = [t for t in added if PLAIN.fullmatch(t)]
+        # tokens that merging by rank does not lead to: the merger would return them at once
+        whole = [t for t in ranks if (m := MATCHES.match(t)) and m.end() == len(t)]
+        coded = self.tokenizer.encode_batch_fast([t.decode() for t in whole], add_special_tokens=False)
+        self.unreached = {t: c.ids for t, c in zip(whole, coded) if len(c.ids) > 1}
+        self.new, self.old = _Known(), _Known()
 
     def _learn(self, pieces: list[bytes]) -> None:
-        """Encodes pieces. Those that start at a forced cut and end in a byte that allows one are strung together, as cuts
-        between them are forced too; ids belong to the piece in whose bytes they end."""
-        closed = self.closed
-        strung = [p for p in pieces if p[0] == 0x20 and closed[p[-1]]]
-        groups = [strung[k:k + TOGETHER] for k in range(0, len(strung), TOGETHER)]
-        groups += [[p] for p in pieces if p[0] != 0x20 or not closed[p[-1]]]
-        for k in range(0, len(groups), 64):
-            part = groups[k:k + 64]
-            coded = self.tokenizer.encode_batch_fast([b"".join(g).decode() for g in part], add_special_tokens=False)
-            ids = np.concatenate([np.asarray(c.ids, np.uint32) for c in coded])
-            order = [p for g in part for p in g]
-            ends = np.cumsum(np.fromiter(map(len, order), np.int64, len(order)))
-            stops = np.searchsorted(np.cumsum(self.vocabulary.lengths[ids]), ends, "left") + 1
-            starts = np.concatenate(([0], stops[:-1]))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.known.update(zip(order, range(len(self.lengths), len(self.lengths) + len(order))))
-            self.starts.extend((starts + self.used).tolist())
-            self.lengths.extend((stops - starts).tolist())
-            self.used += len(ids)
+        if self.merged is None:
+            single, rest = [], pieces
+        else:
+            marks = list(map(SINGLE.fullmatch, pieces))
+            single = [p for p, m in zip(pieces, marks) if m]
+            rest = [p for p, m in zip(pieces, marks) if not m]
+        self.new.add(single, [self.unreached.get(p) or self.merged(p) for p in single] if self.unreached
+                     else list(map(self.merged, single)))
+        several, coded, other = [], [], []
+        for piece in rest:
+            if self.merged is None or not PLAIN.fullmatch(piece) or any([t in piece for t in self.special]):
+                other.append(piece)
+                continue
+            ids = []
+            for part in MATCHES.findall(piece):
+                ids += self.unreached.get(part) or self.merged(part)
+            several.append(piece)
+            coded.append(ids)
+        self.new.add(several, coded)
+        for k in range(0, len(other), TOGETHER):
+            part = other[k:k + TOGETHER]
+            self.new.add(part, [c.ids for c in self.tokenizer.encode_batch_fast([p.decode() for p in part],
+                                                                                 add_special_tokens=False)])
+
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where each of the distinct pieces stands among the remembered ones; unknown ones are encoded first."""
+        place, old = self.new.place, self.old
+        unknown = [p for p in pieces if p not in place]
+        if old.place and unknown:
+            met = [p for p in unknown if p in old.place]
+            unknown = [p for p in unknown if p not in old.place]
+            at = [old.place[p] for p in met]
+            self.new.add(met, [old.ids[old.starts[k]:old.starts[k] + old.lengths[k]] for k in at])
+        self._learn(unknown)
+        return np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        pieces: list[bytes] = []
-        counts = []
-        for data in texts:
-            edges = [0, *self.vocabulary.cuts(data).tolist(), len(data)] if data else []
-            pieces += [data[a:b] for a, b in zip(edges, edges[1:])]
-            counts.append(max(0, len(edges) - 1))
-        self._learn([p for p in set(pieces) if p not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        lengths = np.asarray(self.lengths, np.int64)[at]
-        flat = self.ids[gathered(np.asarray(self.starts, np.int64)[at], lengths)]
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))]
-        for piece in [p for p in set(pieces) if len(p) > LONGEST]:
-            del self.known[piece]
+        if len(self.new.place) > REMEMBERED or len(self.new.ids) > 16 * REMEMBERED:
+            self.new, self.old = _Known(), self.new
+        data = b"".join(texts)
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+        if not data:
+            return [np.empty(0, np.uint32) for _ in texts]
+        starts = np.zeros(len(data) + 1, bool)
+        starts[self.vocabulary.cuts(data)] = True
+        starts[bounds] = True  # a text begins a piece whatever stands before it
+        edges = np.flatnonzero(starts)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)),
+                                                                          pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        at = self._places(distinct)[pieces.indices.to_numpy()]
+        lengths = np.frombuffer(self.new.lengths, np.int64)[at]
+        flat = np.frombuffer(self.new.ids, np.uint32)[gathered(np.frombuffer(self.new.starts, np.int64)[at], lengths)] \
+            if len(self.new.ids) else np.empty(0, np.uint32)
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(edges, bounds)]
+        for piece in distinct:
+            if len(piece) > LONGEST:
+                del self.new.place[piece]
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
+def mergeable(path: str) -> bool:
+    """Whether the tokenizer is plain byte-level merging in the order of ids, with the pattern that MATCHES has."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    tokens = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ids = [model["vocab"][t] for t in tokens]
+    return (spec["normalizer"] is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+            and before.get("use_regex", True) and not model.get("dropout") and not model.get("ignore_merges")
+            and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+            and all(a < b for a, b in zip(ids, ids[1:])))
+
+
+#: Encoders of this Python worker by path; later tasks of a worker find them filled.
+_ENCODERS: dict[str, Encoder] = {}
+
 
 def worker_encoder(path: str) -> Encoder:
-    """The encoder of this Python worker. The library's module outlives a task, so later tasks find it filled."""
-    import tokenizers
-    kept = vars(tokenizers).setdefault("_worker_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    """The encoder of this Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _encoding(path: str, others: list[str], text: str):

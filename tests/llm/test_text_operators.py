@@ -190,6 +190,21 @@ def test_repeated_strings(spark, docs, empty, largest, monkeypatch):
     assert suffix_dedup.digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("largest,part", [(suffix_dedup.LARGEST, 1 << 19), (1, 7)])
+def test_repeats_of_long_texts_and_hot_anchors(spark, monkeypatch, largest, part):
+    """Texts longer than what is worked on at once, a passage across that edge, and one anchor with many surroundings."""
+    monkeypatch.setattr(suffix_dedup, "LARGEST", largest)
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 13)
+    draw = random.Random(12)
+    fresh = lambda n: "".join(draw.choices("abcdefghij klmnop", k=n))
+    passage, hot = fresh(400), fresh(24)
+    rows = [(1, fresh(8100) + passage + fresh(20_000)), (2, fresh(30) + passage + fresh(9000)), (3, fresh(16_300) + passage[100:300] + fresh(90))]
+    rows += [(i, fresh(13) + hot + draw.choice(["x" * 40, "y" * 40, fresh(40)])) for i in range(10, 90)]
+    some = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, suffix_dedup.digests(some).collect())) == brute_repeats(rows)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(2)
     for n in [*range(1, 12), 50, 333, 1000]:

@@ -11,8 +11,8 @@ A byte goes if it is covered by a string of LENGTH bytes that also starts in a d
    suffix-sorted by difference cover: the triples (of 8-byte words) at two of three places are sorted and named, the names
    are sorted again in triples until all differ, the remaining suffixes are sorted by one byte and the rank
    after it and merged, and adjacent suffixes are compared over LENGTH bytes. The smallest id of each run of equal prefixes
-   decides which windows are repeats. Anchors whose classes are too large for one sort leave the block window by window,
-   and those windows are grouped by Spark with minima combined before the shuffle.
+   decides which windows are repeats. The windows of an anchor whose classes are too large for one sort are dealt to
+   parts by a hash of their bytes, and equal ones found by sorting a part; they stay in the task that has the anchor.
 4. The removed ranges are joined back to the texts by id.
 
 Every exchange and table grows linearly with the text. Sorting all suffixes in one global recursion would move each of
@@ -38,8 +38,9 @@ from vidspark.llm.common import documents, materialize, shuffle_partitions, text
 LENGTH, GRAM = 50, 20
 #: Bytes of text worked on at once, anchors or contexts a task holds, bytes of a sorted block: memory only.
 PIECE, HELD, BLOCK = 1 << 20, 600_000, 1 << 19
-#: What a suffix sort takes; an anchor whose classes have more bytes has its windows grouped by Spark, with the same result.
-LARGEST = (1 << 21) - 1
+#: What a suffix sort takes; an anchor whose classes have more bytes has its windows sorted by themselves, PART at a time,
+#: with the same result.
+LARGEST, PART = (1 << 21) - 1, 1 << 19
 NO_ID = (1 << 63) - 1
 _MASK = np.uint64((1 << 21) - 1)
 
@@ -364,11 +365,11 @@ def _contexts(id_at: int, text: str, hits_at: int, buckets: int):
     return run
 
 
-_BLOCK_ROWS = "id long, text long, spans binary, window binary, start long"
+_BLOCK_ROWS = "id long, text long, spans binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]):
-    """All contexts of some anchors: removed ranges by document, and windows of anchors with too many classes."""
+    """All contexts of some anchors to removed ranges by document."""
     import zstandard
     unpacker = zstandard.ZstdDecompressor()
     numbers: dict[bytes, int] = {}
@@ -383,9 +384,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
         firsts = spans[new]
         return pa.RecordBatch.from_arrays([
             pa.array(firsts[:, 0]), pa.array(firsts[:, 1]),
-            pa.array([np.ascontiguousarray(spans[a:b, 2:]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
-            pa.nulls(len(firsts), pa.binary()), pa.nulls(len(firsts), pa.int64())],
-            names=["id", "text", "spans", "window", "start"])
+            pa.array([np.ascontiguousarray(spans[a:b, 2:]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary())],
+            names=["id", "text", "spans"])
 
     for batch in batches:
         for sizes, packed, spans in zip(*(batch.column(k).to_pylist() for k in range(1, 4))):
@@ -433,7 +433,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
             members = order[a:a + n]
             size = int(lengths[members].sum())
             if size > LARGEST:
-                yield from _windows(members, contexts, use, use_at)
+                ready += _by_window(members, contexts, least, use, use_at)
                 continue
             if block and block_size + size > LARGEST:
                 ready += _sorted_block(np.concatenate(block), contexts, least, use, use_at)
@@ -451,35 +451,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
             yield given(spans)
 
 
-def _windows(members: np.ndarray, contexts: list[bytes], use: np.ndarray, use_at: np.ndarray):
-    for m in members.tolist():
-        rows = [(int(u[1]), int(u[2]), contexts[m][k:k + LENGTH], int(u[3]) + k)
-                for u in use[use_at[m]:use_at[m + 1]] for k in range(len(contexts[m]) - LENGTH + 1)]
-        columns = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.nulls(len(rows), pa.binary()),
-            pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int64())],
-            names=["id", "text", "spans", "window", "start"])
-
-
-def _sorted_block(members: np.ndarray, contexts: list[bytes], least: np.ndarray, use: np.ndarray,
-                  use_at: np.ndarray) -> list[np.ndarray]:
-    """Removed ranges from comparing windows of different classes."""
+def _laid_out(members: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts as one text, and of each window in it: its start, the number of its context, its place there."""
     text = np.frombuffer(b"".join([contexts[m] for m in members.tolist()]), np.uint8)
     lengths = np.fromiter((len(contexts[m]) for m in members.tolist()), np.int64, len(members))
-    bases = np.cumsum(lengths) - lengths
     counts = lengths - LENGTH + 1
     owner = np.repeat(np.arange(len(members)), counts)
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = bases[owner] + place
-    order, run = equal_prefixes(text, starts)
-    of_start = np.empty(len(text), np.int64)
-    of_start[starts] = np.arange(len(starts))
-    window = of_start[order]
-    ids = least[members][owner[window]]
-    smallest = np.minimum.reduceat(ids, _runs(run))[run]
-    repeated = np.zeros(len(starts), bool)
-    repeated[window] = ids > smallest
+    return text, (np.cumsum(lengths) - lengths)[owner] + place, owner, place
+
+
+def _repeats(repeated: np.ndarray, owner: np.ndarray, place: np.ndarray, members: np.ndarray, use: np.ndarray,
+             use_at: np.ndarray) -> list[np.ndarray]:
+    """Removed ranges from the windows that are repeats, joined up within a context."""
     hit = np.flatnonzero(repeated)
     if not len(hit):
         return []
@@ -493,6 +477,51 @@ def _sorted_block(members: np.ndarray, contexts: list[bytes], least: np.ndarray,
     return out
 
 
+def _sorted_block(members: np.ndarray, contexts: list[bytes], least: np.ndarray, use: np.ndarray,
+                  use_at: np.ndarray) -> list[np.ndarray]:
+    """Removed ranges from comparing windows of different classes in suffix order."""
+    text, starts, owner, place = _laid_out(members, contexts)
+    order, run = equal_prefixes(text, starts)
+    of_start = np.empty(len(text), np.int64)
+    of_start[starts] = np.arange(len(starts))
+    window = of_start[order]
+    ids = least[members][owner[window]]
+    repeated = np.zeros(len(starts), bool)
+    repeated[window] = ids > np.minimum.reduceat(ids, _runs(run))[run]
+    return _repeats(repeated, owner, place, members, use, use_at)
+
+
+def _by_window(members: np.ndarray, contexts: list[bytes], least: np.ndarray, use: np.ndarray,
+               use_at: np.ndarray) -> list[np.ndarray]:
+    """The same for classes of any size: equal windows fall into one part and meet there in the order of their bytes."""
+    text, starts, owner, place = _laid_out(members, contexts)
+    ids = least[members]
+    width = -(-LENGTH // 8)
+    odd = np.random.default_rng(50).integers(1, 1 << 63, width, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def words(at: np.ndarray) -> np.ndarray:
+        strings = np.zeros((len(at), 8 * width), np.uint8)
+        strings[:, :LENGTH] = text[at[:, None] + np.arange(LENGTH)]
+        return strings.view(np.uint64)
+
+    parts = -(-len(starts) // PART)
+    part = np.empty(len(starts), np.uint32)
+    for k in range(0, len(starts), PART):
+        part[k:k + PART] = (((words(starts[k:k + PART]) * odd).sum(axis=1) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint32)
+    repeated = np.zeros(len(starts), bool)
+    for p in range(parts):
+        window = np.flatnonzero(part == p)
+        if not len(window):
+            continue
+        own = words(starts[window])
+        order = np.lexsort(own.T)
+        differs = np.concatenate(([False], (own[order[1:]] != own[order[:-1]]).any(axis=1)))
+        window, run = window[order], np.cumsum(differs)
+        of = ids[owner[window]]
+        repeated[window] = of > np.minimum.reduceat(of, _runs(run))[run]
+    return _repeats(repeated, owner, place, members, use, use_at)
+
+
 # --- the operator -----------------------------------------------------------------------------------------------------
 
 def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -510,21 +539,11 @@ def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     contexts = found.mapInArrow(_contexts(columns.index("_id"), text, columns.index("_hits"), buckets), _CONTEXT_ROWS)
     blocks = contexts.repartition(buckets, "bucket").mapInArrow(_blocks, _BLOCK_ROWS)
     blocks = materialize(blocks, "repeats")
-    spans = blocks.where(F.col("spans").isNotNull()).select("id", F.struct("text", "spans").alias("s"))
-    single = blocks.where(F.col("window").isNotNull())
-    least = single.groupBy("window").agg(F.min("id").alias("least"))
-    late = single.join(least, "window").where("id > least").select("id", "text", "start")
-    pair = F.concat(*[_little_endian(c) for c in (F.col("start"), F.col("start") + LENGTH)])
-    spans = spans.unionByName(late.select("id", F.struct("text", pair.alias("spans")).alias("s")))
+    spans = blocks.select("id", F.struct("text", "spans").alias("s"))
     ranges = spans.groupBy("id").agg(F.collect_list("s").alias("_spans"))
     return dealt.join(ranges.withColumnRenamed("id", "_id"), "_id", "left")
 
 
-def _little_endian(column):
-    """A long as its eight bytes, least first."""
-    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(column, 8 * k).bitwiseAND(F.lit(255))), 2, "0")) for k in range(8)])
-
-
 def removed_ranges(text: bytes, spans: list | None) -> np.ndarray:
     """Ranges [start, end) to remove, disjoint and in order, from the spans of all texts with this id."""
     key = _text_key(text) if spans else 0

@@ -16,6 +16,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import types
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -213,15 +215,13 @@ def mergeable(path: str) -> bool:
             and all(a < b for a, b in zip(ids, ids[1:])))
 
 
-#: Encoders of this Python worker by path; later tasks of a worker find them filled.
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def worker_encoder(path: str) -> Encoder:
-    """The encoder of this Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The encoder of this Python worker. This module travels by value and is made anew for each task, so what outlives a
+    task is kept in a module of its own name."""
+    kept = sys.modules.setdefault("_vidspark_encoders", types.ModuleType("_vidspark_encoders"))
+    if path not in vars(kept):
+        setattr(kept, path, Encoder(path))
+    return getattr(kept, path)
 
 
 def _encoding(path: str, others: list[str], text: str):

@@ -18,11 +18,11 @@ def _upto(n: Column) -> Column:
 
 
 def even_indices(total: Column, k: Column) -> Column:
-    """k indices spread over 0 .. total-1, both ends included, truncated."""
+    """k indices spread over 0 .. total-1, both ends included, truncated; none of a clip without frames."""
     last = total.cast("double") - 1
     step = last / F.when(k > 1, (k - 1).cast("double"))
-    return F.transform(_upto(k), lambda i: F.when(k == 1, F.lit(0)).when(i == k - 1, last.cast("int"))
-                       .otherwise(F.floor(i.cast("double") * step).cast("int")))
+    return F.when(total <= 0, F.array().cast("array<int>")).otherwise(F.transform(_upto(k), lambda i: F.when(k == 1, F.lit(0)).when(i == k - 1, last.cast("int"))
+                       .otherwise(F.floor(i.cast("double") * step).cast("int"))))
 
 
 def step_indices(total: Column, k: int) -> Column:

@@ -82,3 +82,15 @@ def v12(spark, d):
 def v11(spark, d):
     out = fr.letterbox_frames(t.frames(spark, d), ["video_id", "frame_idx"], 32)
     return out.select("video_id", "frame_idx", "h", "w", F.length("pixels").alias("bytes"), F.md5("pixels").alias("digest"))
+
+
+@query("v11_doubled_frames", """WITH d AS (SELECT doc_id, hex(encode(text)) AS b FROM documents WHERE strlen(text) > 0),
+f AS (SELECT doc_id, b, unnest(range(CAST(ceil(strlen(b) / 3456.0::DOUBLE) AS BIGINT))) AS i FROM d),
+p AS (SELECT doc_id, i, rpad(substring(b, i * 3456 + 1, 3456), 3456, '0') AS px FROM f),
+rows_ AS (SELECT doc_id, i, [array_to_string([repeat(substring(px, (y * 24 + x) * 6 + 1, 6), 2) FOR x IN range(24)], '') FOR y IN range(24)] AS r FROM p)
+SELECT doc_id AS video_id, CAST(i AS INTEGER) AS frame_idx, 48 AS h, 48 AS w, 6912 AS bytes,
+  md5(unhex(array_to_string([repeat(x, 2) FOR x IN r], ''))) AS digest FROM rows_""")
+def v11b(spark, d):
+    """Frames at twice their size: every pixel four times."""
+    out = fr.letterbox_frames(t.frames(spark, d), ["video_id", "frame_idx"], 48)
+    return out.select("video_id", "frame_idx", "h", "w", F.length("pixels").alias("bytes"), F.md5("pixels").alias("digest"))

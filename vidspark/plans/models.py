@@ -44,6 +44,44 @@ query("f11_gradient_boosting")(_fit_and_score("gradient_boosting"))
 query("f13_feature_mlp")(_fit_and_score("feature_mlp"))
 
 
+def _fitted_margin(spark, d, kind):
+    """(rows as x, an array with 1 in front; y; margin of the weights found), weights with the intercept first, penalty."""
+    rows = feature_table(spark, d).where("split = 'train'")
+    n = rows.count()
+    model = mo.model_pipeline(kind, COLUMNS, n, C=1.0, max_iter=300).fit(rows)
+    weights = [float(model.stages[-1].intercept), *map(float, model.stages[-1].coefficients)]
+    x = model.transform(rows).select(F.concat(F.array(F.lit(1.0)), vector_to_array("features")).alias("x"), F.col("label").alias("y"))
+    margin = sum((F.get("x", F.lit(j)) * F.lit(w) for j, w in enumerate(weights)), F.lit(0.0))
+    return x.withColumn("margin", margin), weights, 1.0 / n
+
+
+_WEIGHTS = ["intercept", *COLUMNS]
+
+
+@query("f9_stationary_weights", f"SELECT unnest({_WEIGHTS!r}) AS weight, true AS stationary")
+def f9b(spark, d):
+    """The gradient of the penalised loss is zero at the weights that were found."""
+    rows, weights, penalty = _fitted_margin(spark, d, "logistic_regression")
+    off = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin"))) - F.col("y")
+    slopes = [(F.avg(off * F.get("x", F.lit(j))) + F.lit(penalty * w * (j > 0))).alias(_WEIGHTS[j]) for j, w in enumerate(weights)]
+    return rows.agg(*slopes).unpivot([], _WEIGHTS, "weight", "slope").select("weight", (F.abs("slope") < 1e-3).alias("stationary"))
+
+
+@query("f10_least_loss", f"SELECT unnest({_WEIGHTS!r}) AS weight, true AS least")
+def f10b(spark, d):
+    """The hinge loss has no slope everywhere, so each weight is moved both ways: the penalised loss gets no smaller."""
+    rows, weights, penalty = _fitted_margin(spark, d, "svm")
+    sign = F.col("y") * 2 - 1
+
+    def loss(j, step):
+        moved = F.col("margin") + F.get("x", F.lit(j)) * F.lit(step)
+        size = sum((w + step * (k == j)) ** 2 for k, w in enumerate(weights) if k)
+        return F.avg(F.greatest(F.lit(0.0), F.lit(1.0) - sign * moved)) + F.lit(penalty * size / 2)
+
+    worse = [(F.least(loss(j, 0.05), loss(j, -0.05)) > loss(j, 0.0) - 1e-3).alias(_WEIGHTS[j]) for j in range(len(weights))]
+    return rows.agg(*worse).unpivot([], _WEIGHTS, "weight", "least")
+
+
 def _boosted_embeddings(spark, d):
     """(rows with their split, predictions of the test rows): columns pruned on the training rows, trees stopped by the
     validation rows, and test rows that neither has seen."""

@@ -231,12 +231,12 @@ def p9(spark, d):
 @query("y1_even_indices", f"""WITH {MANIFEST}, n AS (SELECT doc_id, frame_count AS total, CAST(greatest(5, least(50, CAST(floor(frame_count * 0.1::DOUBLE) AS INTEGER))) AS INTEGER) AS k
   FROM manifest WHERE frame_count > 0),
 i AS (SELECT doc_id, total, k, unnest(range(0, k)) AS i FROM n)
-SELECT doc_id, CAST(i AS INTEGER) AS pos, CAST(CASE WHEN i = k - 1 THEN total - 1
-  ELSE floor(i::DOUBLE * ((total::DOUBLE - 1) / (k - 1)::DOUBLE)) END AS INTEGER) AS frame_idx FROM i""")
+SELECT m.doc_id, CAST(i AS INTEGER) AS pos, CAST(CASE WHEN i = k - 1 THEN total - 1
+  ELSE floor(i::DOUBLE * ((total::DOUBLE - 1) / (k - 1)::DOUBLE)) END AS INTEGER) AS frame_idx FROM manifest m LEFT JOIN i USING (doc_id)""")
 def y1(spark, d):
-    rows = t.manifest(spark, d).where(F.col("frame_count") > 0)
+    """Clips without frames stay, without an index."""
     picked = ar.even_indices(F.col("frame_count"), nu.adaptive_frames(F.col("frame_count")))
-    return rows.select("doc_id", F.posexplode(picked).alias("pos", "frame_idx"))
+    return t.manifest(spark, d).select("doc_id", F.posexplode_outer(picked).alias("pos", "frame_idx"))
 
 
 @query("y2_step_indices", f"""WITH {MANIFEST}, i AS (SELECT doc_id, frame_count AS total, unnest(range(0, 300)) AS i FROM manifest WHERE frame_count > 0)
@@ -265,13 +265,29 @@ def y3(spark, d):
                         F.round(F.get("e", F.lit(47)), 6).alias("last"))
 
 
-@query("y4_sequence_changes")
+def _draw(seed: str) -> str:
+    """The number in [0, 1) that belongs to a text, in SQL."""
+    return f"(CAST('0x' || substr(md5({seed}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+@query("y4_sequence_changes", f"""WITH {MANIFEST}, s AS (SELECT doc_id, video_path AS p, CASE WHEN frame_count > 0 THEN
+    [CASE WHEN frame_count <= 16 THEN i % frame_count ELSE CAST(floor(frame_count / 16.0::DOUBLE * i) AS BIGINT) END FOR i IN range(16)]
+    ELSE [] END AS seq FROM manifest),
+lose AS (SELECT *, 1 + CAST(floor({_draw("'drop-n-' || p")} * greatest(1, len(seq) // 4)) AS BIGINT) AS n FROM s),
+ranked AS (SELECT *, CASE WHEN {_draw("'drop?-' || p")} < 0.5 THEN
+    list_sort([{{'h': md5('drop-' || p || '-' || i), 'i': i}} FOR i IN range(len(seq))])[1:n] ELSE [] END AS lost FROM lose),
+kept AS (SELECT *, [seq[i + 1] FOR i IN range(len(seq)) IF NOT list_contains([x.i FOR x IN lost], i)] AS k FROM ranked),
+twice AS (SELECT *, CASE WHEN {_draw("'dup?-' || p")} < 0.5 THEN
+    flatten([CASE WHEN {_draw("'dup-' || p || '-' || i")} < 0.3 THEN [k[i + 1], k[i + 1]] ELSE [k[i + 1]] END FOR i IN range(len(k))])
+    ELSE k END AS d FROM kept)
+SELECT doc_id, array_to_string(seq, ',') AS before,
+  array_to_string(CASE WHEN {_draw("'rev?-' || p")} < 0.5 THEN list_reverse(d) ELSE d END, ',') AS after FROM twice""")
 def y4(spark, d):
-    rows = t.manifest(spark, d).where(F.col("frame_count") > 0)
+    """Clips without frames have nothing to change."""
     seq = ar.step_indices(F.col("frame_count"), 16)
     changed = ar.reverse_some(ar.repeat_some(ar.drop_some(seq, F.col("video_path"), 0.5), F.col("video_path"), 0.5),
                               F.col("video_path"), 0.5)
-    return rows.select("doc_id", joined(seq).alias("before"), joined(changed).alias("after"))
+    return t.manifest(spark, d).select("doc_id", joined(seq).alias("before"), joined(changed).alias("after"))
 
 
 @query("y5_vector_norms", """SELECT vec_id, round(CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS norm FROM (

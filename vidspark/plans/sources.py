@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from vidspark import tables as t
 from vidspark.operators import splits as sp
 from vidspark.operators.results import confidence_summary
-from vidspark.plans.manifest import main_list, scanned
+from vidspark.plans.manifest import _SCAN, main_list, scanned
 from vidspark.plans.metrics import SCORED  # noqa: F401
 from vidspark.plans.registry import query
 from vidspark.plans.reports import rounded
+from vidspark.plans.scalars import _URLS
 from vidspark.plans.splits import _SPLIT
 from vidspark.plans.views import CORPUS, FOLDS, LOG, MANIFEST, STAGE2
 from vidspark.session import scratch_path
@@ -37,19 +38,20 @@ def s1(spark, d):
 
 @query("s2_first_format", _BASIC)
 def s2(spark, d):
+    """The format tried first is an empty file and passed over."""
     base = scratch_path(spark, "s2")
-    basic(spark, d).write.parquet(f"{base}/index.parquet")
-    basic(spark, d).limit(0).write.json(f"{base}/index.json")
-    return rd.read_table(spark, base, "index")
+    basic(spark, d).write.option("header", True).csv(f"{base}/index.csv")
+    fs, path = rd._fs(spark, f"{base}/index.parquet")
+    fs.create(path).close()
+    return rd.read_table(spark, base, "index", _MANIFEST_SCHEMA)
 
 
-@query("s3_found_table", """SELECT 'index.csv' AS found, count(*) AS n_rows FROM documents""")
+@query("s3_found_table", _BASIC.replace("SELECT doc_id, video_id", "SELECT 'index.csv' AS found, doc_id, video_id"))
 def s3(spark, d):
     base = scratch_path(spark, "s3")
     basic(spark, d).write.option("header", True).csv(f"{base}/index.csv")
     found = rd.find_table(spark, base, "index")
-    return rd.read_table(spark, base, "index", _MANIFEST_SCHEMA).agg(F.count(F.lit(1)).alias("n_rows")) \
-        .select(F.lit(found.rsplit("/", 1)[1]).alias("found"), "n_rows")
+    return rd.read_table(spark, base, "index", _MANIFEST_SCHEMA).select(F.lit(found.rsplit("/", 1)[1]).alias("found"), "*")
 
 
 @query("s4_metrics_scan", f"WITH {LOG} SELECT * FROM log")
@@ -120,15 +122,21 @@ def s8(spark, d):
     return ls.clip_files(files)
 
 
-@query("s9_metadata_files", """SELECT count(*) AS n_main, 0::BIGINT AS n_copies FROM pages WHERE page_id % 6 < 4""")
+@query("s9_metadata_files", f"""WITH {_URLS} SELECT 'main' AS list,
+  CASE page_id % 6 WHEN 0 THEN regexp_extract(u, 'v=([^&]+)', 1) WHEN 1 THEN regexp_extract(u, 'be/([^?]+)', 1)
+    WHEN 2 THEN regexp_extract(u, 'status/([0-9]+)', 1) WHEN 3 THEN regexp_extract(u, 'videos/([0-9]+)', 1) END AS video_id,
+  CAST(page_id % 2 AS INTEGER) AS label, CASE page_id % 6 WHEN 0 THEN 'youtube' WHEN 1 THEN 'youtube' WHEN 2 THEN 'twitter' WHEN 3 THEN 'facebook' END AS platform
+FROM urls WHERE page_id % 6 < 4""")
 def s9(spark, d):
+    """The main list is found under another name, the list of copies nowhere."""
     from vidspark.plans.scalars import clip_urls
     base = scratch_path(spark, "s9")
     rows = clip_urls(spark, d).select(F.trim("u").alias("url"), (F.col("page_id") % 2).alias("label"))
     rows.write.option("header", True).csv(f"{base}/labels.csv")
     main = rd.load_main_metadata(spark, base, "absent.csv", "url string, label int")
     copies = rd.load_duplicates(spark, base, "absent.csv")
-    return main.agg(F.count(F.lit(1)).alias("n_main")).withColumn("n_copies", copies.agg(F.count(F.lit(1))).scalar())
+    columns = ["video_id", "label", "platform"]
+    return main.select(F.lit("main").alias("list"), *columns).unionByName(copies.select(F.lit("copies").alias("list"), *columns))
 
 
 @query("s12_newest_rows_kept", f"""WITH {MANIFEST} SELECT video_path, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS state FROM manifest""")
@@ -174,11 +182,11 @@ def s13(spark, d):
     return spark.read.parquet(path)
 
 
-@query("s14_split_dataset", f"WITH {CORPUS}, {_SPLIT} SELECT video_id, label, split FROM assigned WHERE split <> 'train'")
+@query("s14_split_dataset", f"WITH {CORPUS}, {_SPLIT} SELECT video_id, label, split FROM assigned")
 def s14(spark, d):
     path = scratch_path(spark, "s14")
     sk.write_splits(sp.train_val_test(t.corpus(spark, d), "video_id").select("video_id", "label", "split"), path)
-    return spark.read.parquet(path).where(F.col("split") != "train")
+    return spark.read.parquet(path)
 
 
 @query("s15_manifest_json", _BASIC)
@@ -274,8 +282,9 @@ def x13b(spark, d):
     return ls.file_hashes(spark, path, chunk=1000).select(F.regexp_extract("path", "clip=([^/]*)/", 1).alias("clip"), "sha256", "length")
 
 
-@query("j1_scanned_manifest", f"WITH {MANIFEST} SELECT count(*) AS n FROM manifest WHERE label IS NOT NULL AND doc_id % 10 <> 0")
+@query("j1_scanned_manifest", f"""WITH {MANIFEST}, {_SCAN} SELECT s.video_id, s.video_path, s.frame_count, m.label, coalesce(s.subset, m.subset) AS subset,
+  coalesce(s.platform, m.platform) AS platform FROM scanned s JOIN main_list m ON s.video_id = m.video_id""")
 def j1s(spark, d):
+    """Every joined row, ids that the list has twice with both."""
     from vidspark.operators.quality import video_index
-    out = video_index(scanned(spark, d), main_list(spark, d))
-    return out.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).agg(F.count(F.lit(1)).alias("n"))
+    return video_index(scanned(spark, d), main_list(spark, d)).select("video_id", "video_path", "frame_count", "label", "subset", "platform")

@@ -126,14 +126,23 @@ def test_bpe_equals_the_library(docs, empty):
     assert bpe.round_trip(empty).count() == 0
 
 
-def test_pieces_of_random_texts():
+def test_pieces_of_random_texts(monkeypatch):
     from tokenizers import Tokenizer
     library, encoder, draw = Tokenizer.from_file(bpe.tokenizer_path()), bpe.Encoder(bpe.tokenizer_path()), random.Random(3)
-    parts = ["a", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "'s", "é", " ", "　", "12", ".", "!!", "漢", "​",
+    parts = ["a", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "'s", "'ll", "'", "ß", "×", "ɏ", "Ȁ", " Word.", ",\nNext", "é", " ", "　", "12", ".", "!!", "漢", "​",
              "�", "\x00", "😀", "\x85", "\r"]
     texts = ["".join(draw.choices(parts, k=draw.randrange(25))) for _ in range(4000)]
     for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    monkeypatch.setattr(bpe, "REMEMBERED", 500)
+    many = bpe.Encoder(bpe.tokenizer_path())
+    for k in range(0, len(texts), 100):  # generations come and go
+        for text, ids in zip(texts[k:k + 100], many.encode([t.encode() for t in texts[k:k + 100]])):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert many.old.place and len(many.new.place) < 2 * 500
+    one = " ".join(texts)
+    assert encoder.encode([one.encode()])[0].tolist() == library.encode(one, add_special_tokens=False).ids
+    assert encoder.encode([b"", b"x", b""])[0].tolist() == [] and encoder.encode([]) == []
     ids = [draw.randrange(50257) for _ in range(500)]
     assert encoder.vocabulary.decode(np.array(ids, np.uint32)).decode() == library.decode(ids, skip_special_tokens=False)
 
@@ -144,10 +153,11 @@ def test_token_files(spark, docs, empty, tmp_path):
     rows = sorted(token_files.read_tokens(spark, f"file://{tmp_path}/set", parts).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted((i for i, _ in TEXTS), key=lambda i: (i is not None, i))
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
-    encoder = bpe.Encoder(bpe.tokenizer_path())
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(bpe.tokenizer_path())
     want = Counter()
     for i, t in TEXTS:
-        ids = np.append(encoder.encode([(t or "").encode()])[0], 0).astype("<u4")
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want[i, len(ids), zlib.crc32(ids.tobytes())] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
     ids, offsets, names, _ = token_files.open_part(f"file://{tmp_path}/set", parts[0])
@@ -291,3 +301,12 @@ def test_html_text_outside_articles():
     assert html_text.read_page(teasers)[0] == "Story long text teaser"
     assert html_text.read_page("<main><h1>Head</h1><p>lead</p><article><p>body</p></article></main>")[0] == "Head lead body"
     assert html_text.read_page("<div>before</div><main>in</main><footer>f</footer>")[0] == "before in"
+
+
+def test_bpe_of_a_whole_table_equals_the_library():
+    import duckdb as db
+    from tokenizers import Tokenizer
+    texts = [(t or "") for t, in db.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    library, encoder = Tokenizer.from_file(bpe.tokenizer_path()), bpe.Encoder(bpe.tokenizer_path())
+    want = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == want

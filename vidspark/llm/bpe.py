@@ -31,7 +31,7 @@ from vidspark.llm.common import documents, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces of a generation that a worker remembers, and the longest that is remembered; they bound memory, not results.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Pieces encoded in one call of the library.
 TOGETHER = 4096
 
@@ -90,9 +90,11 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 #: two signs among them, which are all letters. Pieces of other characters are left to the library.
 _LETTER = rb"(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|[\xC4-\xC8][\x80-\xBF]|\xC9[\x80-\x8F])"
 _SIGN = rb"[!-/:-@\[-`{-~]"
-PLAIN = re.compile(rb" ?(?:" + _LETTER + rb"|[0-9]|" + _SIGN + rb")+")
+#: Single line breaks that something plain follows belong to them too.
+_PLAIN = _LETTER + rb"|[0-9]|" + _SIGN
+PLAIN = re.compile(rb" ?(?:" + _PLAIN + rb")(?:" + _PLAIN + rb"|\n(?=[!-~\xC3-\xC9]))*")
 #: What the tokenizer's own pattern finds in such a piece, one match after the other.
-MATCHES = re.compile(rb"'(?:s|t|re|ve|m|ll|d)| ?" + _LETTER + rb"+| ?[0-9]+| ?" + _SIGN + rb"+")
+MATCHES = re.compile(rb"'(?:s|t|re|ve|m|ll|d)| ?" + _LETTER + rb"+| ?[0-9]+| ?" + _SIGN + rb"+|\n")
 
 
 #: A piece that is a single match.

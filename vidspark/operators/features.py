@@ -96,8 +96,8 @@ def match_contained(targets: DataFrame, candidates: DataFrame, key_of=None, seq:
         .where(F.col("_ck") != "")
     # equal keys: the place of the first, the path of the last
     firsts = cands.groupBy("_ck").agg(F.min(seq).alias("_seq"), F.max_by("matched_path", seq).alias("matched_path"))
-    firsts = firsts.select("_ck", F.struct("_seq", "matched_path").alias("_best"))
-    wanted = targets.select("video_path", key_of(F.col("video_path")).alias("_tk")).where(F.col("_tk") != "").distinct()
+    firsts = materialize(firsts.select("_ck", F.struct("_seq", "matched_path").alias("_best")), "candidates")
+    wanted = materialize(targets.select("video_path", key_of(F.col("video_path")).alias("_tk")).where(F.col("_tk") != "").distinct(), "targets")
     keys = wanted.select("_tk").distinct()
     best = F.min("_best").alias("_best")
     inside = containments(keys.select(F.col("_tk").alias("needle")), firsts.select(F.col("_ck").alias("hay"), "_best")) \

@@ -33,7 +33,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces of a generation that a worker remembers, and the longest that is remembered; they bound memory, not results.
 REMEMBERED, LONGEST = 150_000, 64
 #: Pieces encoded in one call of the library.
-TOGETHER = 4096
+TOGETHER = 1024
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -137,8 +137,10 @@ class Encoder:
         self.special = [t for t in added if PLAIN.fullmatch(t)]
         # tokens that merging by rank does not lead to: the merger would return them at once
         whole = [t for t in ranks if (m := MATCHES.match(t)) and m.end() == len(t)]
-        coded = self.tokenizer.encode_batch_fast([t.decode() for t in whole], add_special_tokens=False)
-        self.unreached = {t: c.ids for t, c in zip(whole, coded) if len(c.ids) > 1}
+        self.unreached = {}
+        for k in range(0, len(whole), 1000):
+            coded = self.tokenizer.encode_batch_fast([t.decode() for t in whole[k:k + 1000]], add_special_tokens=False)
+            self.unreached |= {t: c.ids for t, c in zip(whole[k:k + 1000], coded) if len(c.ids) > 1}
         self.new, self.old = _Known(), _Known()
 
     def _learn(self, pieces: list[bytes]) -> None:

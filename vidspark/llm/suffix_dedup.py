@@ -40,7 +40,7 @@ LENGTH, GRAM = 50, 20
 PIECE, HELD, BLOCK = 1 << 20, 600_000, 1 << 19
 #: What a suffix sort takes; an anchor whose classes have more bytes has its windows sorted by themselves, PART at a time,
 #: with the same result.
-LARGEST, PART = (1 << 21) - 1, 1 << 19
+LARGEST, PART = (1 << 21) - 1, 1 << 18
 NO_ID = (1 << 63) - 1
 _MASK = np.uint64((1 << 21) - 1)
 
@@ -501,7 +501,7 @@ def _by_window(members: np.ndarray, contexts: list[bytes], least: np.ndarray, us
 
     def words(at: np.ndarray) -> np.ndarray:
         strings = np.zeros((len(at), 8 * width), np.uint8)
-        strings[:, :LENGTH] = text[at[:, None] + np.arange(LENGTH)]
+        strings[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[at]
         return strings.view(np.uint64)
 
     parts = -(-len(starts) // PART)

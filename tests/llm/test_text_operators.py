@@ -87,13 +87,38 @@ def test_licences_of_bundles(spark):
     assert got == {1: {"mit", "cc-by-4.0"}, 2: labels, 3: labels, 4: {"mit"}}
 
 
-def test_licence_templates_have_votes_enough():
-    index = set(licences.index_words())
+def test_licences_with_words_changed(spark):
+    """Whatever words are rare, a notice whose phrases and enough other words stand is found, and one with less is not."""
+    draw, rows, want = random.Random(6), [], {}
     for t, (label, notice, _) in enumerate(licences.TEMPLATES):
-        rows = [r for r in licences._template_rows() if r[0] == t]
-        free = sum(r[3] in index and not r[4] for r in rows)  # words that may be missing
-        missing = int(len(rows) * (1 - licences.MIN_SHARE) + 1e-9)
-        assert sum(r[3] in index for r in rows) - min(free, missing) >= licences.MIN_VOTES, (label, notice)
+        words = notice.split()
+        must = {r[2] for r in licences._template_rows() if r[0] == t and r[4]}
+        free = [k for k in range(len(words)) if k not in must]
+        for k in range(4):
+            lost = draw.sample(free, min(len(free), int(len(words) * (1 - licences.MIN_SHARE) + 1e-9) + k % 2))
+            changed = [w if i not in lost else "zzz" for i, w in enumerate(words)]
+            rows.append((len(rows), "before " * draw.randrange(3) + " ".join(changed)))
+            if len(lost) <= len(words) * (1 - licences.MIN_SHARE) + 1e-9:
+                want[len(rows) - 1] = label
+        rows.append((len(rows), " ".join(w if i != min(must) else "zzz" for i, w in enumerate(words))))
+    rows += [(1000 + k, "warranty conditions license copyright " * 30) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {x.label for x in r.templates} for r in licences.scanned(docs).collect()}
+    assert all(label in got[i] for i, label in want.items())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = {i: set(x.split(",")) - {""} for i, x in con.execute(f"SELECT doc_id, labels FROM ({licences.SQL})").fetchall()}
+    assert all(got[i] <= found[i] and found[i] - got[i] <= set(licences.BASE.values()) for i in found)
+
+
+def test_index_words_are_the_rarest_of_the_phrases():
+    for few in ("hereby", "charge", "sublicense", "restriction"):
+        counts = {w: 9 for words in licences.mandatory_words().values() for w in words} | {few: 1}
+        index = licences.rarest(counts)
+        assert all(set(index[t]) <= set(words) and 0 < len(index[t]) <= licences.MIN_VOTES
+                   for t, words in licences.mandatory_words().items())
+        assert all(few in index[t] for t, words in licences.mandatory_words().items() if few in words)
 
 
 def test_decontamination(spark, docs, empty):

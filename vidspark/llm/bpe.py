@@ -8,7 +8,8 @@ treats like the end of the text). Pieces repeat a lot; a worker encodes a distin
 
 Decoding looks up each id's bytes and joins them by document; malformed UTF-8 becomes U+FFFD as in the library.
 
-Defined results: a null text is encoded as an empty one, without ids; repeated rows give repeated rows; extra columns pass.
+Defined results: a null text is encoded as an empty one, without ids; repeated rows give repeated rows; extra columns pass, but
+for those called like a result; texts of any length are encoded whole; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ A pass over the documents needs no shuffle, and several blocks are several passe
 Defined results: a null text has no words; an empty text neither; a null item text gives no window; an item without words
 is never found; repeated items with one id are one item, a null id counts as an item called "null"; an empty benchmark
 leaves every document clean; repeated rows of documents give repeated rows; columns other than id and text are kept by
-``clean_documents`` and ignored elsewhere.
+``clean_documents`` and ignored elsewhere; texts of any length are scanned whole; an empty table of documents gives no row.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ The counts of the HOT most frequent words are broadcast (a bounded table); other
 table. Model tables have SYMBOLS x SYMBOLS entries whatever the corpus.
 
 Defined results: a null or empty text has the end token alone; a null id counts as an empty text for the fold; repeated
-rows are scored alike; other columns are left out; without training texts all counts are zero; an empty table gives no row.
+rows are scored alike; other columns are left out; without training texts all counts are zero; texts of any length
+are scored whole; an empty table gives no row.
 """
 
 from __future__ import annotations

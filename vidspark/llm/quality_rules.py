@@ -2,7 +2,7 @@
 
 Defined results: a null or empty text has no words and fails; extra columns pass through ``measured`` unless they are
 called like a measure, then the measure takes their place; repeated rows are judged alike. Repeated three-word windows
-are told by 64-bit hashes within one text.
+are told by 64-bit hashes within one text. Texts of any length are measured whole; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ once more, into max_bits + 1 pieces of which one is equal. No link is lost: two
 and either have a label in common by then or are compared.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; repeated rows are copies; a null id
-takes part but is no component's name unless the component has no other; an empty table gives no row.
+takes part but is no component's name unless the component has no other; texts of any length count whole; columns other
+than id and text are left out; an empty table gives no row.
 """
 
 from __future__ import annotations

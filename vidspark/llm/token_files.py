@@ -6,7 +6,8 @@ document ids as signed 64-bit integers, and a byte per document that is 1 where
 the ids before it, is a prefix sum over the counts of the parts before; there is one row per part.
 
 Defined results: a null text counts as empty and gives the end id alone; null ids come first; rows with one id follow each
-other by a hash of the text; an empty table gives no row. Files are written under another name and then renamed, so a
+other by a hash of the text; columns other than id and text are left out; texts of any length are written whole; an empty
+table gives no row. Files are written under another name and then renamed, so a
 lost or repeated task leaves whole files with the same content.
 """
 

@@ -82,6 +82,13 @@ def f10b(spark, d):
     return rows.agg(*worse).unpivot([], _WEIGHTS, "weight", "least")
 
 
+def _scored_test_rows(spark, d, kind):
+    rows = feature_table(spark, d)
+    fitted = feature_pipeline(kind, COLUMNS).fit(rows.where(F.col("split") == "train"))
+    preds = mo.predictions(fitted, rows.where(F.col("split") == "test"), "id")
+    return preds.select("id", "y_true", F.col("p1").between(0, 1).alias("scored"), (F.col("y_pred") == (F.col("p1") > 0.5).cast("int")).alias("cut_at_half"))
+
+
 def _boosted_embeddings(spark, d):
     """(rows with their split, predictions of the test rows): columns pruned on the training rows, trees stopped by the
     validation rows, and test rows that neither has seen."""
@@ -158,6 +165,21 @@ def f14b(spark, d):
     return scored.join(sizes.select("fold", (sizes.agg(F.sum("n")).scalar() - F.col("n")).alias("n_train")), "fold")
 
 
+_TEST_ROWS = f"WITH {_FITTED} SELECT id, label AS y_true, true AS scored, true AS cut_at_half FROM folded WHERE split = 'test'"
+
+
+@query("f11_scored_rows", _TEST_ROWS)
+def f11b(spark, d):
+    """Every test row is scored once by trees that were fitted on training rows alone."""
+    return _scored_test_rows(spark, d, "gradient_boosting")
+
+
+@query("f13_scored_rows", _TEST_ROWS)
+def f13b(spark, d):
+    """The same by a small net, which has as many inputs as the pruning leaves."""
+    return _scored_test_rows(spark, d, "feature_mlp")
+
+
 @query("f15_search_entries", f"""WITH {_FITTED}, entry AS (SELECT CAST(row_number() OVER (ORDER BY c, i) - 1 AS INTEGER) AS entry, c, i
   FROM (SELECT unnest([0.1::DOUBLE, 1.0, 10.0]) AS c), (SELECT unnest([1000, 2000]) AS i))
 SELECT entry, c AS "C", i AS max_iter, fold, count(*) AS n_rows, true AS mean_of_folds, 1::BIGINT AS n_best
@@ -189,6 +211,15 @@ def f17(spark, d):
     return rounded(m.basic_metrics(out), 4)
 
 
+@query("f17_scored_rows", """SELECT user_id, CAST(user_id % 2 AS INTEGER) AS y_true, true AS scored, 1::BIGINT AS times
+FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 5 = 0""")
+def f17b(spark, d):
+    """Users that the learner over the base models has not seen are scored once each."""
+    preds = base_predictions(spark, d).select("user_id", "model", "y_true", "p1")
+    _, out = mo.stacked(preds, "user_id", ["click", "error", "purchase", "signup", "view"], F.col("user_id") % 5 != 0)
+    return out.groupBy("user_id", "y_true", F.col("p1").between(0, 1).alias("scored")).agg(F.count(F.lit(1)).alias("times"))
+
+
 _ROWS = "rows_ AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"
 
 

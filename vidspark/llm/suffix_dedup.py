@@ -365,27 +365,61 @@ def _contexts(id_at: int, text: str, hits_at: int, buckets: int):
     return run
 
 
-_BLOCK_ROWS = "id long, text long, spans binary"
+_BLOCK_ROWS = "bucket int, spans binary"
+_DOCUMENT_ROWS = "id long, _spans array<struct<text: bigint, spans: binary>>"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]):
-    """All contexts of some anchors to removed ranges by document."""
+def _by_document(batches: Iterator[pa.RecordBatch]):
+    """All packed ranges of some documents to a row for each id, with the ranges of its texts."""
     import zstandard
     unpacker = zstandard.ZstdDecompressor()
+    found = [np.frombuffer(unpacker.decompress(x), "<i8").reshape(-1, 4) for batch in batches for x in batch.column(1).to_pylist()]
+    if not found:
+        return
+    spans = np.concatenate(found)
+    spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
+    kind = pa.list_(pa.struct([("text", pa.int64()), ("spans", pa.binary())]))
+    ids, rows, size = [], [], 0
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, kind)], names=["id", "_spans"])
+
+    texts = np.append(np.flatnonzero(np.concatenate(([True], (spans[1:, :2] != spans[:-1, :2]).any(1)))), len(spans))
+    for a, b in zip(texts.tolist(), texts[1:].tolist()):
+        one = {"text": int(spans[a, 1]), "spans": np.ascontiguousarray(spans[a:b, 2:]).tobytes()}
+        if ids and ids[-1] == spans[a, 0]:
+            rows[-1].append(one)
+        else:
+            if size > HELD:
+                yield out()
+                ids, rows, size = [], [], 0
+            ids.append(int(spans[a, 0]))
+            rows.append([one])
+        size += b - a
+    yield out()
+
+
+def _blocks(buckets: int):
+    """All contexts of some anchors to removed ranges, packed by the bucket of the document: at most a row for each bucket
+    and HELD ranges, whatever the number of documents."""
+    return lambda batches: _block_ranges(batches, buckets)
+
+
+def _block_ranges(batches: Iterator[pa.RecordBatch], buckets: int):
+    import zstandard
+    unpacker, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
     numbers: dict[bytes, int] = {}
     tags, uses, ready = [], [], []
 
     def given(spans: np.ndarray):
-        """Rows of (id, text, start, end), joined up by document."""
-        order = np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))
-        spans = spans[order]
-        new = np.concatenate(([True], (spans[1:, :2] != spans[:-1, :2]).any(1)))
-        edges = [*np.flatnonzero(new).tolist(), len(spans)]
-        firsts = spans[new]
+        """Rows of (id, text, start, end), dealt to buckets by id."""
+        of = spans[:, 0] % buckets
+        order = np.argsort(of, kind="stable")
+        edges = np.append(_runs(of[order]), len(order)).tolist()
         return pa.RecordBatch.from_arrays([
-            pa.array(firsts[:, 0]), pa.array(firsts[:, 1]),
-            pa.array([np.ascontiguousarray(spans[a:b, 2:]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary())],
-            names=["id", "text", "spans"])
+            pa.array(of[order][edges[:-1]], pa.int32()),
+            pa.array([packer.compress(np.ascontiguousarray(spans[order[a:b]], "<i8").tobytes())
+                      for a, b in zip(edges, edges[1:])], pa.binary())], names=["bucket", "spans"])
 
     for batch in batches:
         for sizes, packed, spans in zip(*(batch.column(k).to_pylist() for k in range(1, 4))):
@@ -537,10 +571,8 @@ def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     found = dealt.join(hits.withColumnRenamed("id", "_id"), "_id")
     columns = found.columns
     contexts = found.mapInArrow(_contexts(columns.index("_id"), text, columns.index("_hits"), buckets), _CONTEXT_ROWS)
-    blocks = contexts.repartition(buckets, "bucket").mapInArrow(_blocks, _BLOCK_ROWS)
-    blocks = materialize(blocks, "repeats")
-    spans = blocks.select("id", F.struct("text", "spans").alias("s"))
-    ranges = spans.groupBy("id").agg(F.collect_list("s").alias("_spans"))
+    blocks = contexts.repartition(buckets, "bucket").mapInArrow(_blocks(buckets), _BLOCK_ROWS)
+    ranges = materialize(blocks.repartition(buckets, "bucket").mapInArrow(_by_document, _DOCUMENT_ROWS), "repeats")
     return dealt.join(ranges.withColumnRenamed("id", "_id"), "_id", "left")
 
 

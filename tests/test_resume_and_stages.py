@@ -165,6 +165,22 @@ def test_stored_pipelines_score_alike(spark, tmp_path, features, kind):
     assert loaded.stages[1].getInputCols() == ["b", "c", "a2", "mixed"]
 
 
+@pytest.mark.parametrize("kind", ["logistic_regression", "svm"])
+def test_linear_models_score_in_a_session_that_has_observed_a_table(spark, features, kind):
+    from pyspark.sql import Observation
+    seen = Observation()
+    spark.range(7).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 7}
+    rows = features.select("id", "label", "fold", "a", "c")
+    plain = mo.model_pipeline(kind, ["a", "c"], 600, max_iter=5).fit(rows)
+    pooled = mo.cross_validate(rows, kind, ["a", "c"], "id", k=3, stored=True, max_iter=5)
+    for preds in (mo.predictions(plain, rows, "id"), pooled):
+        assert preds.where("y_pred = y_true").count() > 480 and preds.count() == 600
+    base = mo.predictions(plain, rows, "id").selectExpr("id", "y_true", "p1", "'m' AS model")
+    _, stacked = mo.stacked(base, "id", ["m"], F.col("id") % 2 == 0)
+    assert len(stacked.collect()) == 300
+
+
 def test_unfitted_pipelines_are_stored_too(spark, tmp_path):
     stages = Pipeline(stages=[FeatureSelector(inputCols=["a"], method="vif", vifThreshold=3.0),
                               FeaturePreparer(inputCols=["a"], scaling="none", normalize=False), FeatureClassifier(kind="svm", C=2.0)])

@@ -8,6 +8,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from oracle import difference
 
@@ -335,3 +337,30 @@ def test_bpe_of_a_whole_table_equals_the_library():
     library, encoder = Tokenizer.from_file(bpe.tokenizer_path()), bpe.Encoder(bpe.tokenizer_path())
     want = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
     assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == want
+
+
+def test_shared_anchors_leave_packed_by_part():
+    """Rows follow parts, not documents; each document gets the anchors it shares, whatever divides its id."""
+    draw = random.Random(6)
+    fresh = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    shared, parts = fresh(300), 4
+    ids = [8 * k for k in range(500)]
+    texts = [fresh(100) + shared + fresh(100) for _ in ids]
+    entries = []
+    for a in range(0, 500, 100):  # five tasks
+        batch = pa.RecordBatch.from_arrays([pa.array(ids[a:a + 100], pa.int64()), pa.array(texts[a:a + 100])], names=["_id", "text"])
+        entries += list(suffix_dedup._anchor_entries(0, "text", parts)(iter([batch])))
+    rows = pa.Table.from_batches(entries)
+    found = {}
+    for bucket in range(parts):
+        own = rows.filter(pa.compute.equal(rows["bucket"], bucket)).to_batches()
+        out = pa.Table.from_batches(list(suffix_dedup._shared_anchors(parts)(iter(own)))).to_pylist()
+        assert len(out) <= 2 * parts
+        for row in out:
+            of, hashes = suffix_dedup._unpacked(row["ids"], row["counts"], row["hashes"])
+            assert set(suffix_dedup._parts(of, parts).tolist()) == {row["part"]}
+            for i, h in zip(of.tolist(), hashes.tolist()):
+                found.setdefault(i, set()).add(h)
+    common = set.intersection(*found.values())
+    assert set(found) == set(ids) and common
+    assert len({int(p) for p in suffix_dedup._parts(np.array(ids), parts)}) == parts

@@ -4,7 +4,8 @@ A byte goes if it is covered by a string of LENGTH bytes that also starts in a d
 
 1. Narrowing, without loss. Each window of LENGTH bytes names the leftmost of its GRAM-byte strings with the least hash as
    its anchor; equal windows have equal anchors at the same place. Anchors are exchanged by hash; those of one document
-   alone are dropped. A task first merges what it has itself, so an anchor costs one entry in each task.
+   alone are dropped. A task first merges what it has itself, so an anchor costs one entry in each task. Shared ones go
+   to their documents packed by part, a row for each task and part.
 2. Contexts. Around every shared anchor a document sends the bytes of the windows that name it, to the block of the anchor.
    Equal contexts in a task are sent once, for the smallest id; the others are repeats already.
 3. Suffix sorting. In a block equal contexts become one class with its smallest id. Anchors with several classes are
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,13 +196,29 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
         np.zeros(0, np.int64)
 
 
-def _by_id(ids: np.ndarray, values: np.ndarray) -> tuple[list, list]:
-    """Ids once each, and the bytes of their values."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    at = _runs(ids)
-    edges = [*at.tolist(), len(ids)]
-    return ids[at].tolist(), [values[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+def _packed(ids: np.ndarray, hashes: np.ndarray, bucket: np.ndarray) -> list[tuple]:
+    """A row for each bucket: its ids once each, how many hashes each has, and the hashes in this order."""
+    order = np.lexsort((ids, bucket))
+    ids, hashes, bucket = ids[order], hashes[order], bucket[order]
+    edges = [*_runs(bucket).tolist(), len(ids)]
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        at = _runs(ids[a:b])
+        out.append((int(bucket[a]), ids[a:b][at].tobytes(), np.diff(np.append(at, b - a)).astype("<u4").tobytes(),
+                    hashes[a:b].tobytes()))
+    return out
+
+
+def _unpacked(ids: bytes, counts: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4")), np.frombuffer(hashes, "<u8")
+
+
+#: The part of a document, from its id, modulo their number: ids with a common divisor don't all fall into a few.
+_PART = "_id ^ shiftright(_id, 7) ^ shiftright(_id, 17)"
+
+
+def _parts(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return np.mod(ids ^ (ids >> 7) ^ (ids >> 17), buckets)
 
 
 _ANCHOR_ROWS = "bucket int, known boolean, ids binary, counts binary, hashes binary"
@@ -211,15 +229,7 @@ def _anchor_entries(id_at: int, text: str, buckets: int):
         anchors, held_ids, held_hashes, held = Anchors(), [], [], 0
 
         def rows(ids: np.ndarray, hashes: np.ndarray, bucket: np.ndarray, known: bool):
-            order = np.lexsort((ids, bucket))
-            ids, hashes, bucket = ids[order], hashes[order], bucket[order]
-            edges = [*_runs(bucket).tolist(), len(ids)]
-            out = []
-            for a, b in zip(edges, edges[1:]):
-                at = _runs(ids[a:b])
-                out.append((int(bucket[a]), known, ids[a:b][at].tobytes(),
-                            np.diff(np.append(at, b - a)).astype("<u4").tobytes(), hashes[a:b].tobytes()))
-            return out
+            return [(b, known, *packed) for b, *packed in _packed(ids, hashes, bucket)]
 
         def flush():
             ids, hashes = np.concatenate(held_ids), np.concatenate(held_hashes)
@@ -257,32 +267,38 @@ def _anchor_entries(id_at: int, text: str, buckets: int):
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]):
-    """Rows of one partition, so all entries of its anchors: (id, hashes) of those in several documents."""
-    parts: dict[bool, list] = {False: [], True: []}
-    for batch in batches:
-        for known, ids, counts, hashes in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
-            ids = np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4"))
-            parts[known].append((ids, np.frombuffer(hashes, "<u8")))
-            if known and len(parts[True]) >= 64:
-                yield _hits(*map(np.concatenate, zip(*parts[True])))
-                parts[True].clear()
-    if parts[True]:
-        yield _hits(*map(np.concatenate, zip(*parts[True])))
-    if parts[False]:
-        ids, hashes = map(np.concatenate, zip(*parts.pop(False)))
-        order = np.argsort(hashes, kind="stable")
-        ids, hashes = ids[order], hashes[order]
-        at = _runs(hashes)
-        sizes = np.diff(np.append(at, len(ids)))
-        several = np.repeat(np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at), sizes)
-        if several.any():
-            yield _hits(ids[several], hashes[several])
+_HIT_ROWS = "part int, ids binary, counts binary, hashes binary"
+_HIT_TYPES = [pa.int32(), *[pa.binary()] * 3]
 
 
-def _hits(ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    names, values = _by_id(ids, hashes)
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], names=["id", "hashes"])
+def _shared_anchors(buckets: int):
+    """Rows of one partition, so all entries of its anchors, to those in several documents, packed by the part of the document:
+    at most a row for each part and 64 rows read, whatever the number of documents."""
+    def hits(ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        rows = _packed(ids, hashes, _parts(ids, buckets))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _HIT_TYPES)],
+                                          names=[x.split()[0] for x in _HIT_ROWS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        parts: dict[bool, list] = {False: [], True: []}
+        for batch in batches:
+            for known, *packed in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                parts[known].append(_unpacked(*packed))
+                if known and len(parts[True]) >= 64:
+                    yield hits(*map(np.concatenate, zip(*parts[True])))
+                    parts[True].clear()
+        if parts[True]:
+            yield hits(*map(np.concatenate, zip(*parts[True])))
+        if parts[False]:
+            ids, hashes = map(np.concatenate, zip(*parts.pop(False)))
+            order = np.argsort(hashes, kind="stable")
+            ids, hashes = ids[order], hashes[order]
+            at = _runs(hashes)
+            sizes = np.diff(np.append(at, len(ids)))
+            several = np.repeat(np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at), sizes)
+            if several.any():
+                yield hits(ids[several], hashes[several])
+    return run
 
 
 # --- contexts and blocks ----------------------------------------------------------------------------------------------
@@ -295,7 +311,24 @@ def _text_key(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def _contexts(id_at: int, text: str, hits_at: int, buckets: int):
+class _Hits:
+    """Shared anchors of the documents of one part."""
+
+    def __init__(self, found: list[tuple]):
+        ids, hashes = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        order = np.lexsort((hashes, ids))
+        ids, hashes = ids[order], hashes[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
+        self.ids, self.hashes = ids[new], hashes[new]
+
+    def of(self, ids: np.ndarray) -> list[np.ndarray]:
+        edges = (np.searchsorted(self.ids, ids, side).tolist() for side in ("left", "right"))
+        return [self.hashes[a:b] for a, b in zip(*edges)]
+
+
+def _contexts(buckets: int):
+    """From the rows of one part, (_id, text, ids, counts, hashes), packed anchors before documents."""
     def run(batches: Iterator[pa.RecordBatch]):
         import zstandard
         packer = zstandard.ZstdCompressor(level=1)
@@ -330,13 +363,25 @@ def _contexts(id_at: int, text: str, hits_at: int, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CONTEXT_TYPES)],
                                               names=[x.split()[0] for x in _CONTEXT_ROWS.split(", ")])
 
-        for batch, texts in text_slices(batches, text):
-            ids = _ids(batch.column(id_at))
-            hits = batch.column(hits_at).to_pylist()
-            some = [k for k, h in enumerate(hits) if h]
+        packed: list[tuple] = []
+
+        def rows_of_documents():
+            for batch in batches:
+                document = batch.column(0).is_valid()
+                packed.extend(_unpacked(*x) for x in zip(*(c.to_pylist() for c in batch.filter(pc.invert(document)).columns[2:])))
+                yield batch.filter(document)
+
+        known_hits = None
+        for batch, texts in text_slices(rows_of_documents(), "text"):
+            if known_hits is None:  # anchors come first
+                known_hits = _Hits(packed)
+                packed.clear()
+            ids = _ids(batch.column(0))
+            hits = known_hits.of(ids)
+            some = [k for k, h in enumerate(hits) if len(h)]
             if not some:
                 continue
-            shared = [np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in hits[k]])) for k in some]
+            shared = [hits[k] for k in some]
             picked = [texts[k] or b"" for k in some]
             keys = [_text_key(t) for t in picked]
             for number, first, last, hashes in anchors.find(picked):
@@ -564,16 +609,17 @@ def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     buckets = shuffle_partitions(spark)
     docs = docs.drop("_id", "_spans", "_hits")
     rows = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
-    entries = rows.select("_id", F.col(text).alias("text")).mapInArrow(_anchor_entries(0, "text", buckets), _ANCHOR_ROWS)
-    hits = (entries.repartition(buckets, "bucket").mapInArrow(_shared_anchors, "id long, hashes binary")
-            .groupBy("id").agg(F.collect_list("hashes").alias("_hits")))
-    dealt = rows.repartition(buckets, "_id")  # the same exchange serves both joins
-    found = dealt.join(hits.withColumnRenamed("id", "_id"), "_id")
-    columns = found.columns
-    contexts = found.mapInArrow(_contexts(columns.index("_id"), text, columns.index("_hits"), buckets), _CONTEXT_ROWS)
+    texts = rows.select("_id", F.col(text).alias("text"))
+    entries = texts.mapInArrow(_anchor_entries(0, "text", buckets), _ANCHOR_ROWS)
+    hits = entries.repartition(buckets, "bucket").mapInArrow(_shared_anchors(buckets), _HIT_ROWS)
+    # documents and their shared anchors meet in one exchange; texts without a window have no anchor
+    both = texts.where(F.octet_length("text") >= LENGTH).withColumn("part", F.expr(f"cast(pmod({_PART}, {buckets}L) as int)")) \
+        .unionByName(hits, allowMissingColumns=True)
+    dealt = both.repartitionById(buckets, "part").sortWithinPartitions(F.col("_id").isNotNull())
+    contexts = dealt.select("_id", "text", "ids", "counts", "hashes").mapInArrow(_contexts(buckets), _CONTEXT_ROWS)
     blocks = contexts.repartition(buckets, "bucket").mapInArrow(_blocks(buckets), _BLOCK_ROWS)
     ranges = materialize(blocks.repartition(buckets, "bucket").mapInArrow(_by_document, _DOCUMENT_ROWS), "repeats")
-    return dealt.join(ranges.withColumnRenamed("id", "_id"), "_id", "left")
+    return rows.repartition(buckets, "_id").join(ranges.withColumnRenamed("id", "_id"), "_id", "left")
 
 
 def removed_ranges(text: bytes, spans: list | None) -> np.ndarray:

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from vidspark.llm import bpe, decontaminate, near_copies, quality_rules, suffix_dedup
 from vidspark.llm.common import materialize
 
-#: Near duplicates have a Jaccard similarity of 0.8 or more over shingles of five words.
-SHINGLE_WORDS = 5
+#: Near duplicates have a Jaccard similarity of 0.8 or more over shingles of five words. SimHash fingerprints of these that
+#: differ in so many bits link texts first; every link is verified, and texts further apart are found by ``near_copies``.
+SHINGLE_WORDS, MAX_BITS = 5, 4
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _whole(docs).withColumns({"_id": F.coalesce(F.col("_row.doc_id").cast("long"), F.xxhash64("text")),
                                      "_node": F.xxhash64(F.coalesce("text", F.lit("")))})
-    labels = near_copies.linked(rows.select(F.col("_node").alias("node"), "text"), SHINGLE_WORDS)
+    labels = near_copies.linked(rows.select(F.col("_node").alias("node"), "text"), SHINGLE_WORDS, MAX_BITS)
     texts = rows.groupBy(F.col("_node").alias("node")).agg(F.min("_id").alias("_id")).join(labels, "node", "left")
     first = texts.groupBy(F.coalesce("label", "node")).agg(F.min(F.struct("_id", F.col("node").alias("_node"))).alias("f"))
     order = Window.partitionBy("_id", "_node").orderBy(F.xxhash64("text"))  # more than one: repeated rows

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
@@ -157,3 +158,19 @@ def test_keys_of_similar_texts_meet():
         met.append(int((a == b).sum()))
         missed += met[-1] == 0
     assert not missed and abs(np.mean(met) - near_copies.BANDS * 0.8 ** near_copies.ROWS) < 1.5
+
+
+def test_near_duplicate_stage_links_by_fingerprints(spark, monkeypatch):
+    """Without any key the links between fingerprints are left, and only those that the shingles bear out."""
+    monkeypatch.setattr(near_copies, "_keys", lambda rows, words: rows.select("node", F.col("node").alias("key")).where("false"))
+    draw = random.Random(5)
+    fresh = lambda n: ["".join(draw.choices("abcdefghij", k=8)) for _ in range(n)]
+    base, far = fresh(400), fresh(400)
+    near = base[:-1] + fresh(1)
+    low = [w for k, w in enumerate(base) if k % 6]  # shares too few shingles
+    prints = [brute_print(" ".join(w), 5) & (2 ** 64 - 1) for w in (base, near)]
+    assert (prints[0] ^ prints[1]).bit_count() <= corpus_pipeline.MAX_BITS
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((base, far, near, low))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 1, 3}
+    monkeypatch.setattr(near_copies.simhash, "linked", lambda fps, max_bits: fps.select("fp", F.lit(0).cast("long").alias("label")))
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} >= {1, 3}

@@ -1,11 +1,14 @@
 """Texts of a Jaccard similarity of MIN_SHARE and more over distinct word shingles, verified exactly.
 
+SimHash comes first: texts whose fingerprints are linked, as in ``simhash``, are compared with the smallest of their class.
+At a similarity of 0.8 two fingerprints differ in some 10 of 64 bits, so links between texts further apart are left to keys.
+
 Each text has BANDS keys, each of the minima of its shingles' hashes under ROWS seeded permutations. Two texts of
 similarity s miss each other with probability (1 - s ** ROWS) ** BANDS: 2e-10 at 0.8, less above. Every link is verified by
 the whole shingle sets, so none is below MIN_SHARE.
 
-Keys are not paired within, as many texts of a lower similarity may share one. First every text is compared with one
-other, its star: of the texts that lead one of its keys, by the number of texts they share keys with, the first. That joins
+Keys are not paired within, as many texts of a lower similarity may share one. Every text is compared with one
+other besides, its star: of the texts that lead one of its keys, by the number of texts they share keys with, the first. That joins
 a group around a common original in as many comparisons as it has members. Texts whose keys still hold several components
 are then joined by the prefix principle: with shingles in the order of how many of these texts have them, the rarest first,
 two similar texts have one in common among the first of each, and the places at which it stands bound the sizes that the
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vidspark.llm import simhash
 from vidspark.llm.common import batch_of, materialize, text_slices
 from vidspark.llm.graph import components
 
@@ -163,19 +167,32 @@ def prefix_candidates(texts: DataFrame) -> DataFrame:
                   & (F.col("a.label") != F.col("b.label")) & once & fits).select(*_pair("a.node", "b.node")).distinct()
 
 
-def linked(rows: DataFrame, words: int) -> DataFrame:
+def fingerprint_pairs(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """(u, v): each node, and the smallest one of those that links of at most ``max_bits`` between SimHash fingerprints reach."""
+    prints = materialize(simhash.fingerprints(rows, words, "node", "text").select(F.col("doc_id").alias("node"), "fp").distinct(),
+                         "fingerprints")
+    labels = simhash.linked(prints.select("fp").distinct(), max_bits)
+    named = materialize(prints.join(labels, "fp", "left").select("node", F.coalesce("label", "fp").alias("label")), "classes")
+    first = named.groupBy("label").agg(F.min("node").alias("first"))
+    return named.join(first, "label").where("node <> first").select(*_pair("node", "first"))
+
+
+def linked(rows: DataFrame, words: int, max_bits: int = 4) -> DataFrame:
     """(node, label) of the nodes that have a link, from (node, text) with one text to a node; rows may repeat."""
+    prints = materialize(fingerprint_pairs(rows, words, max_bits), "pairs")
     keys = materialize(_keys(rows, words), "keys")
     held = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keys.join(held, "key"), "members")
     shared = materialize(members.groupBy("node").agg(F.sum("n").alias("shared")), "shared")
-    texts = rows.select("node", "text").join(shared.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    wanted = shared.select("node").union(prints.select("u")).union(prints.select("v"))
+    texts = rows.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(_sets(texts, words), "sets")
     # each node's star: the best of the leaders of its keys
     leader = members.join(shared, "node").groupBy("key").agg(F.max(F.struct("shared", "node")).alias("leader"))
     stars = members.join(leader, "key").groupBy("node").agg(F.max("leader").alias("star")) \
         .select("node", F.col("star.node").alias("star")).where("node <> star")
-    first = materialize(components(verified(stars.select(*_pair("node", "star")), sets)), "labels")
+    pairs = prints.union(stars.select(*_pair("node", "star"))).distinct()
+    first = materialize(components(verified(pairs, sets)), "labels")
 
     named = members.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")

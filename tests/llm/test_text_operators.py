@@ -364,3 +364,39 @@ def test_shared_anchors_leave_packed_by_part():
     common = set.intersection(*found.values())
     assert set(found) == set(ids) and common
     assert len({int(p) for p in suffix_dedup._parts(np.array(ids), parts)}) == parts
+
+
+def test_texts_cross_the_network_once(spark, capsys):
+    """Contexts and the removal read one exchange of the texts."""
+    rows = [(k, f"{k} " * 30 + PASSAGE * 3) for k in range(200)]
+    some = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert Counter(map(tuple, some.collect())) == brute_repeats(rows)
+    some.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0].splitlines()
+    # one of the documents, read twice, and one of the removed ranges
+    by_part = [line for line in plan if "Exchange shufflepartitionidpassthrough" in line]
+    assert sum("ReusedExchange" in line for line in by_part) == 1
+    assert sum("ReusedExchange" not in line for line in by_part) == 2
+
+
+def test_small_entries_and_ranges():
+    """An anchor costs little more than six bytes, and touching ranges of a text are sent as one."""
+    import zstandard
+    rng = np.random.default_rng(8)
+    ids, hashes = np.sort(rng.integers(-1 << 62, 1 << 62, 500))[rng.integers(0, 500, 20_000)], rng.integers(0, 1 << 63, 20_000, np.uint64)
+    ids[:50], ids[50:90] = suffix_dedup.NO_ID, -1 << 63
+    buckets = (hashes % np.uint64(3)).astype(np.int64)
+    rows = suffix_dedup._packed(ids, hashes, buckets)
+    assert sum(len(x) for row in rows for x in row[1:]) < 7.2 * len(ids)
+    low = np.uint64((1 << 48) - 1)
+    for bucket, *packed in rows:
+        of, sent = suffix_dedup._unpacked(*packed)
+        own = buckets == bucket
+        assert sorted(zip(of.tolist(), sent.tolist())) == sorted(zip(ids[own].tolist(), (hashes[own] & low).tolist()))
+    spans = np.array([[4, 9, k, k + 60] for k in range(0, 3000, 10)] + [[4, 9, 5000, 5060], [4, 8, 5030, 5090], [5, 9, 0, 50], [5, 9, 50, 100]], "<i8")
+    packed = zstandard.ZstdCompressor().compress(np.ascontiguousarray(spans[rng.permutation(len(spans))]).tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([packed])], names=["bucket", "spans"])
+    out = pa.Table.from_batches(suffix_dedup._by_document(iter([batch]))).to_pylist()
+    got = [(x["text"], np.frombuffer(x["spans"], "<i8").tolist()) for row in out for x in list(row.values())[1]]
+    assert [row["id"] for row in out] == [4, 5]
+    assert got == [(8, [5030, 5090]), (9, [0, 3050, 5000, 5060]), (9, [0, 100])]

@@ -5,7 +5,8 @@ A byte goes if it is covered by a string of LENGTH bytes that also starts in a d
 1. Narrowing, without loss. Each window of LENGTH bytes names the leftmost of its GRAM-byte strings with the least hash as
    its anchor; equal windows have equal anchors at the same place. Anchors are exchanged by hash; those of one document
    alone are dropped. A task first merges what it has itself, so an anchor costs one entry in each task. Shared ones go
-   to their documents packed by part, a row for each task and part.
+   to their documents packed by part, a row for each task and part. Six bytes of a hash are sent; two hashes that agree in
+   them cost a context that nothing equals, and no result.
 2. Contexts. Around every shared anchor a document sends the bytes of the windows that name it, to the block of the anchor.
    Equal contexts in a task are sent once, for the smallest id; the others are repeats already.
 3. Suffix sorting. In a block equal contexts become one class with its smallest id. Anchors with several classes are
@@ -14,9 +15,10 @@ A byte goes if it is covered by a string of LENGTH bytes that also starts in a d
    after it and merged, and adjacent suffixes are compared over LENGTH bytes. The smallest id of each run of equal prefixes
    decides which windows are repeats. The windows of an anchor whose classes are too large for one sort are dealt to
    parts by a hash of their bytes, and equal ones found by sorting a part; they stay in the task that has the anchor.
-4. The removed ranges are joined back to the texts by id.
+4. The removed ranges are joined up for each text, and back to the texts by id. The texts cross the network once: step 2 and
+   this step read the same exchange, so what they take from it has the same columns and filters.
 
-Every exchange and table grows linearly with the text. Sorting all suffixes in one global recursion would move each of
+Every exchange grows linearly with the text. Sorting all suffixes in one global recursion would move each of
 them several times; here only what repeats is sorted.
 
 Defined results: a null text is an empty one; texts under LENGTH bytes lose nothing; a null id counts as larger than any
@@ -35,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm.common import documents, materialize, shuffle_partitions, text_slices
+from vidspark.llm.common import documents, shuffle_partitions, text_slices
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text worked on at once, anchors or contexts a task holds, bytes of a sorted block: memory only.
@@ -196,25 +198,41 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
         np.zeros(0, np.int64)
 
 
+#: Bytes of a hash that are sent, and what they keep of it.
+SENT = 6
+_KEPT = np.uint64((1 << 8 * SENT) - 1)
+
+
 def _packed(ids: np.ndarray, hashes: np.ndarray, bucket: np.ndarray) -> list[tuple]:
-    """A row for each bucket: its ids once each, how many hashes each has, and the hashes in this order."""
+    """A row for each bucket: its ids once each, by their steps, how many hashes each has, and the hashes in this order."""
+    import zstandard
+    packer = zstandard.ZstdCompressor(level=1)
     order = np.lexsort((ids, bucket))
     ids, hashes, bucket = ids[order], hashes[order], bucket[order]
     edges = [*_runs(bucket).tolist(), len(ids)]
     out = []
     for a, b in zip(edges, edges[1:]):
         at = _runs(ids[a:b])
-        out.append((int(bucket[a]), ids[a:b][at].tobytes(), np.diff(np.append(at, b - a)).astype("<u4").tobytes(),
-                    hashes[a:b].tobytes()))
+        steps = np.diff(ids[a:b][at], prepend=np.int64(0)).astype("<i8")  # wraps around, and back when summed
+        sent = np.ascontiguousarray(hashes[a:b], "<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]
+        out.append((int(bucket[a]), packer.compress(steps.tobytes()),
+                    packer.compress(np.diff(np.append(at, b - a)).astype("<u4").tobytes()), sent.tobytes()))
     return out
 
 
 def _unpacked(ids: bytes, counts: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4")), np.frombuffer(hashes, "<u8")
+    """The id and what was sent of the hash of each entry."""
+    import zstandard
+    unpacker = zstandard.ZstdDecompressor()
+    sent = np.frombuffer(hashes, np.uint8).reshape(-1, SENT)
+    whole = np.zeros((len(sent), 8), np.uint8)
+    whole[:, :SENT] = sent
+    known = np.cumsum(np.frombuffer(unpacker.decompress(ids), "<i8"))
+    return np.repeat(known, np.frombuffer(unpacker.decompress(counts), "<u4")), whole.view("<u8").ravel()
 
 
 #: The part of a document, from its id, modulo their number: ids with a common divisor don't all fall into a few.
-_PART = "_id ^ shiftright(_id, 7) ^ shiftright(_id, 17)"
+_PART = "id ^ shiftright(id, 7) ^ shiftright(id, 17)"
 
 
 def _parts(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -327,8 +345,8 @@ class _Hits:
         return [self.hashes[a:b] for a, b in zip(*edges)]
 
 
-def _contexts(buckets: int):
-    """From the rows of one part, (_id, text, ids, counts, hashes), packed anchors before documents."""
+def _contexts(text: str, buckets: int):
+    """From the rows of one part, with id, text, ids, counts and hashes, packed anchors before documents."""
     def run(batches: Iterator[pa.RecordBatch]):
         import zstandard
         packer = zstandard.ZstdCompressor(level=1)
@@ -367,16 +385,17 @@ def _contexts(buckets: int):
 
         def rows_of_documents():
             for batch in batches:
-                document = batch.column(0).is_valid()
-                packed.extend(_unpacked(*x) for x in zip(*(c.to_pylist() for c in batch.filter(pc.invert(document)).columns[2:])))
+                document = batch.column("id").is_valid()
+                anchors_of = batch.filter(pc.invert(document))
+                packed.extend(_unpacked(*x) for x in zip(*(anchors_of.column(c).to_pylist() for c in ("ids", "counts", "hashes"))))
                 yield batch.filter(document)
 
         known_hits = None
-        for batch, texts in text_slices(rows_of_documents(), "text"):
+        for batch, texts in text_slices(rows_of_documents(), text):
             if known_hits is None:  # anchors come first
                 known_hits = _Hits(packed)
                 packed.clear()
-            ids = _ids(batch.column(0))
+            ids = _ids(batch.column("id"))
             hits = known_hits.of(ids)
             some = [k for k, h in enumerate(hits) if len(h)]
             if not some:
@@ -389,8 +408,8 @@ def _contexts(buckets: int):
                 for a, b in zip(edges, edges[1:]):
                     k = int(number[a])
                     own = hashes[a:b]
-                    at = np.searchsorted(shared[k], own)
-                    good = np.flatnonzero(shared[k][np.minimum(at, len(shared[k]) - 1)] == own)
+                    at = np.searchsorted(shared[k], own & _KEPT)
+                    good = np.flatnonzero(shared[k][np.minimum(at, len(shared[k]) - 1)] == own & _KEPT)
                     data, doc, key = picked[k], int(ids[some[k]]), keys[k]
                     for s, e, tag in zip(first[a:b][good].tolist(), last[a:b][good].tolist(),
                                          (own[good] >> np.uint64(32)).tolist()):
@@ -411,11 +430,11 @@ def _contexts(buckets: int):
 
 
 _BLOCK_ROWS = "bucket int, spans binary"
-_DOCUMENT_ROWS = "id long, _spans array<struct<text: bigint, spans: binary>>"
+_DOCUMENT_ROWS = "id long, spans array<struct<text: bigint, spans: binary>>"
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]):
-    """All packed ranges of some documents to a row for each id, with the ranges of its texts."""
+    """All packed ranges of some documents to a row for each id, with the ranges of its texts, joined up."""
     import zstandard
     unpacker = zstandard.ZstdDecompressor()
     found = [np.frombuffer(unpacker.decompress(x), "<i8").reshape(-1, 4) for batch in batches for x in batch.column(1).to_pylist()]
@@ -427,11 +446,11 @@ def _by_document(batches: Iterator[pa.RecordBatch]):
     ids, rows, size = [], [], 0
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, kind)], names=["id", "_spans"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, kind)], names=["id", "spans"])
 
     texts = np.append(np.flatnonzero(np.concatenate(([True], (spans[1:, :2] != spans[:-1, :2]).any(1)))), len(spans))
     for a, b in zip(texts.tolist(), texts[1:].tolist()):
-        one = {"text": int(spans[a, 1]), "spans": np.ascontiguousarray(spans[a:b, 2:]).tobytes()}
+        one = {"text": int(spans[a, 1]), "spans": _joined_up(spans[a:b, 2:]).tobytes()}
         if ids and ids[-1] == spans[a, 0]:
             rows[-1].append(one)
         else:
@@ -603,23 +622,36 @@ def _by_window(members: np.ndarray, contexts: list[bytes], least: np.ndarray, us
 
 # --- the operator -----------------------------------------------------------------------------------------------------
 
-def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with ``_id`` and ``_spans``, an array of (text key, byte ranges)."""
-    spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
-    docs = docs.drop("_id", "_spans", "_hits")
-    rows = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
-    texts = rows.select("_id", F.col(text).alias("text"))
-    entries = texts.mapInArrow(_anchor_entries(0, "text", buckets), _ANCHOR_ROWS)
+def _with_spans(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[str]]:
+    """The columns of docs under new names, which are given too, besides others and ``spans``, an array of (text key, byte
+    ranges). Rows without an id are no documents: they stay to be left out by ``_documents``."""
+    buckets = shuffle_partitions(docs.sparkSession)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    body = names[docs.columns.index(text)]
+    rows = docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).toDF(*names, "id")
+    entries = rows.select("id", F.col(body).alias("text")).mapInArrow(_anchor_entries(0, "text", buckets), _ANCHOR_ROWS)
     hits = entries.repartition(buckets, "bucket").mapInArrow(_shared_anchors(buckets), _HIT_ROWS)
-    # documents and their shared anchors meet in one exchange; texts without a window have no anchor
-    both = texts.where(F.octet_length("text") >= LENGTH).withColumn("part", F.expr(f"cast(pmod({_PART}, {buckets}L) as int)")) \
-        .unionByName(hits, allowMissingColumns=True)
-    dealt = both.repartitionById(buckets, "part").sortWithinPartitions(F.col("_id").isNotNull())
-    contexts = dealt.select("_id", "text", "ids", "counts", "hashes").mapInArrow(_contexts(buckets), _CONTEXT_ROWS)
+    # documents and their shared anchors meet in one exchange. A filter or fewer columns after it would move before it and
+    # make another exchange of the texts, so both readers take all of it.
+    part = F.expr(f"cast(pmod({_PART}, {buckets}L) as int)")
+    dealt = rows.withColumn("part", part).unionByName(hits, allowMissingColumns=True).repartitionById(buckets, "part")
+    contexts = dealt.sortWithinPartitions(F.col("id").isNotNull()).mapInArrow(_contexts(body, buckets), _CONTEXT_ROWS)
     blocks = contexts.repartition(buckets, "bucket").mapInArrow(_blocks(buckets), _BLOCK_ROWS)
-    ranges = materialize(blocks.repartition(buckets, "bucket").mapInArrow(_by_document, _DOCUMENT_ROWS), "repeats")
-    return rows.repartition(buckets, "_id").join(ranges.withColumnRenamed("id", "_id"), "_id", "left")
+    ranges = blocks.repartition(buckets, "bucket").mapInArrow(_by_document, _DOCUMENT_ROWS)
+    return dealt.join(ranges.withColumn("part", part).repartitionById(buckets, "part"), ["part", "id"], "left"), names
+
+
+def _documents(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The documents among the rows of ``_with_spans``: the columns of these names, then spans."""
+    for batch in batches:
+        yield batch.filter(batch.column("id").is_valid()).select([*names, "spans"])
+
+
+def _joined_up(ranges: np.ndarray) -> np.ndarray:
+    """Ranges in order of their starts, as disjoint ones that don't touch."""
+    ends = np.maximum.accumulate(ranges[:, 1])
+    new = np.concatenate(([True], ranges[1:, 0] > ends[:-1]))
+    return np.stack([ranges[new, 0], ends[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(ranges) - 1]))]], 1)
 
 
 def removed_ranges(text: bytes, spans: list | None) -> np.ndarray:
@@ -629,10 +661,7 @@ def removed_ranges(text: bytes, spans: list | None) -> np.ndarray:
     if not own:
         return np.zeros((0, 2), np.int64)
     found = np.concatenate(own)
-    found = found[np.argsort(found[:, 0], kind="stable")]
-    ends = np.maximum.accumulate(found[:, 1])
-    new = np.concatenate(([True], found[1:, 0] > ends[:-1]))
-    return np.stack([found[new, 0], ends[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(found) - 1]))]], 1)
+    return _joined_up(found[np.argsort(found[:, 0], kind="stable")])
 
 
 def without(text: bytes, ranges: np.ndarray) -> bytes:
@@ -642,10 +671,10 @@ def without(text: bytes, ranges: np.ndarray) -> bytes:
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    rows = _with_spans(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    rows, names = _with_spans(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch, texts in text_slices(batches, "text"):
+        for batch, texts in text_slices(_documents(batches, names), names[1]):
             out = []
             for data, spans in zip(texts, batch.column(2).to_pylist()):
                 data = data or b""
@@ -656,18 +685,19 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 [batch.column(0), *(pa.array(c) for c in zip(*out))],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "_spans").mapInArrow(
+    return rows.mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without repeated strings, same columns; a character that is cut goes as a whole, and so does a text of which
     nothing but white space is left."""
-    rows = _with_spans(docs, doc_id, text)
+    rows, names = _with_spans(docs, doc_id, text)
     columns = docs.columns
+    body = names[columns.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch, texts in text_slices(batches, text):
+        for batch, texts in text_slices(_documents(batches, names), body):
             out, keep = [], []
             for data, spans in zip(texts, batch.column(len(columns)).to_pylist()):
                 ranges = removed_ranges(data or b"", spans)
@@ -679,7 +709,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             arrays[columns.index(text)] = pa.array(out, arrays[columns.index(text)].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep))
 
-    return rows.select(*columns, "_spans").mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def _pieces(text: bytes, ranges: np.ndarray) -> list[bytes]:

@@ -1,6 +1,7 @@
 """Resumed work, merged tables, observed counts, sampled decisions, streamed hashes, stored ML stages."""
 
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -13,7 +14,9 @@ from vidspark.operators import models as mo
 from vidspark.operators import quality as q
 from vidspark.operators import results as rs
 from vidspark.operators.stages import FeatureClassifier, FeaturePreparer, FeatureSelector, feature_pipeline
-from vidspark.sources import listing
+from vidspark.plans.sources import x13b
+from vidspark.session import shared_dir
+from vidspark.sources import listing, sinks
 from vidspark.sources.finished import FinishedWork
 from vidspark.sources.merged import Conflict, MergedTable
 
@@ -140,6 +143,50 @@ def test_hashes_of_files_above_a_piece(spark, tmp_path):
         n.split("/")[-1]: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items() if c}  # Spark lists no empty file
 
 
+def test_hashes_of_many_folders_take_few_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "f.bin").write_bytes(b"%d" % i)
+    for hidden in ("_SUCCESS", ".f.crc", "d1/_temporary", "d2/f._COPYING_"):
+        (tmp_path / hidden).write_bytes(b"x")
+    spark.sparkContext.setJobGroup("hashes of files", "")
+    try:
+        rows = listing.file_hashes(spark, str(tmp_path)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r["path"], r["length"], r["sha256"]) for r in rows} == {
+        (f"file:{tmp_path}/d{i}/f.bin", len(str(i)), hashlib.sha256(b"%d" % i).hexdigest()) for i in range(400)}
+    seen = spark.sparkContext.statusTracker()
+    stages = {k for j in seen.getJobIdsForGroup("hashes of files") for k in seen.getJobInfo(j).stageIds}
+    assert sum(x.numTasks for x in map(seen.getStageInfo, stages) if x) < 200  # a task a folder before
+
+
+def test_a_file_per_key(spark, tmp_path):
+    rows = [(f"k{i}", f"text {i}\nof two lines") for i in range(50)] + [("k7", "again"), ("a/b c", ""), ("", "e"), (None, "n"), ("u", None)]
+    df = spark.createDataFrame(rows, "clip string, value string").repartition(5)
+    sinks.write_files(df, str(tmp_path / "out"), "clip", "value")
+    got = {p.name: sorted(p.read_text().splitlines()) for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    want = {f"clip=k{i}.txt": sorted(["again"] * (i == 7) + [f"text {i}", "of two lines"]) for i in range(50)}
+    assert got == want | {"clip=a%2Fb%20c.txt": [""], "clip=__HIVE_DEFAULT_PARTITION__.txt": ["e", "n"], "clip=u.txt": [""]}
+    folders = [p for p in (tmp_path / "out").rglob("*") if p.is_dir()]
+    assert 0 < len(folders) < 20  # one a task
+    sinks.write_files(df.where("false"), str(tmp_path / "none"), "clip", "value")
+    assert listing.file_hashes(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_written_texts_make_no_folder_each(spark, tmp_path):
+    """Texts whose id repeats share a file; the others have one each, without folders or checksums beside them."""
+    rows = [(i, f"text {i}") for i in range(60)] + [(3, "text 3"), (60, None), (None, "n"), (61, "a\rb")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(os.listdir(shared_dir(spark)))
+    got = {r["clip"]: (r["sha256"], r["length"]) for r in x13b(spark, str(tmp_path)).collect()}
+    texts = {f"v{i}": f"text {i}\n" * (1 + (i == 3)) for i in range(60)} | {"v60": "\n", "__HIVE_DEFAULT_PARTITION__": "n\n"}
+    assert got == {k: (hashlib.sha256(x.encode()).hexdigest(), len(x)) for k, x in texts.items()}
+    written = [x for x in set(os.listdir(shared_dir(spark))) - before if x.startswith("x13-")]
+    inside = [x for d in written for x in os.walk(os.path.join(shared_dir(spark), d))]
+    assert sum(len(files) for _, _, files in inside) == 62 and len(inside) < 30
+
+
 @pytest.fixture(scope="module")
 def features(spark):
     rng = np.random.default_rng(4)

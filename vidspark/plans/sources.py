@@ -277,9 +277,10 @@ def x13b(spark, d):
     """Every text as a file of its own, written and hashed in pieces of 1,000 bytes."""
     path = scratch_path(spark, "x13")
     docs = t.load(spark, d, "documents").where(~F.contains(F.coalesce("text", F.lit("")), F.lit("\r")))
-    docs.select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("clip"), F.coalesce("text", F.lit("")).alias("value")) \
-        .repartition("clip").write.partitionBy("clip").text(path)
-    return ls.file_hashes(spark, path, chunk=1000).select(F.regexp_extract("path", "clip=([^/]*)/", 1).alias("clip"), "sha256", "length")
+    clips = docs.select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("clip"), F.coalesce("text", F.lit("")).alias("value"))
+    sk.write_files(clips, path, "clip", "value")
+    clip = F.regexp_extract("path", r"clip=([^/]*?)(\.txt|/[^/]*)$", 1).alias("clip")
+    return ls.file_hashes(spark, path, chunk=1000).select(clip, "sha256", "length")
 
 
 @query("j1_scanned_manifest", f"""WITH {MANIFEST}, {_SCAN} SELECT s.video_id, s.video_path, s.frame_count, m.label, coalesce(s.subset, m.subset) AS subset,

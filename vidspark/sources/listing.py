@@ -5,12 +5,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vidspark.session import materialize
+from vidspark.sources.readers import _fs
+
 # Names a clip may have inside its folder, best first.
 VIDEO_NAMES = ["video.mp4", "video.mkv", "video.webm"]
 
@@ -65,13 +70,13 @@ CHUNK = 8 << 20
 def file_hashes(spark: SparkSession, root: str, chunk: int = CHUNK) -> DataFrame:
     """(name, path, length, sha256) of each file below the root, of any size.
 
-    Files are listed without their contents and dealt out by path; each task opens its files through Arrow's file systems
-    and reads them piece by piece in constant memory. Spark lists no file without a byte. A file system that Arrow does
-    not know is read by Spark, a file a row, which holds files of up to 2 GB.
+    Files are listed by tasks and dealt out by path; each task opens its files through Arrow's file systems and reads them
+    piece by piece in constant memory. Neither names nor a split per file come to the driver. As in Spark's listings there
+    are no hidden files and none without a byte. A file system that Arrow does not know is read by Spark, a file a row,
+    which holds files of up to 2 GB.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     name = F.substring_index("path", "/", -1).alias("name")
-    if not _arrow_reads(root):
+    if not arrow_reads(spark, root):
         content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         return content.select(name, "path", "length", F.sha2("content", 256).alias("sha256"))
 
@@ -80,15 +85,54 @@ def file_hashes(spark: SparkSession, root: str, chunk: int = CHUNK) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch["path"], batch["length"], pa.array(
                 [_streamed_sha256(p, chunk) for p in batch["path"].to_pylist()], pa.string())], ["path", "length", "sha256"])
 
-    dealt = files.repartition(_shuffle_tasks(spark), "path")
+    dealt = _listed(spark, root).repartition(_shuffle_tasks(spark), "path")
     return dealt.mapInArrow(hashed, "path string, length long, sha256 string").select(name, "path", "length", "sha256")
 
 
+_ENTRY = "path string, length long, is_folder boolean"
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of the files below the root. Each level of folders is listed by tasks, a folder a row, and written."""
+    fs, pattern = _fs(spark, root)
+    starts = [(x.getPath().toString(), x.getLen(), x.isDirectory()) for x in fs.globStatus(pattern) or []]
+    if not starts:
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {root}.")
+    level, found = spark.createDataFrame(starts, _ENTRY), []
+    while True:
+        found.append(level.where(~F.col("is_folder") & (F.col("length") > 0)).select("path", "length"))
+        folders = level.where("is_folder").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        level = materialize(folders.repartition(_shuffle_tasks(spark), "path").mapInArrow(_entries, _ENTRY), "listing")
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder, but for what Spark's listings leave out."""
+    from pyarrow import fs
+    for batch in batches:
+        for folder in batch["path"].to_pylist():
+            system, inside = opened(folder)
+            inner = [x for x in system.get_file_info(fs.FileSelector(inside)) if not _hidden(x)]
+            for i in range(0, len(inner), 10_000):
+                some = inner[i:i + 10_000]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([f"{folder.rstrip('/')}/{x.base_name}" for x in some], pa.string()), pa.array([x.size or 0 for x in some], pa.int64()),
+                    pa.array([x.type == fs.FileType.Directory for x in some], pa.bool_())], ["path", "length", "is_folder"])
+
+
+def _hidden(entry) -> bool:
+    name = entry.base_name
+    if entry.size is None and name.startswith(("_metadata", "_common_metadata")):  # a folder
+        return False
+    return name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_")
+
+
 def _shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _opened(path: str):
+def opened(path: str):
     """The Arrow file system of a path as Spark writes it, that is unescaped, and the path inside."""
     from pyarrow import fs
     if path.startswith(("file:", "/")):
@@ -96,16 +140,22 @@ def _opened(path: str):
     return fs.FileSystem.from_uri(quote(path, safe=":/@?=&"))
 
 
-def _arrow_reads(root: str) -> bool:
+def arrow_reads(spark: SparkSession, root: str) -> bool:
     try:
-        _opened(root)
+        opened(qualified(spark, root))
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         return False
     return True
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark's listings have it."""
+    fs, plain = _fs(spark, path)
+    return fs.makeQualified(plain).toString()
+
+
 def _streamed_sha256(path: str, chunk: int) -> str:
-    system, inside = _opened(path)
+    system, inside = opened(path)
     digest = hashlib.sha256()
     with system.open_input_stream(inside, compression=None) as stream:
         while piece := stream.read(chunk):

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_splits import plan_of
 
 from vidspark.operators import features as fe
 
@@ -136,3 +137,31 @@ def test_contained_match_of_a_long_key(spark):
     cands = spark.createDataFrame([("c/w.mp4", 3), (f"c/a{long}.mp4", 2), ("c/idd.mp4", 1)], "video_path string, seq long")
     got = {r["video_path"]: r["matched_path"] for r in fe.match_contained(targets, cands).collect()}
     assert got == {f"t/{long}.mp4": "c/idd.mp4", "t/middle.mp4": "c/idd.mp4", "t/nowhere.mp4": "c/w.mp4"}
+
+
+def test_indexes_of_names_are_never_broadcast(spark):
+    """Pieces of names are many times what the file of the names takes, so its size says nothing."""
+    targets = spark.createDataFrame([("t/xCustomer#000000012y.mp4",), ("t/0012.mp4",), ("t/none.mp4",)], "video_path string")
+    cands = spark.createDataFrame([(f"c/Customer#{i:09d}.mp4", i) for i in range(40)], "video_path string, seq long")
+    for df in (fe.match_contained(targets, cands), fe.containments(
+            targets.select(F.col("video_path").alias("needle")), cands.select(F.col("video_path").alias("hay"), "seq"))):
+        nodes = [name for name, _ in plan_of(df)]
+        assert "SortMergeJoin" in nodes and not [x for x in nodes if x.startswith("Broadcast")]
+    got = {r["video_path"]: r["matched_path"] for r in fe.match_contained(targets, cands).collect()}
+    assert got == {"t/xCustomer#000000012y.mp4": "c/Customer#000000012.mp4", "t/0012.mp4": "c/Customer#000000012.mp4"}
+
+
+def test_least_hay_of_each_needle(spark):
+    """One row a needle, short or long; candidates of equal places go by path."""
+    draw = random.Random(5)
+    hay = sorted({"".join(draw.choice(["ab", "c", "long_name_", "00"]) for _ in range(draw.randint(1, 6))) for _ in range(90)})
+    needles = sorted({"".join(draw.choice(["ab", "c", "long_name_", "0"]) for _ in range(draw.randint(1, 3))) for _ in range(60)})
+    place = {h: draw.randint(0, 9) for h in hay}
+    got = fe.containments(spark.createDataFrame([(n,) for n in needles], "needle string"),
+                          spark.createDataFrame(list(place.items()), "hay string, place int"), least="place").collect()
+    want = {n: min(found) for n in needles if (found := [p for h, p in place.items() if n in h])}
+    assert sorted((r["needle"], r["place"]) for r in got) == sorted(want.items())
+    cands = [("c/xx_1.mp4", 3), ("c/xx_2.mp4", 1), ("c/yy_b.mp4", 2), ("c/yy_a.mp4", 2)]
+    first = fe.match_contained(spark.createDataFrame([("t/xx.mp4",), ("t/yy.mp4",)], "video_path string"),
+                               spark.createDataFrame(cands, "video_path string, seq int"))
+    assert {r["video_path"]: r["matched_path"] for r in first.collect()} == {"t/xx.mp4": "c/xx_2.mp4", "t/yy.mp4": "c/yy_a.mp4"}

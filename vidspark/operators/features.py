@@ -65,25 +65,38 @@ def _grams(text: Column, n: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-def containments(needles: DataFrame, hay: DataFrame, gram: int = GRAM) -> DataFrame:
+def containments(needles: DataFrame, hay: DataFrame, gram: int = GRAM, least: str | None = None) -> DataFrame:
     """Rows of needles and hay where the text ``needle`` lies in the text ``hay``; both columns hold distinct texts.
 
     Hay texts are indexed by their pieces of ``gram`` letters, one row a piece, and by shorter pieces of the lengths that
     shorter needles have: at most ``gram`` rows a letter, never all substrings. A needle sends one row: itself if it is
     that short, else the rarest of its pieces by the counts of the index; a needle with a piece that no hay text has is
     out. Candidates that share the piece are compared whole, and an aggregation that follows combines them on the map side.
+    With ``least``, a column of the hay, there is one row a needle with the least value of that column: the shorter pieces
+    then meet that value on the map side, and no hay text leaves with them.
+    Spark takes an index for as small as the names it is made of, so the joins with it must never broadcast.
     """
-    lengths = needles.where(F.length("needle").between(1, gram - 1)).select(F.length("needle").alias("n")).distinct()
+    brief = needles.where(F.length("needle").between(1, gram - 1))
+    lengths = brief.select(F.length("needle").alias("n")).distinct()
     short = sorted(r["n"] for r in lengths.collect())  # fewer than gram numbers
-    index = hay.withColumn("_piece", F.explode(F.concat(*[_grams(F.col("hay"), n) for n in [*short, gram]])))
-    counts = index.where(F.length("_piece") == gram).groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    index = hay.withColumn("_piece", F.explode(_grams(F.col("hay"), gram)))
+    # written: Spark deals out a piece that most needles have only where no aggregation stands before the join
+    counts = materialize(index.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
     long = needles.where(F.length("needle") >= gram)
     pieces = long.select("needle", F.explode(_grams(F.col("needle"), gram)).alias("_piece"))
-    rarest = pieces.join(counts, "_piece", "left").groupBy("needle").agg(
+    rarest = pieces.join(counts.hint("merge"), "_piece", "left").groupBy("needle").agg(
         F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_piece").alias("piece"))).alias("_r"))
-    sent = long.join(rarest.where(F.col("_r.n") > 0).select("needle", F.col("_r.piece").alias("_piece")), "needle") \
-        .unionByName(needles.where(F.length("needle").between(1, gram - 1)).withColumn("_piece", F.col("needle")))
-    return sent.join(index, "_piece").where(F.contains("hay", "needle")).drop("_piece")
+    sent = long.join(rarest.where(F.col("_r.n") > 0).select("needle", F.col("_r.piece").alias("_piece")).hint("merge"), "needle")
+    found = sent.join(index.hint("merge"), "_piece").where(F.contains("hay", "needle")).drop("_piece")
+    if least:
+        found = found.groupBy("needle").agg(F.min(least).alias(least))
+    if not short:
+        return found
+    index = hay.withColumn("_piece", F.explode(F.concat(*[_grams(F.col("hay"), n) for n in short])))
+    if least:
+        index = index.groupBy("_piece").agg(F.min(least).alias(least))
+    same = brief.withColumn("_piece", F.col("needle")).join(index.hint("merge"), "_piece").drop("_piece")
+    return found.unionByName(same.select(*found.columns))
 
 
 def match_contained(targets: DataFrame, candidates: DataFrame, key_of=None, seq: str = "seq") -> DataFrame:
@@ -96,16 +109,20 @@ def match_contained(targets: DataFrame, candidates: DataFrame, key_of=None, seq:
         .where(F.col("_ck") != "")
     # equal keys: the place of the first, the path of the last
     firsts = cands.groupBy("_ck").agg(F.min(seq).alias("_seq"), F.max_by("matched_path", seq).alias("matched_path"))
-    firsts = materialize(firsts.select("_ck", F.struct("_seq", "matched_path").alias("_best")), "candidates")
+    # a number in the order of the places goes through the exchanges for the path; ranges keep it in order across tasks
+    order, parts = ["_seq", "matched_path", "_ck"], int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = firsts.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    firsts = materialize(ranged.select("_ck", "matched_path", F.monotonically_increasing_id().alias("_best")), "candidates")
     wanted = materialize(targets.select("video_path", key_of(F.col("video_path")).alias("_tk")).where(F.col("_tk") != "").distinct(), "targets")
     keys = wanted.select("_tk").distinct()
     best = F.min("_best").alias("_best")
-    inside = containments(keys.select(F.col("_tk").alias("needle")), firsts.select(F.col("_ck").alias("hay"), "_best")) \
-        .groupBy(F.col("needle").alias("_tk")).agg(best)
+    inside = containments(keys.select(F.col("_tk").alias("needle")), firsts.select(F.col("_ck").alias("hay"), "_best"), least="_best") \
+        .select(F.col("needle").alias("_tk"), "_best")
     around = containments(firsts.select(F.col("_ck").alias("needle"), "_best"), keys.select(F.col("_tk").alias("hay"))) \
         .groupBy(F.col("hay").alias("_tk")).agg(best)
     found = inside.unionByName(around).groupBy("_tk").agg(best)
-    return wanted.join(found, "_tk").select("video_path", F.col("_best.matched_path").alias("matched_path"))
+    paths = found.join(firsts.select("_best", "matched_path").hint("merge"), "_best").select("_tk", "matched_path")
+    return wanted.join(paths.hint("merge"), "_tk").select("video_path", "matched_path")
 
 
 def match_paths(targets: DataFrame, candidates: DataFrame, seq: str = "seq", contained: bool = False,

@@ -62,7 +62,7 @@ k AS (SELECT video_path, substr(video_path, 3, length(video_path) - 6) AS tk FRO
 FROM k JOIN customer ON contains(lower(c_name), tk) OR contains(tk, lower(c_name)) GROUP BY video_path""")
 def j10(spark, d):
     cust = t.load(spark, d, "customer")
-    o = t.load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().join(cust, "c_custkey")
+    o = t.load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().join(cust.hint("merge"), "c_custkey")
     i = F.col("c_custkey").cast("string")
     targets = o.select(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("t/x"), F.lower("c_name"), F.lit("y.mp4")))
                        .when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("t/0"), i, F.lit(".mp4")))
